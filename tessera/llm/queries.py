@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, ngram_join, packing, piececount, secrets, tokenfile, transport, winnowing
+from tessera.llm import mixing, ngram_join, packing, piececount, quality, secrets, tokenfile, toxicity, transport, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,19 @@ def op9_mixing(spark, sf_dir):
 def op10_fingerprints(spark, sf_dir):
     """Winnowing fingerprints of all documents and of their edited texts."""
     return winnowing.fingerprints(table(spark, sf_dir))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """Quality of all documents by two co-trained views; keep: whether the pipeline keeps it."""
+    docs = table(spark, sf_dir)
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("keep", (F.col("quality") >= 0.5).cast("int"))
