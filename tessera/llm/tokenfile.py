@@ -145,7 +145,7 @@ class Shard:
         return self.ids[a:b]
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_ids: int = 1 << 21, partitions: int | None = None) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_ids: int = 1 << 18, partitions: int | None = None) -> None:
     """Write the shards to `path`: one range shuffle by id, then each task writes shards of about `shard_ids` ids."""
     end = int(end_id).to_bytes(4, "little")
 
