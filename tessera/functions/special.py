@@ -13,7 +13,7 @@ _probit = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
 
 
 def erfc(x):
-    return _erfc(np.asarray(x, float)).astype(float)
+    return np.asarray(_erfc(np.asarray(x, float)), float)
 
 
 def normal_cdf(x):
@@ -25,11 +25,11 @@ def normal_sf(x):
 
 
 def normal_quantile(p):
-    return _probit(np.asarray(p, float)).astype(float)
+    return np.asarray(_probit(np.asarray(p, float)), float)
 
 
 def log_gamma(x):
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def _gamma_q(a: float, x: float) -> float:

@@ -1,0 +1,139 @@
+import numpy as np
+import pytest
+
+from tessera.operators import cells, ci, moments, profile
+from tessera.operators.rowwise import row_sums
+from tessera.sources import generate
+
+
+@pytest.fixture(scope="module")
+def data():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((500, 4))
+    x[:, 2] += x[:, 0]
+    x[:, 3] += 0.5 * x[:, 2] + 1e6
+    return x
+
+
+@pytest.mark.parametrize("wide", [40, 2])
+def test_moments_match_numpy_on_both_paths(spark, data, monkeypatch, wide):
+    monkeypatch.setattr(moments, "WIDE", wide)
+    m = moments.moments(generate.frame(spark, data).repartition(5), ["X0", "X1", "X2", "X3"])
+    assert m.n == 500
+    assert np.allclose(m.mean, data.mean(axis=0))
+    assert np.allclose(m.cov, np.cov(data, rowvar=False), rtol=1e-9)
+
+
+def test_moments_by_group_pool_to_the_whole(spark, data):
+    from pyspark.sql import functions as F
+
+    df = generate.frame(spark, data).withColumn("g", (F.col("X1") > 0).cast("int"))
+    by = moments.moments_by(df, ["X0", "X2"], "g")
+    whole = moments.pooled(list(by.values()))
+    assert np.allclose(whole.cov, np.cov(data[:, [0, 2]], rowvar=False))
+
+
+def test_row_sums(spark, data):
+    n, s = row_sums(generate.frame(spark, data), ["X0", "X1"], lambda x: np.tanh(x).sum(axis=0))
+    assert n == 500
+    assert np.allclose(s, np.tanh(data[:, :2]).sum(axis=0))
+
+
+def test_partial_correlations_match_regression_residuals(data):
+    t = ci.FisherZ(moments.of_matrix(data))
+    for x, y, s in [(0, 3, (2,)), (0, 3, (1, 2)), (0, 1, ())]:
+        z = np.column_stack([np.ones(500), *(data[:, v] for v in s)])
+        r = [data[:, v] - z @ np.linalg.lstsq(z, data[:, v], rcond=None)[0] for v in (x, y)]
+        assert np.isclose(t.partial(x, y, s), np.corrcoef(*r)[0, 1], atol=1e-7)
+        assert t.pvalue(x, y, s) == t.pvalue(y, x, s[::-1])
+
+
+def test_validation_names_every_bad_column(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, 4.0)], "a double, b double, c double")
+    with pytest.raises(profile.DataError, match="one value only: a, c"):
+        profile.checked(df, ["a", "b", "c"])
+    with pytest.raises(profile.DataError, match="rows"):
+        profile.checked(df.limit(1), ["b"])
+
+
+def test_normal_scores_average_ties(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "a double")
+    got = sorted(r[0] for r in profile.normal_scores(df, ["a"]).collect())
+    from tessera.functions.special import normal_quantile
+
+    assert np.allclose(got, normal_quantile(np.array([1, 2.5, 2.5, 4]) / 5))
+
+
+def test_codes_follow_sorted_values(spark):
+    df, levels = profile.encoded(spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "x string"), ["x"])
+    assert [r[0] for r in df.collect()] == [1, 0, 2, None]
+    assert levels == {"x": ["a", "b", "c"]}
+
+
+def _table(spark, x):
+    return spark.createDataFrame([tuple(map(str, r)) for r in x.tolist()], [f"X{j}" for j in range(x.shape[1])])
+
+
+def test_chi_square_degrees_are_the_mean_under_shuffles(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (60, 2))
+    c = cells.cells(_table(spark, x), ["X0", "X1"])
+    for g in (False, True):
+        t = ci.ChiSquare(c, g)
+        _, dof = t.statistic(0, 1)
+        stats = []
+        for _ in range(400):
+            y = np.column_stack([x[:, 0], rng.permutation(x[:, 1])])
+            u, k = np.unique(y, axis=0, return_counts=True)
+            stats.append(ci.ChiSquare(cells.Cells(("X0", "X1"), {"X0": [0, 1, 2], "X1": [0, 1, 2]}, u, k.astype(float)), g).statistic(0, 1)[0])
+        assert abs(np.mean(stats) - dof) < 4 * np.std(stats) / 20
+
+
+def test_discrete_tests_tell_dependence(spark):
+    a = np.zeros((3, 3), bool)
+    a[0, 1] = a[1, 2] = True
+    x = generate.categorical(a, [2, 3, 3], 1500, seed=6, strength=0.3)
+    for name in ("chisq", "gsq"):
+        t = ci.make_test(_table(spark, x), name)
+        assert t.pvalue(0, 1) < 1e-6
+        assert t.pvalue(0, 2, (1,)) > 0.01
+
+
+def test_mixed_tests(spark):
+    rng = np.random.default_rng(0)
+    g = rng.integers(0, 2, 800)
+    x = g + rng.standard_normal(800)
+    y = x + rng.standard_normal(800)
+    df = spark.createDataFrame([(str(a), float(b), float(c), float(d)) for a, b, c, d in zip(g, x, y, rng.standard_normal(800), strict=True)], "g string, x double, y double, z double")
+    for name in ("cond_gauss", "degenerate_gauss"):
+        t = ci.make_test(df, name)
+        at = {v: k for k, v in enumerate(t.names)}
+        assert t.pvalue(at["g"], at["y"]) < 1e-6
+        assert t.pvalue(at["g"], at["y"], (at["x"],)) > 0.01
+        assert t.pvalue(at["x"], at["z"]) > 0.01
+
+
+def test_testwise_deletion_equals_the_test_on_complete_rows(spark, data):
+    x = generate.with_missing(data[:, :3], 0.2, seed=4)
+    t = ci.make_test(generate.frame(spark, x), "fisherz", missing="testwise")
+    full = x[~np.isnan(x).any(axis=1)]
+    assert np.isclose(t.pvalue(0, 2, (1,)), ci.FisherZ(moments.of_matrix(full)).pvalue(0, 2, (1,)))
+    pair = x[~np.isnan(x[:, [0, 1]]).any(axis=1)][:, [0, 1]]
+    assert np.isclose(t.pvalue(0, 1), ci.FisherZ(moments.of_matrix(pair)).pvalue(0, 1))
+
+
+@pytest.mark.parametrize("name", ["kci", "rcot", "gpdc", "cmiknn"])
+def test_nonparametric_tests(spark, name):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-2, 2, 200)
+    data = np.column_stack([x, x**2 + 0.1 * rng.standard_normal(200), rng.standard_normal(200)])
+    t = ci.make_test(generate.frame(spark, data), name, seed=1)
+    assert t.pvalue(0, 1) < 0.02
+    assert t.pvalue(0, 2) > 0.01
+    assert t.pvalue(1, 2, (0,)) > 0.01
+
+
+def test_lags_stay_within_their_series(spark):
+    df = spark.createDataFrame([(s, t, float(10 * s + t)) for s in range(2) for t in range(4)], "s int, t int, x double")
+    rows = moments.lagged(df, ["x"], "t", 2, "s").orderBy("s", "t").collect()
+    assert [(r["x"], r["x__1"], r["x__2"]) for r in rows] == [(2.0, 1.0, 0.0), (3.0, 2.0, 1.0), (12.0, 11.0, 10.0), (13.0, 12.0, 11.0)]
