@@ -109,12 +109,70 @@ def _pc_marks(test, alpha, constraints, collider_rule="sepsets", max_depth=None,
 
 
 def pc(df: DataFrame, *, alpha: float = 0.05, indep_test: str | None = None, collider_rule: str = "sepsets", columns=None, categorical=None, max_depth=None, knowledge=None, test: Test | None = None, **options) -> Graph:
-    """The CPDAG that PC-stable learns."""
+    """The CPDAG that PC-stable learns. missing: testwise deletion, or mvpc, which also corrects for what makes values missing."""
+    if options.get("missing") == "mvpc":
+        return _mvpc(df, alpha, columns or df.columns, collider_rule, max_depth, knowledge)
     test = test or make_test(df, indep_test, columns, categorical, **options)
     m, _, _ = _pc_marks(test, alpha, resolved(knowledge, test.names), collider_rule, max_depth)
     return Graph(m, "cpdag", test.names)
 
 
+class Corrected(Test):
+    """Tests on the rows that are complete in a query, corrected for the causes W of their being complete.
+
+    The query's variables are regressed on W in those rows; W's distribution over all rows that have it is put in
+    the place of theirs. With linear regressions only covariances are needed: B cov(W) B' plus the residuals'.
+    """
+
+    def __init__(self, test, causes: dict[int, list[int]]):
+        self.test, self.names, self.causes = test, test.names, causes
+
+    def pvalue(self, x, y, s=()) -> float:
+        v = [*sorted((x, y)), *sorted(s)]
+        w = sorted({c for u in v for c in self.causes.get(u, [])} - set(v))
+        if not w:
+            return self.test.pvalue(x, y, s)
+        m, whole = self.test._moments([*v, *w]), self.test._moments(w).cov
+        k = len(v)
+        b = m.cov[:k, k:] @ np.linalg.pinv(m.cov[k:, k:])
+        cov = b @ whole @ b.T + m.cov[:k, :k] - b @ m.cov[k:, :k]
+        from tessera.operators.moments import Moments
+
+        return self.test.kind(Moments(m.names[:k], m.n, m.mean[:k], cov)).pvalue(0, 1, tuple(range(2, k)))
+
+
+def _mvpc(df, alpha, columns, collider_rule, max_depth, knowledge) -> Graph:
+    """PC by test-wise deletion, whose remaining edges are tested again with corrected tests."""
+    from tessera.operators.ci import FisherZ, Testwise, missing_patterns
+    from tessera.operators.profile import checked
+
+    data = checked(df, columns, missing=True)
+    holes = [c for c in columns if data.where(F.col(c).isNull()).limit(1).count()]
+    with_marks = data.select(*columns, *(F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in holes))
+    every = [*columns, *(f"{c}__missing" for c in holes)]
+    wide = Testwise(missing_patterns(with_marks, every), every, FisherZ)
+    test = Testwise([(seen[: len(columns)], m.at(list(range(len(columns))))) for seen, m in wide.patterns], columns, FisherZ)
+    constraints = resolved(knowledge, columns)
+    adj, sepsets, pvalues = skeleton(test, alpha, max_depth=max_depth, constraints=constraints)
+    causes = {}
+    for k, c in enumerate(holes):
+        mark, own = len(columns) + k, columns.index(c)
+        near = [v for v in range(len(columns)) if v != own and wide.pvalue(v, mark) <= alpha]
+        causes[own] = [v for v in near if all(wide.pvalue(v, mark, s) <= alpha for size in range(1, min(2, len(near) - 1) + 1) for s in combinations([u for u in near if u != v], size))]
+    again = Corrected(test, causes)
+    for x, y in combinations(range(len(columns)), 2):
+        if adj[x, y] and not constraints.keep[x, y]:
+            for a, b in ((x, y), (y, x)):
+                found = first_separating(again, x, y, [v for v in np.flatnonzero(adj[a]).tolist() if v != b], alpha, max_depth)
+                if found is not None:
+                    adj[x, y] = adj[y, x] = False
+                    sepsets[x, y] = set(found)
+                    break
+    ambiguous = set() if collider_rule == "sepsets" else ambiguous_triples(again, adj, alpha, collider_rule, sepsets, max_depth)
+    m = orient.colliders(np.where(adj, TAIL, 0).astype(np.int8), sepsets, pvalues, ambiguous)
+    return Graph(orient.undirect_conflicts(orient.meek(m, ambiguous=ambiguous)), "cpdag", columns, meta={"missingness_causes": {columns[v]: [columns[u] for u in us] for v, us in causes.items()}})
+
+
 # FCI
 
 

@@ -239,6 +239,13 @@ class Graph:
                 out[b, a] = TAIL if v in up[u] | over_selection else ARROW
         return Graph(out, "mag", [self.labels[v] for v in seen])
 
+    def to_pag(self, latent=(), selection=()) -> Graph:
+        """The class of the projection: FCI with separation in it as the test."""
+        from tessera.operators.ci import Oracle
+        from tessera.plans.constraint import fci
+
+        return fci(None, test=Oracle(self if self.kind == "mag" and not latent and not selection else self.to_mag(latent, selection)))
+
     def _inducing(self, x: int, y: int, hidden: set, above: set) -> bool:
         m = self.marks
         queue, seen = deque((int(w), m[w, x] == ARROW) for w in np.flatnonzero(m[x])), set()

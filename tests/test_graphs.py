@@ -85,6 +85,7 @@ def test_fci_finds_a_hidden_cause():
     mag = Graph.of_dag(a).to_mag(latent=["X4"])
     assert mag.marks[1, 2] == mag.marks[2, 1] == 2
     p = fci(None, test=Oracle(mag))
+    assert (Graph.of_dag(a).to_pag(latent=["X4"]).marks == p.marks).all()
     assert p.marks[1, 2] == p.marks[2, 1] == 2
     assert p.marks[1, 0] == 2 and p.marks[0, 1] == 3
 

@@ -100,6 +100,19 @@ def test_missing_values(spark):
     assert (score_search.structural_em(df, score_search.boss, COLUMNS, ebic_gamma=1.0).marks == TRUE).all()
 
 
+def test_a_cause_of_missingness_is_corrected_for(spark):
+    """X1 goes missing where X2 = X0 + X1 + noise is large: complete rows alone make X0 and X1 dependent."""
+    w = np.zeros((3, 3))
+    w[0, 2] = w[1, 2] = 1.0
+    x = generate.linear(w, 6000, seed=2)
+    x[x[:, 2] > 0.5, 1] = np.nan
+    df = generate.frame(spark, x)
+    assert constraint.pc(df, alpha=0.001, missing="testwise").marks[0, 1] != 0
+    g = constraint.pc(df, alpha=0.001, missing="mvpc")
+    assert g.meta["missingness_causes"] == {"X1": ["X2"]}
+    assert g.oriented_edges() == [("X0", "X2", "directed"), ("X1", "X2", "directed")]
+
+
 def test_lingam(spark):
     w = np.zeros((5, 5))
     w[0, 1], w[0, 2], w[1, 2], w[1, 3], w[2, 4], w[3, 4] = 0.6, 0.4, 0.7, 0.5, 0.3, 0.8
