@@ -9,8 +9,8 @@ is the mean of the calibrated log odds.
 Bounds: the labelled sample has about `rows` rows, the pool `pool` unlabelled documents (both by a hash of the id);
 only their slots come to the driver. Every document is scored.
 
-Edge cases: null text, language and source count as empty; without labels of both classes every document has the
-share of good labels (1 without any); repeated labels of an id count once, as good if any is; an empty table gives
+Edge cases: null text, language and source count as empty; without labels of both classes every document is good if
+the labels are or if there are none, and bad if they are; repeated labels of an id count once, as good if any is; an empty table gives
 an empty table; other columns are ignored (`kept` returns them).
 """
 
@@ -106,13 +106,16 @@ def co_train(text: list, meta: list, y: np.ndarray, pool_text: list, pool_meta:
     if not len(y) or len(set(y[keep])) < 2:
         keep[:] = True
     share = y[keep].mean() if len(y) else 1.0
+    if not 0 < share < 1:
+        constant = Machine(40.0 if share else -40.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)))
+        return View(constant), View(constant)
     options = [{"slots": TEXT_SLOTS, "rank": 0, "least": 5, "z": 4.0}, {"slots": META_SLOTS, "rank": 0, "least": 5, "z": 0.0}]
     rows = [[r for r, k in zip(v, keep, strict=True) if k] for v in (text, meta)]
     ys = [list(y[keep]), list(y[keep])]
     pools = [pool_text, pool_meta]
     free = [set(range(len(pool_text))), set(range(len(pool_text)))]
     views = [View(fit(r, np.array(t), **o)) for r, t, o in zip(rows, ys, options, strict=True)]
-    for _ in range(rounds if 0 < share < 1 else 0):
+    for _ in range(rounds):
         for me, other in ((0, 1), (1, 0)):
             at = np.array(sorted(free[other]), int)
             if not len(at):

@@ -70,7 +70,7 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(z.compress(before + after + text[start:end].encode())) - len(z.compress(before + after))) / (end - start)
 
 
-def spans(text: str, rate: float = 0.7) -> list[tuple[int, int, int, int]]:
+def spans(text: str, rate: float = 0.8) -> list[tuple[int, int, int, int]]:
     """Base spans and novel strings, by start, then kind."""
     found = base_spans(text)
     taken = [(a, b) for a, _, b, _ in found]
@@ -89,7 +89,7 @@ def spans(text: str, rate: float = 0.7) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.8) -> DataFrame:
     """doc_id and its spans (kind, start, end in code points, start of the secret value); one scan, no shuffle."""
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32())]))
 
@@ -105,7 +105,7 @@ def joined(found) -> F.Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[REDACTED]", rate: float = 0.7) -> DataFrame:
+def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[REDACTED]", rate: float = 0.8) -> DataFrame:
     """The table with each secret value replaced; a null text stays null."""
 
     def mask(text):
