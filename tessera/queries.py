@@ -365,6 +365,104 @@ def stream_window_statistics(spark, sf_dir):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total").alias("total"), r6("squares").alias("squares"))
 
 
+# more of the reference points of a search, as tables
+
+
+def _partial2_sql() -> str:
+    c = lambda a, b: f"corr({a}, {b})"
+    x, y, z, w = NUMBERS
+    one = lambda a, b, g: f"(({c(a, b)} - {c(a, g)} * {c(b, g)}) / sqrt((1 - {c(a, g)} * {c(a, g)}) * (1 - {c(b, g)} * {c(b, g)})))"
+    r = f"(({one(x, y, z)} - {one(x, w, z)} * {one(y, w, z)}) / sqrt((1 - {one(x, w, z)} * {one(x, w, z)}) * (1 - {one(y, w, z)} * {one(y, w, z)})))"
+    return f"SELECT {sql6(r, 'r')}, {sql6(f'sqrt(count(*) - 5) * abs(atanh({r}))', 'z')} FROM {ITEMS}"
+
+
+@query(_partial2_sql())
+def partial_correlation_2(spark, sf_dir):
+    """The first two columns given the other two, by the recursion over one row of correlations."""
+    df = items(spark, sf_dir)
+    one = df.agg(F.count("*").alias("n"), *(F.corr(a, b).alias(f"{a}:{b}") for a, b in PAIRS))
+    r = lambda a, b: F.col(f"`{a}:{b}`" if (a, b) in PAIRS else f"`{b}:{a}`")
+    x, y, z, w = NUMBERS
+    given_z = lambda a, b: fx.partial_1(r(a, b), r(a, z), r(b, z))
+    p = fx.partial_1(given_z(x, y), given_z(x, w), given_z(y, w))
+    return one.select(r6(p).alias("r"), r6(fx.fisher_statistic(p, F.col("n"), 2)).alias("z"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(round(2 * (lgamma(10) - lgamma(k + 1) - lgamma(10 - k)), 6) + 0.0 AS DOUBLE) AS penalty FROM range(1, 6) t(k)")
+def ebic_penalty(spark, sf_dir):
+    """2 ln C(9, k): the extended penalty of k of nine possible parents."""
+    from tessera.operators.scores import ebic_penalty as penalty
+
+    return spark.createDataFrame([(k, penalty(k, 10, 1.0)) for k in range(1, 6)], "k int, penalty double").select("k", r6("penalty").alias("penalty"))
+
+
+@query("WITH d AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS f, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o, o_totalprice / 1000 AS p FROM orders) " + union([f"SELECT '{a}' AS x, '{b}' AS y, {sql6(f'covar_samp({a}, {b})', 'v')} FROM d" for a, b in (("f", "f"), ("f", "o"), ("f", "p"), ("o", "o"), ("o", "p"), ("p", "p"))]))
+def indicator_moments(spark, sf_dir):
+    """Moments of a mixed table with its categories, but the last, as indicators."""
+    df = table(spark, sf_dir, "orders").select(F.array_position(F.lit(["F", "O", "P"]), F.col("o_orderstatus")).cast("int").alias("status"), (F.col("o_totalprice") / 1000).alias("p"))
+    wide, _ = mm.dummies(df.withColumn("status", F.col("status") - 1), {"status": 3})
+    m = mm.moments(wide.withColumnsRenamed({"status__is0": "f", "status__is1": "o"}), ["f", "o", "p"])
+    return _square(spark, m, m.cov)
+
+
+ICP_SQL = "WITH a AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 4 AS v FROM lineitem WHERE l_orderkey < 40), n AS (SELECT count(DISTINCT k) AS n FROM a)"
+
+
+@query(ICP_SQL + " SELECT v, count(*) AS sets, count(*) = (SELECT n FROM n) AS in_all FROM a GROUP BY v")
+def icp_intersection(spark, sf_dir):
+    """Which members all accepted sets share: a count of sets against their number."""
+    a = table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 4).alias("v")).distinct()
+    n = a.agg(F.countDistinct("k").alias("n"))
+    return a.groupBy("v").agg(F.count("*").alias("sets")).join(n).select("v", "sets", (F.col("sets") == F.col("n")).alias("in_all"))
+
+
+@query("WITH p AS (SELECT (p_partkey * 7919 % 10007 + 0.5) / 10007 AS u FROM part), r AS (SELECT u, row_number() OVER (ORDER BY u) AS i, count(*) OVER () AS n FROM p) SELECT CAST(round(-max(a.n) - avg((2 * a.i - 1) * (ln(a.u) + ln(1 - b.u))), 6) + 0.0 AS DOUBLE) AS statistic FROM r a JOIN r b ON b.i = a.n + 1 - a.i")
+def anderson_darling(spark, sf_dir):
+    """The statistic of uniformity of made-up p-values: ranks from both ends meet in one join."""
+    p = table(spark, sf_dir, "part").select(((F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007).alias("u"))
+    r = p.select("u", F.row_number().over(Window.orderBy("u")).alias("i"), F.row_number().over(Window.orderBy(F.col("u").desc())).alias("back"))
+    n = p.count()
+    up, down = r.select("i", "u"), r.select(F.col("back").alias("i"), F.col("u").alias("v"))
+    return up.join(down, "i").agg(r6(-n - F.avg((2 * F.col("i") - 1) * (F.ln("u") + F.ln(1 - F.col("v"))))).alias("statistic"))
+
+
+@query("SELECT l_returnflag AS target, l_linenumber AS candidate, " + sql6("s", "strength") + " FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY s DESC, l_linenumber) AS k FROM (SELECT l_returnflag, l_linenumber, avg(l_quantity) AS s FROM lineitem GROUP BY 1, 2)) WHERE k <= 3")
+def strongest_candidates(spark, sf_dir):
+    """The three strongest candidates of each target, ties by number."""
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("target"), F.col("l_linenumber").alias("candidate")).agg(F.avg("l_quantity").alias("s"))
+    k = F.row_number().over(Window.partitionBy("target").orderBy(F.col("s").desc(), "candidate"))
+    return s.withColumn("k", k).where("k <= 3").select("target", "candidate", r6("s").alias("strength"))
+
+
+@query("SELECT x, y, string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS sepset, " + sql6("max(p)", "p") + " FROM (SELECT l_suppkey % 5 AS x, 5 + l_partkey % 5 AS y, l_linenumber AS s, l_tax AS p FROM lineitem WHERE l_orderkey < 300 AND l_tax > 0.05) GROUP BY 1, 2")
+def separating_sets(spark, sf_dir):
+    """Each removed pair's separating set: the union of the sets that separate it, and their largest p-value."""
+    q = table(spark, sf_dir, "lineitem").where("l_orderkey < 300 AND l_tax > 0.05").select((F.col("l_suppkey") % 5).alias("x"), (5 + F.col("l_partkey") % 5).alias("y"), F.array(F.col("l_linenumber").cast("string")).alias("s"), F.col("l_tax").alias("p"))
+    return q.groupBy("x", "y").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("sepset"), r6(F.max("p")).alias("p"))
+
+
+@query("SELECT l_returnflag AS target, min_by(l_linenumber, v) AS best, " + sql6("min(v)", "delta") + " FROM (SELECT l_returnflag, l_linenumber, round(avg(l_discount - l_tax), 9) + l_linenumber / 1e12 AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def best_moves(spark, sf_dir):
+    """The best move of each target by rounded gains, ties by number."""
+    v = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg((F.round(F.avg(F.col("l_discount") - F.col("l_tax")), 9) + F.first("l_linenumber") / 1e12).alias("v"))
+    return v.groupBy(F.col("l_returnflag").alias("target")).agg(F.min_by("l_linenumber", "v").alias("best"), r6(F.min("v")).alias("delta"))
+
+
+@query(EDGE_SQL + " SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = a AND n_regionkey = 0)")
+def knowledge_restricted(spark, sf_dir):
+    """Candidate edges without those that a table of knowledge forbids: a broadcast anti join."""
+    forbidden = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("a"))
+    return _edges(spark, sf_dir).join(F.broadcast(forbidden), "a", "left_anti")
+
+
+@query("WITH t AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, min(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 80 GROUP BY 1, 2), e AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, max(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 160 GROUP BY 1, 2) SELECT count(*) AS found, CAST(sum(CASE WHEN t.way = e.way THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM t JOIN e ON t.i = e.i AND t.j = e.j")
+def direction_accuracy(spark, sf_dir):
+    """True arrows that an estimate has as adjacencies, and how many of them point the right way."""
+    side = lambda top, f: table(spark, sf_dir, "lineitem").where(f"l_orderkey < {top}").groupBy((F.col("l_suppkey") % 8).alias("i"), (8 + F.col("l_partkey") % 8).alias("j")).agg(f(F.col("l_linenumber") % 2).alias("way"))
+    t, e = side(80, F.min), side(160, F.max).withColumnRenamed("way", "estimated")
+    return t.join(e, ["i", "j"]).agg(F.count("*").alias("found"), F.sum((F.col("way") == F.col("estimated")).cast("long")).alias("correct"))
+
+
 # searches: results without SQL
 
 
