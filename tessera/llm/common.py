@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,13 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: a barrier that survives lost executors.
 
-    `df.staged_path` of the result is its folder; `unstage` removes it once nothing reads it any more.
+    `df.staged_path` of the result is its folder; `unstage` removes it once nothing reads it any more. The shuffle
+    files behind the table go at once: Spark deletes them when the driver collects garbage, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

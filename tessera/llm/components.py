@@ -25,10 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             step = least.select(F.col("u").alias("component"), "p")
             labels = labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-        labels = checkpoint(labels)
         to = least.select(F.col("u"), "p")
         edges = edges.join(to.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
         edges = checkpoint(edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    return checkpoint(labels)

@@ -9,7 +9,9 @@
    copies, in as many rows as members.
 4. What a star leaves apart is compared in size-banded tiles: bands of a factor 1/t, so that only equal and
    neighbouring bands meet, cut into blocks of `block` members. In a tile, bit counts of bitmap differences bound
-   each pair's overlap from above; pairs within the bound, in different components so far, are kept.
+   each pair's overlap from above; pairs within the bound, in different components so far, are kept. Two rounds keep
+   each member's nearest pair only, in `few_groups` groups of its own, which joins most of what belongs together;
+   the last keeps every pair of every group.
 5. Each kept pair is decided by the intersection of the two sorted arrays. Components follow by contraction.
 
 Documents with equal sets are one member throughout, so exact copies never meet one another.
@@ -148,7 +150,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_
 
 
 def _tiles(members: DataFrame, t: tuple[int, int], block: int) -> DataFrame:
-    """Members (h, s, n, component, bm) once for each tile (h, ka, kb, ca, cb) that they belong to."""
+    """Members (h, s, n, component) once for each tile (h, ka, kb, ca, cb) that they belong to."""
     band = F.floor(F.ln("n") / math.log(t[1] / t[0])).cast("int")
     in_band = Window.partitionBy("h", "k")
     rows = members.withColumn("k", band).withColumn("c", F.floor((F.row_number().over(in_band.orderBy("n", "s")) - 1) / block).cast("int"))
@@ -166,11 +168,15 @@ def _tiles(members: DataFrame, t: tuple[int, int], block: int) -> DataFrame:
     own = tiles(k, k, lambda x: tile(k, k, F.least(c, x), F.greatest(c, x)))
     up = tiles(k, k + 1, lambda x: tile(k, k + 1, c, x))
     down = tiles(k, k - 1, lambda x: tile(k - 1, k, x, c))
-    return rows.withColumn("t", F.explode(F.concat(own, up, down))).select("h", "t.*", "k", "c", "s", "n", "component", "bm")
+    return rows.withColumn("t", F.explode(F.concat(own, up, down))).select("h", "t.*", "k", "c", "s", "n", "component")
 
 
-def _compared(tiles: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of a tile, in different components, that their sizes and bitmaps don't rule out."""
+def _compared(tiles: DataFrame, t: tuple[int, int], nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a tile, in different components, that their sizes and bitmaps don't rule out.
+
+    nearest: of each member's pairs only the one of the greatest bound, so that a tile gives no more pairs than it
+    has members.
+    """
 
     def pairs(key, rows):
         _, ka, kb, ca, cb = key
@@ -184,10 +190,15 @@ def _compared(tiles: DataFrame, t: tuple[int, int]) -> DataFrame:
         n, comp = np.array(n, np.int64), np.array(comp)
         other = np.array(right)
         for i in left:
-            j = other[comp[other] != comp[i]] if left != right else other[(comp[other] != comp[i]) & (other > i)]
+            j = other[comp[other] != comp[i]] if nearest or left != right else other[(comp[other] != comp[i]) & (other > i)]
             if len(j):
                 apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                for x in j[np.minimum((n[j] + n[i] - apart) // 2, np.minimum(n[j], n[i])) >= needed(n[j], n[i], t)]:
+                bound = np.minimum((n[j] + n[i] - apart) // 2, np.minimum(n[j], n[i]))
+                fits = bound >= needed(n[j], n[i], t)
+                j, bound = j[fits], bound[fits]
+                if nearest and len(j) > 1:
+                    j = j[[np.argmax(bound / (n[j] + n[i] - bound))]]
+                for x in j:
                     yield min(s[i], s[x]), max(s[i], s[x])
 
     def run(batches):
@@ -210,18 +221,93 @@ def _compared(tiles: DataFrame, t: tuple[int, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     key = ["h", "ka", "kb", "ca", "cb"]
+    tiles = tiles.select(*key, "k", "c", "s", "n", "component", "bm")
     return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that their sets' sizes and bitmaps don't rule out."""
+    of = lambda x: sets.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bm").alias(f"m{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "ma", "mb")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (na, nb, ma, mb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                width = min(width_of(na), width_of(nb))
+                apart = int(np.bitwise_count(folded(ma, width) ^ folded(mb, width)).sum())
+                if min((na + nb - apart) // 2, na, nb) >= needed(na, nb, t):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, bits: int) -> DataFrame:
+    """(s, text) of the pairs' sets, staged: each from its representative document.
+
+    A bitmap of `bits` bits of the wanted ids goes to all tasks, so that few other texts are shuffled.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets.select("s", "rep"), "s")
+    wanted = checkpoint(wanted.where(F.col("rep").isNotNull()))
+    at = F.pmod("rep", F.lit(bits))
+    words = wanted.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(rep, 32) as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def sieve(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            at = ids.fill_null(0).to_numpy(zero_copy_only=False) % bits
+            hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield batch.filter(pa.array((hit > 0) & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    def matching(batches):
+        shingler, seen = Shingler(k), set()  # ids may repeat: a text counts where it has the wanted set
+        for batch in batches:
+            s, text = (batch.column(c).to_pylist() for c in range(2))
+            keep = []
+            for i in range(len(s)):
+                if s[i] not in seen and len(x := shingler(text[i])) and set_id(x) == s[i]:
+                    keep.append(i)
+                    seen.add(s[i])
+            if len(seen) > 500_000:
+                seen.clear()
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    some = rows.mapInArrow(sieve, "id long, text string")
+    return stage(some.join(wanted, some["id"] == wanted["rep"]).select("s", "text").mapInArrow(matching, "s long, text string"), "texts")
+
+
+def _decided(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], bits: int) -> DataFrame:
+    """Those of the (checkpointed) pairs that are links, by their sets' intersections; a checkpoint."""
+    found = _texts_of(pairs, rows, sets, k, bits)
+    links = checkpoint(_verified(pairs, found, k, t).distinct())
+    unstage(found)
+    return links
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (s, component) once more links (a, b) are known: only the components that links touch are contracted."""
+    of = lambda x: labels.select(F.col("s").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = checkpoint(ends)
+    merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    every = labels.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("ca").alias("component")), F.struct(F.col("b").alias("s"), F.col("cb").alias("component")))).alias("e")).select("e.*")).distinct()
+    return checkpoint(every.join(merged, "component", "left").select("s", F.coalesce("to", "component").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, few_groups: int = 4, filter_bits: int = 1 << 23) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included).
 
-    threshold: the least Jaccard similarity as a fraction.
+    threshold: the least Jaccard similarity as a fraction. slots and filter_bits are sizes of tables that every task
+    gets, whatever the corpus; larger ones keep groups small and fewer texts on the move, no size changes the result.
     """
     rows, t = id_and_text(docs, id_col, text_col), threshold
     described = _described(rows, k, slots)
     documents = described.where("n >= 0")
-    sets = documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm"))
+    sets = stage(documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm")), "distinct")
 
     # groups of sets that share a prefix shingle; of groups with the same members, the one of the least shingle
     prefixes = _prefixes(rows, k, slots, _order(described, slots), t).repartition("h").groupBy("h", "s", "n").agg(F.lit(1).alias("one")).drop("one")
@@ -230,39 +316,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = stage(prefixes, "shared")
     groups = shared.join(shared.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h").select("h", "s", "n")
     groups = stage(groups, "groups")
-    candidates = groups.select("s").distinct().join(sets, "s").select("s", "n", "rep")
-    found = rows.join(candidates, rows["id"] == candidates["rep"]).select("s", "text")
-    found = stage(found.mapInArrow(_matching(k), "s long, text string").dropDuplicates(["s"]), "texts")
+    unstage(shared)
 
     # stars
     first = F.min(F.struct("s", "n")).over(group)
     stars = groups.withColumn("p", first).where("s <> p.s").where((t[1] * F.least("n", "p.n")) >= (t[0] * F.greatest("n", "p.n"))).select(F.col("p.s").alias("a"), F.col("s").alias("b")).distinct()
-    links = checkpoint(_verified(stars, found, k, t))
+    links = _decided(checkpoint(_bounded(stars, sets, t)), rows, sets, k, t, filter_bits)
     labels = components(links).select(F.col("node").alias("s"), "component")
 
-    # what is left
-    members = groups.join(labels, "s", "left").withColumn("component", F.coalesce("component", "s"))
-    members = members.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group)}).where("lo < hi").drop("lo", "hi")
-    members = members.join(sets.select("s", "bm"), "s")
-    rest = checkpoint(_verified(_compared(_tiles(members, t, block), t), found, k, t))
-    labels = components(links.unionByName(rest)).select(F.col("node").alias("s"), "component")
+    # what is left: nearest pairs in a few groups of each member first, then all pairs in all groups
+    few = stage(groups.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("h"))).where(F.col("r") <= few_groups).drop("r"), "few")
+    for some, nearest in ((few, True), (few, True), (groups, False)):
+        members = some.join(labels, "s", "left").withColumn("component", F.coalesce("component", "s"))
+        members = members.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group)}).where("lo < hi").drop("lo", "hi")
+        tiles = _tiles(members, t, block).join(sets.select("s", "bm"), "s")
+        pairs = checkpoint(_compared(tiles, t, nearest))
+        if not pairs.isEmpty():
+            labels = _joined(labels, _decided(pairs, rows, sets, k, t, filter_bits))
 
     classes = sets.select("s", "rep").join(labels, "s", "left").withColumn("component", F.coalesce("component", "s"))
     classes = checkpoint(classes.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("s", "component_id"))
-    for x in (shared, groups, found):
+    for x in (groups, few, sets):
         unstage(x)
     out = documents.select("id", "s", "n").join(classes, "s", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _matching(k: int):
-    """Keeps a candidate's text only where it has the candidate's set: ids may repeat."""
-
-    def run(batches):
-        shingler = Shingler(k)
-        for batch in batches:
-            s, text = (batch.column(c).to_pylist() for c in range(2))
-            keep = [i for i in range(len(s)) if len(x := shingler(text[i])) and set_id(x) == s[i]]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    return run
