@@ -499,7 +499,7 @@ def pc_skeleton_lineitem(spark, sf_dir):
 
 
 def _register_searches() -> None:
-    from tessera.plans import constraint, continuous, lingam, resample, score_search
+    from tessera.plans import constraint, continuous, functional, lingam, resample, score_search
 
     for name, fit in {
         "pc": lambda df: constraint.pc(df, columns=PLANTED),
@@ -523,6 +523,36 @@ def _register_searches() -> None:
         "direct_lingam": lambda df: lingam.direct_lingam(df, columns=PLANTED),
         "ges_mixed": lambda df: score_search.ges(df, columns=["quantity", "cost", "l_returnflag"]),
         "notears": lambda df: continuous.notears(df, columns=PLANTED, standardize=True, lambda1=0.02, w_threshold=0.2),
+        "dagma": lambda df: continuous.dagma(df, columns=PLANTED, standardize=True),
+        "calm": lambda df: continuous.calm(df, columns=PLANTED, standardize=True, max_iter=5, subproblem_iter=300),
+        "fci_jci": lambda df: constraint.fci_jci(df.drop("l_linestatus"), "l_returnflag"),
+        "inter_iamb": lambda df: constraint.blanket(df, method="inter_iamb", columns=PLANTED),
+        "pc_mixed": lambda df: constraint.pc(df, columns=["quantity", "cost", "l_returnflag"]),
+        "pc_student_t": lambda df: constraint.pc(df, columns=PLANTED, indep_test="student_t"),
+        "pc_normal_scores": lambda df: constraint.pc(df, columns=PLANTED, indep_test="normal_scores"),
+        "pc_rcot": lambda df: constraint.pc(df, columns=["quantity", "cost", "tax"], indep_test="rcot", most=500),
+        "pc_kci": lambda df: constraint.pc(df, columns=["quantity", "cost", "tax"], indep_test="kci", most=150),
+        "pc_missing": lambda df: constraint.pc(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), columns=PLANTED, missing="mvpc"),
+        "ages": lambda df: score_search.ages(df, columns=PLANTED),
+        "gnies": lambda df: score_search.gnies(df, "l_returnflag", columns=PLANTED),
+        "igsp": lambda df: score_search.igsp(df, "l_returnflag", {"A": ["tax"]}, columns=PLANTED, n_starts=3),
+        "ut_igsp": lambda df: score_search.igsp(df, "l_returnflag", columns=PLANTED, n_starts=3),
+        "boss_fci": lambda df: score_search.hybrid_fci(df, "boss_fci", columns=PLANTED),
+        "grasp_fci": lambda df: score_search.hybrid_fci(df, "grasp_fci", columns=PLANTED),
+        "rsmax2": lambda df: score_search.rsmax2(df, restrict="iamb", maximize="tabu", columns=PLANTED),
+        "structural_em": lambda df: score_search.structural_em(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), score_search.ges, PLANTED, rounds=3),
+        "ica_lingam": lambda df: lingam.ica_lingam(df, columns=PLANTED, most_rows=5_000),
+        "rcd": lambda df: lingam.rcd(df, columns=PLANTED[:3], most_rows=300),
+        "bottom_up_parce_lingam": lambda df: lingam.bottom_up_parce_lingam(df, columns=PLANTED, most_rows=400),
+        "gin": lambda df: lingam.gin(df, columns=PLANTED, most_rows=200),
+        "cam": lambda df: functional.cam(df, columns=PLANTED, most_rows=500),
+        "resit": lambda df: functional.resit(df, columns=PLANTED[:3], most_rows=200),
+        "score_matching": lambda df: functional.by_score(df, columns=PLANTED, most_rows=200),
+        "nogam": lambda df: functional.by_score(df, "nogam", columns=PLANTED[:3], most_rows=150),
+        "camuv": lambda df: functional.camuv(df, columns=PLANTED[:3], most_rows=150),
+        "anm": lambda df: functional.pair_direction(df, "anm", columns=["quantity", "cost"], most_rows=200),
+        "pnl": lambda df: functional.pair_direction(df, "pnl", columns=["quantity", "cost"], most_rows=150),
+        "loci": lambda df: functional.pair_direction(df, "loci", columns=["quantity", "cost"], most_rows=300),
     }.items():
         search(name, fit)
 
@@ -533,12 +563,27 @@ def _register_searches() -> None:
         out = resample.bootstrap(_planted(spark, sf_dir), lambda m: constraint.pc(None, test=FisherZ(m)), n_resamples=40, columns=PLANTED)
         return spark.createDataFrame(out.table(), "x string, y string, mark_x int, mark_y int, frequency double")
 
-    QUERIES["bootstrap_pc"] = bootstrap_pc
+    def markov_check(spark, sf_dir):
+        """How the independences that PC's graph implies hold on halves of the rows."""
+        df = _planted(spark, sf_dir)
+        r = resample.markov_check(df, constraint.pc(df, columns=PLANTED))
+        return spark.createDataFrame([(r["n_tests"], float(r["dependent"]), float(r["p_value"]))], "n_tests int, dependent double, p_value double")
+
+    QUERIES["bootstrap_pc"], QUERIES["markov_check"] = bootstrap_pc, markov_check
 
 
 _register_searches()
 
 
+def _scaled(df: DataFrame) -> DataFrame:
+    s = df.agg(F.avg("n"), F.stddev("n"), F.avg("v"), F.stddev("v")).head()
+    return df.select("t", ((F.col("n") - s[0]) / s[1]).alias("n"), ((F.col("v") - s[2]) / s[3]).alias("v"))
+
+
+def _by_type(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("t")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
+
+
 def _temporal(name, fit):
     def run(spark, sf_dir):
         g = fit(hourly(spark, sf_dir))
@@ -554,6 +599,22 @@ def _register_temporal() -> None:
     _temporal("granger", lambda df: temporal.granger(df, "t", tau_max=2, columns=["n", "v"]))
     _temporal("pcmci", lambda df: temporal.pcmci(df, "t", tau_max=2, columns=["n", "v"]))
     _temporal("pcmciplus", lambda df: temporal.pcmciplus(df, "t", tau_max=2, columns=["n", "v"]))
+    _temporal("dynotears", lambda df: temporal.dynotears(_scaled(df), "t", tau_max=1, columns=["n", "v"]))
+    _temporal("lpcmci", lambda df: temporal.lpcmci(df, "t", tau_max=1, columns=["n", "v"]))
+    _temporal("varma_lingam", lambda df: temporal.varma_lingam(df, "t", columns=["n", "v"]))
+
+    def jpcmciplus(spark, sf_dir):
+        """Series of all event types with a dummy for each."""
+        df = _by_type(spark, sf_dir)
+        return temporal.jpcmciplus(df, "t", "event_type", columns=["n", "v"]).frame(spark)
+
+    def longitudinal_lingam(spark, sf_dir):
+        """Users on three days."""
+        e = table(spark, sf_dir, "events").where("ts < '2024-01-04'").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("n"))
+        out = temporal.longitudinal_lingam(e, "user_id", "day", columns=["n", "v"])
+        return spark.createDataFrame([(int(t), a, b, k) for t, g in out.items() for a, b, k in g.links()], "occasion int, cause string, effect string, lag int")
+
+    QUERIES["jpcmciplus"], QUERIES["longitudinal_lingam"] = jpcmciplus, longitudinal_lingam
     _temporal("var_lingam", lambda df: temporal.var_lingam(df, "t", tau_max=1, columns=["n", "v"]))
 
 
