@@ -61,12 +61,17 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of an (id, text) Arrow stream, in slices of few rows so that memory doesn't follow the batch size."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows: what becomes of them as Python objects is small at any time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield batch.slice(at, rows)
+
+
+def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of an (id, text) Arrow stream, in slices of few rows so that memory doesn't follow the batch size."""
+    for part in sliced(batches, rows):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def words(text_col) -> F.Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, id_and_text, stage, texts, unstage
+from tessera.llm.common import checkpoint, id_and_text, sliced, stage, texts, unstage
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler, bitmap, folded, set_id, width_of
 
@@ -61,7 +61,7 @@ def _described(rows: DataFrame, k: int, slots: int):
                     seen.add(s)
                     pending.append((x & np.uint64(slots - 1)).astype(np.int64))
                     size += len(x)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if size > slots:
                 table += np.bincount(np.concatenate(pending), minlength=slots)
@@ -116,7 +116,7 @@ def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[
                 h.append(x[np.lexsort((x, rank))[:p]])
                 s.append(np.full(p, one, np.int64))
                 n.append(np.full(p, len(x), np.int32))
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n))], names=["h", "s", "n"])
@@ -132,7 +132,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_
 
     def run(batches):
         shingler, now, mine = Shingler(k), None, None
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = [], []
             for first, lot, second, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if second is None:
@@ -231,7 +231,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "ma", "mb")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             keep = []
             for i, (na, nb, ma, mb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
                 width = min(width_of(na), width_of(nb))
@@ -265,14 +265,14 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, bits:
 
     def matching(batches):
         shingler, seen = Shingler(k), set()  # ids may repeat: a text counts where it has the wanted set
-        for batch in batches:
+        for batch in sliced(batches):
             s, text = (batch.column(c).to_pylist() for c in range(2))
             keep = []
             for i in range(len(s)):
                 if s[i] not in seen and len(x := shingler(text[i])) and set_id(x) == s[i]:
                     keep.append(i)
                     seen.add(s[i])
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield batch.take(pa.array(keep, pa.int64()))
 

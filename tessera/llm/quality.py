@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sliced
 from tessera.llm.toxicity import Machine, _sigmoid, fit, labelled_sample, sampled
 
 #: Upper bounds of the classes of a share: fixed values.
@@ -76,7 +77,7 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    def logits(self, rows: list) -> np.ndarray:
+    def logits(self, rows) -> np.ndarray:
         m = self.machine
         place = {int(s): k for k, s in enumerate(m.slots)}
         return np.array([m.bias + sum(m.weights[place[s]] for s in r if s in place) for r in rows])
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
     """The two views, co-trained."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, y, text, lang, source = (batch.column(c) for c in ("id", "y", "text", "lang", "source"))
             text = text.to_pylist()
             a = [text_view(t) for t in text]
@@ -171,8 +172,8 @@ def scorer(spark, views: tuple[View, View]):
     @F.pandas_udf("text_score double, meta_score double, quality double")
     def scores(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
         a, b = shared.value
-        x = a.slope * a.logits([text_view(t) for t in text]) + a.shift
-        y = b.slope * b.logits([meta_view(*r) for r in zip(text, lang, source, strict=True)]) + b.shift
+        x = a.slope * a.logits(text_view(t) for t in text) + a.shift
+        y = b.slope * b.logits(meta_view(*r) for r in zip(text, lang, source, strict=True)) + b.shift
         return pd.DataFrame({"text_score": _sigmoid(x), "meta_score": _sigmoid(y), "quality": _sigmoid((x + y) / 2)})
 
     return scores

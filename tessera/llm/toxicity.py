@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, texts
+from tessera.llm.common import id_and_text, sliced, texts
 
 TERM = re.compile(r"\w+")
 STEMS = 4, 5, 6, 7
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
     """A machine from at most about `rows` labelled rows; their slots (no texts) come to the driver."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, y = batch.column("id"), batch.column("y")
             found = [sorted({s for w in words_of(t) for s in slots_of(w, slots)}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, y, pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "slots"])
