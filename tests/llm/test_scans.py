@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -42,6 +44,34 @@ def test_random_strings_are_novel_and_names_are_not():
         assert secrets.spans(harmless) == []
 
 
+def _random(n, seed, letters=string.ascii_letters + string.digits):
+    return "".join(random.Random(seed).choices(letters, k=n))
+
+
+@pytest.mark.parametrize("n", [127, 128, 129, 300, 1000, 5000])
+def test_a_long_secret_is_found_to_its_end(n):
+    head = "Authorization: Bearer "
+    assert [(a, k, b) for a, k, b, _ in secrets.spans(f"{head}{_random(n, n)} and more")] == [(len(head), 3, len(head) + n)]
+
+
+def test_segments_and_lines_of_one_secret():
+    token = ".".join(_random(k, k) for k in (36, 6, 200, 43))
+    for after in ("", ". Then go", ".example.com", "\nthanks"):
+        assert [(a, b) for a, _, b, _ in secrets.spans("bearer " + token + after)] == [(7, 7 + len(token))]
+    body = [_random(64, k, string.ascii_letters + string.digits + "+/") for k in range(25)] + ["Qx9w8A=="]
+    for sep in ("\n", "\r\n", "\n    ", "\\n"):
+        pem = sep.join(["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+        (hit,) = {b for _, k, b, _ in secrets.spans(pem) if k == 3}
+        assert pem[:hit].endswith(body[-1])
+
+
+def test_a_base_span_inside_a_long_secret_leaves_none_of_it(spark):
+    key = _random(150, 1) + "0123456789abcdef0123" + "Z" + _random(150, 2)
+    rows = spark.createDataFrame([(1, f"bearer {key} end")], "doc_id long, text string")
+    left = secrets.redacted(rows).head()["text"].replace("[REDACTED]", "")
+    assert left == "bearer  end"
+
+
 def test_redaction_keeps_the_rest_and_leaves_nothing_to_find(odd, none):
     rows = secrets.redacted(odd).collect()
     assert len(rows) == odd.count() and secrets.redacted(none).count() == 0
