@@ -17,8 +17,8 @@
 Documents with equal sets are one member throughout, so exact copies never meet one another.
 
 Edge cases: a null or empty text, or one without words, has no shingles and links with nothing; the ids of a
-repeated row are joined as any copies; a document whose set only occurs with null ids has a null component and
-isn't compared; an empty table gives an empty table; other columns are ignored.
+repeated row are joined as any copies; rows with a null id are compared and link like others, and have a null
+component where no row of it has an id; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -244,24 +244,38 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
 
 
 def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, bits: int) -> DataFrame:
-    """(s, text) of the pairs' sets, staged: each from its representative document.
+    """(s, text) of the pairs' sets, staged: each from its representative document, or from rows without an id.
 
-    A bitmap of `bits` bits of the wanted ids goes to all tasks, so that few other texts are shuffled.
+    A bitmap of `bits` bits of the wanted ids (of sets, where rows have none) goes to all tasks, so that few other
+    texts are shuffled.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets.select("s", "rep"), "s")
-    wanted = checkpoint(wanted.where(F.col("rep").isNotNull()))
-    at = F.pmod("rep", F.lit(bits))
-    words = wanted.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(rep, 32) as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    wanted = checkpoint(wanted.select("s", F.coalesce("rep", "s").alias("key"), F.col("rep").isNotNull().alias("known")))
+    at = F.pmod("key", F.lit(bits))
+    words = wanted.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(key, 32) as int))").alias("v"), "known").groupBy("w").agg(F.bit_or("v").alias("v"), F.bool_and("known").alias("known")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
     table[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint32)
+    without = not all(words["known"].to_pylist())
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def sieve(batches):
+        shingler, seen = Shingler(k), set()
+
+        def hit(key):
+            return (shared.value[key % bits >> 5] >> (key % bits & 31).astype(np.uint32)) & 1 > 0
+
         for batch in batches:
-            ids = batch.column(0)
-            at = ids.fill_null(0).to_numpy(zero_copy_only=False) % bits
-            hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-            yield batch.filter(pa.array((hit > 0) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            has = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            key = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).copy()
+            keep = hit(key) & has
+            for i in np.flatnonzero(~has) if without else ():
+                x = shingler(batch.column(1)[int(i)].as_py())
+                if len(x) and (one := set_id(x)) not in seen and hit(np.int64(one)):
+                    seen.add(one)
+                    key[i], keep[i] = one, True
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(has), batch.column(1)], names=["key", "known", "text"]).filter(pa.array(keep))
 
     def matching(batches):
         shingler, seen = Shingler(k), set()  # ids may repeat: a text counts where it has the wanted set
@@ -276,8 +290,8 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, bits:
                 seen.clear()
             yield batch.take(pa.array(keep, pa.int64()))
 
-    some = rows.mapInArrow(sieve, "id long, text string")
-    return stage(some.join(wanted, some["id"] == wanted["rep"]).select("s", "text").mapInArrow(matching, "s long, text string"), "texts")
+    some = rows.mapInArrow(sieve, "key long, known boolean, text string")
+    return stage(some.join(wanted, ["key", "known"]).select("s", "text").mapInArrow(matching, "s long, text string"), "texts")
 
 
 def _decided(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], bits: int) -> DataFrame:

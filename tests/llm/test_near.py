@@ -60,6 +60,25 @@ def test_chains_and_dense_groups(spark, slots):
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(df, slots=slots, block=8, filter_bits=1 << 10).collect()) == brute(texts_of(df))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_near_copy_without_an_id_links(spark, seed):
+    """Two texts that only link through a row with a null id; among several sets, such rows come first and second in a pair."""
+    rng, rows = random.Random(seed), []
+    for i in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        left, right = list(base), list(base)
+        left[20], right[60], left[75], right[5] = "l", "r", "l2", "r2"
+        rows += [(2 * i, " ".join(left), "en", "a"), (2 * i + 1, " ".join(right), "en", "a"), (None, " ".join(base), "en", "a")]
+        if i % 2:
+            rows.append((None, " ".join(base), "en", "a"))
+    rows.append((None, "x " + " ".join(f"n{k}" for k in range(60)), "en", "a"))
+    rows.append((None, "y " + " ".join(f"n{k}" for k in range(60)), "en", "a"))
+    df = make(spark, rows).repartition(3)
+    want = brute(texts_of(df))
+    assert want[(1, 76, 0)] == 1
+    assert Counter(tuple(r) for r in ngram_join.near_duplicates(df, block=4).collect()) == want
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(200):
