@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
+from inspect import signature
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -288,44 +291,49 @@ def panel_moments(spark, sf_dir):
 EDGE_SQL = "WITH e AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS a, CAST(20 + l_partkey % 30 AS BIGINT) AS b FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1 AND l_orderkey < 700)"
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_linenumber = 1 AND l_orderkey < 700").select((F.col("l_suppkey") % 20).alias("a"), (20 + F.col("l_partkey") % 30).alias("b")).distinct()
+def below(df: DataFrame, top: int | None) -> DataFrame:
+    """Rows of the first orders, as the SQL of a query has them; without a bound the whole table."""
+    return df if top is None else df.where(F.col("l_orderkey") < top)
+
+
+def _edges(spark, sf_dir, top=700) -> DataFrame:
+    return below(table(spark, sf_dir, "lineitem"), top).where("l_quantity > 49 AND l_linenumber = 1").select((F.col("l_suppkey") % 20).alias("a"), (20 + F.col("l_partkey") % 30).alias("b")).distinct()
 
 
 @query(EDGE_SQL + ", s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT l.a AS x, l.b AS y, r.b AS z FROM s l JOIN s r ON l.b = r.a WHERE l.a < r.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.a = l.a AND t.b = r.b)")
-def unshielded_triples(spark, sf_dir):
-    return graphs.unshielded_triples(_edges(spark, sf_dir))
+def unshielded_triples(spark, sf_dir, top=700):
+    return graphs.unshielded_triples(_edges(spark, sf_dir, top))
 
 
 @query(EDGE_SQL + ", arrows AS (SELECT a, b FROM e WHERE (a + b) % 3 = 0), lines AS (SELECT a, b FROM e WHERE (a + b) % 3 <> 0), line AS (SELECT a, b FROM lines UNION SELECT b, a FROM lines), adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT DISTINCT w.b, l.b AS c FROM arrows w JOIN line l ON w.b = l.a WHERE w.a <> l.b AND NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = w.a AND t.b = l.b)")
-def meek_rule_1(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+def meek_rule_1(spark, sf_dir, top=700):
+    e = _edges(spark, sf_dir, top)
     return graphs.meek_first(e.where("(a + b) % 3 = 0"), e.where("(a + b) % 3 <> 0"))
 
 
 CHAIN_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_partkey % 40 AS BIGINT) AS a, CAST(l_partkey % 40 + 1 + l_suppkey % 5 AS BIGINT) AS b FROM lineitem WHERE l_orderkey < 200 AND l_linenumber = 2), r AS (SELECT b AS node, a AS ancestor FROM e UNION SELECT r.node, e.a FROM r JOIN e ON e.b = r.ancestor)"
 
 
-def _chain(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 200 AND l_linenumber = 2").select((F.col("l_partkey") % 40).alias("a"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 5).alias("b")).distinct()
+def _chain(spark, sf_dir, top=200) -> DataFrame:
+    return below(table(spark, sf_dir, "lineitem"), top).where("l_linenumber = 2").select((F.col("l_partkey") % 40).alias("a"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 5).alias("b")).distinct()
 
 
 @query(CHAIN_SQL + " SELECT node, ancestor FROM r")
-def ancestors(spark, sf_dir):
-    return graphs.ancestors(_chain(spark, sf_dir))
+def ancestors(spark, sf_dir, top=200):
+    return graphs.ancestors(_chain(spark, sf_dir, top))
 
 
 @query(CHAIN_SQL + " SELECT b AS node, a AS member FROM e UNION SELECT a, b FROM e UNION SELECT l.a, r.a FROM e l JOIN e r ON l.b = r.b WHERE l.a <> r.a")
-def markov_blankets(spark, sf_dir):
-    return graphs.markov_blankets(_chain(spark, sf_dir))
+def markov_blankets(spark, sf_dir, top=200):
+    return graphs.markov_blankets(_chain(spark, sf_dir, top))
 
 
 @query("WITH e AS (SELECT DISTINCT l_suppkey % 9 AS i, 10 + l_partkey % 9 AS j, CAST(1 + l_linenumber % 2 AS TINYINT) AS m FROM lineitem WHERE l_orderkey < 60), a AS (SELECT i, j, min(m) AS m FROM e GROUP BY 1, 2), b AS (SELECT i, j, max(m) AS m FROM e WHERE i <> 3 GROUP BY 1, 2) SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.m IS NOT DISTINCT FROM b.m THEN 0 ELSE 1 END) AS BIGINT) AS shd, CAST(sum(CASE WHEN a.m IS NOT NULL AND b.m IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN b.m IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j")
-def structural_hamming(spark, sf_dir):
+def structural_hamming(spark, sf_dir, top=60):
     """Differences of two edge tables by a full outer join."""
     from tessera.operators.metrics import edge_differences
 
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey < 60").select((F.col("l_suppkey") % 9).alias("i"), (10 + F.col("l_partkey") % 9).alias("j"), (1 + F.col("l_linenumber") % 2).cast("byte").alias("m")).distinct()
+    e = below(table(spark, sf_dir, "lineitem"), top).select((F.col("l_suppkey") % 9).alias("i"), (10 + F.col("l_partkey") % 9).alias("j"), (1 + F.col("l_linenumber") % 2).cast("byte").alias("m")).distinct()
     a = e.groupBy("i", "j").agg(F.min("m").alias("mark_i")).withColumn("mark_j", F.lit(2))
     b = e.where("i <> 3").groupBy("i", "j").agg(F.max("m").alias("mark_i")).withColumn("mark_j", F.lit(2))
     d = edge_differences(a, b)
@@ -351,8 +359,8 @@ def bootstrap_votes(spark, sf_dir):
 
 
 @query("WITH l AS (SELECT DISTINCT l_suppkey % 6 AS cause, l_partkey % 6 AS effect, l_linenumber % 3 AS lag FROM lineitem WHERE l_orderkey < 50) SELECT cause, effect, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS lags FROM l GROUP BY 1, 2")
-def lag_summary(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").where("l_orderkey < 50").select((F.col("l_suppkey") % 6).alias("cause"), (F.col("l_partkey") % 6).alias("effect"), (F.col("l_linenumber") % 3).alias("lag"))
+def lag_summary(spark, sf_dir, top=50):
+    links = below(table(spark, sf_dir, "lineitem"), top).select((F.col("l_suppkey") % 6).alias("cause"), (F.col("l_partkey") % 6).alias("effect"), (F.col("l_linenumber") % 3).alias("lag"))
     return graphs.summary_of_lags(links)
 
 
@@ -409,9 +417,9 @@ ICP_SQL = "WITH a AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 4 AS v FROM l
 
 
 @query(ICP_SQL + " SELECT v, count(*) AS sets, count(*) = (SELECT n FROM n) AS in_all FROM a GROUP BY v")
-def icp_intersection(spark, sf_dir):
+def icp_intersection(spark, sf_dir, top=40):
     """Which members all accepted sets share: a count of sets against their number."""
-    a = table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 4).alias("v")).distinct()
+    a = below(table(spark, sf_dir, "lineitem"), top).select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 4).alias("v")).distinct()
     n = a.agg(F.countDistinct("k").alias("n"))
     return a.groupBy("v").agg(F.count("*").alias("sets")).join(n).select("v", "sets", (F.col("sets") == F.col("n")).alias("in_all"))
 
@@ -435,9 +443,9 @@ def strongest_candidates(spark, sf_dir):
 
 
 @query("SELECT x, y, string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS sepset, " + sql6("max(p)", "p") + " FROM (SELECT l_suppkey % 5 AS x, 5 + l_partkey % 5 AS y, l_linenumber AS s, l_tax AS p FROM lineitem WHERE l_orderkey < 300 AND l_tax > 0.05) GROUP BY 1, 2")
-def separating_sets(spark, sf_dir):
+def separating_sets(spark, sf_dir, top=300):
     """Each removed pair's separating set: the union of the sets that separate it, and their largest p-value."""
-    q = table(spark, sf_dir, "lineitem").where("l_orderkey < 300 AND l_tax > 0.05").select((F.col("l_suppkey") % 5).alias("x"), (5 + F.col("l_partkey") % 5).alias("y"), F.array(F.col("l_linenumber").cast("string")).alias("s"), F.col("l_tax").alias("p"))
+    q = below(table(spark, sf_dir, "lineitem"), top).where("l_tax > 0.05").select((F.col("l_suppkey") % 5).alias("x"), (5 + F.col("l_partkey") % 5).alias("y"), F.array(F.col("l_linenumber").cast("string")).alias("s"), F.col("l_tax").alias("p"))
     return q.groupBy("x", "y").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("sepset"), r6(F.max("p")).alias("p"))
 
 
@@ -449,20 +457,31 @@ def best_moves(spark, sf_dir):
 
 
 @query(EDGE_SQL + " SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = a AND n_regionkey = 0)")
-def knowledge_restricted(spark, sf_dir):
+def knowledge_restricted(spark, sf_dir, top=700):
     """Candidate edges without those that a table of knowledge forbids: a broadcast anti join."""
     forbidden = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("a"))
-    return _edges(spark, sf_dir).join(F.broadcast(forbidden), "a", "left_anti")
+    return _edges(spark, sf_dir, top).join(F.broadcast(forbidden), "a", "left_anti")
 
 
 @query("WITH t AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, min(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 80 GROUP BY 1, 2), e AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, max(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 160 GROUP BY 1, 2) SELECT count(*) AS found, CAST(sum(CASE WHEN t.way = e.way THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM t JOIN e ON t.i = e.i AND t.j = e.j")
-def direction_accuracy(spark, sf_dir):
+def direction_accuracy(spark, sf_dir, top=80, estimate_top=160):
     """True arrows that an estimate has as adjacencies, and how many of them point the right way."""
-    side = lambda top, f: table(spark, sf_dir, "lineitem").where(f"l_orderkey < {top}").groupBy((F.col("l_suppkey") % 8).alias("i"), (8 + F.col("l_partkey") % 8).alias("j")).agg(f(F.col("l_linenumber") % 2).alias("way"))
-    t, e = side(80, F.min), side(160, F.max).withColumnRenamed("way", "estimated")
+    side = lambda top, f: below(table(spark, sf_dir, "lineitem"), top).groupBy((F.col("l_suppkey") % 8).alias("i"), (8 + F.col("l_partkey") % 8).alias("j")).agg(f(F.col("l_linenumber") % 2).alias("way"))
+    t, e = side(top, F.min), side(estimate_top, F.max).withColumnRenamed("way", "estimated")
     return t.join(e, ["i", "j"]).agg(F.count("*").alias("found"), F.sum((F.col("way") == F.col("estimated")).cast("long")).alias("correct"))
 
 
+def _register_whole() -> None:
+    """Each query over the first orders again over the whole table, with its SQL."""
+    for f in (unshielded_triples, meek_rule_1, knowledge_restricted, ancestors, markov_blankets, structural_hamming, lag_summary, icp_intersection, separating_sets, direction_accuracy):
+        name, tops = f"{f.__name__}_whole", dict.fromkeys([x for x in signature(f).parameters if x.endswith("top")])
+        QUERIES[name] = partial(f, **tops)
+        SQL[name] = re.sub(r"( WHERE )l_orderkey < \d+ AND | (?:WHERE|AND) l_orderkey < \d+", r"\1", SQL[f.__name__])
+
+
+_register_whole()
+
+
 # searches: results without SQL
 
 
@@ -609,8 +628,8 @@ def _register_temporal() -> None:
         return temporal.jpcmciplus(df, "t", "event_type", columns=["n", "v"]).frame(spark)
 
     def longitudinal_lingam(spark, sf_dir):
-        """Users on three days."""
-        e = table(spark, sf_dir, "events").where("ts < '2024-01-04'").groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("n"))
+        """Users on all days, counted from the first of 2024."""
+        e = table(spark, sf_dir, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2023-12-31")).alias("day")).agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("n"))
         out = temporal.longitudinal_lingam(e, "user_id", "day", columns=["n", "v"])
         return spark.createDataFrame([(int(t), a, b, k) for t, g in out.items() for a, b, k in g.links()], "occasion int, cause string, effect string, lag int")
 

@@ -1,0 +1,32 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.queries import QUERIES, SQL
+from tests.test_entry import canonical
+
+WHOLE = sorted(n for n in QUERIES if n.endswith("_whole"))
+
+
+def test_ten_queries_have_a_whole_form_without_a_bound():
+    assert len(WHOLE) == 10
+    assert not [n for n in WHOLE if "l_orderkey <" in SQL[n]]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_rows_of_late_orders_count(spark, sf, tmp_path, name):
+    """All orders have keys beyond every bound: a query over the first orders is empty, the whole form is the same."""
+    late = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") + 10**9)
+    late.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(got) and canonical(got) == canonical(QUERIES[name](spark, sf).toPandas())
+    duck = duckdb.connect()
+    for t in ("lineitem", "nation"):
+        duck.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert canonical(got) == canonical(duck.sql(SQL[name]).df())
+
+
+def test_longitudinal_lingam_has_all_days(spark, sf):
+    days = {r["occasion"] for r in QUERIES["longitudinal_lingam"](spark, sf).collect()}
+    assert days == set(range(2, 31))
