@@ -181,10 +181,11 @@ def jpcmciplus(df: DataFrame, order: str, dataset: str, *, time_contexts=(), spa
     return pcmciplus(df, order, tau_max=tau_max, alpha=alpha, test=test, contexts=tuple(range(len(system), len(names))))
 
 
-def lpcmci(df: DataFrame, order: str, *, tau_max=1, alpha=0.05, columns=None, indep_test=None, n_preliminary_iterations=1, series=None) -> TemporalGraph:
+def lpcmci(df: DataFrame, order: str, *, tau_max=1, alpha=0.05, columns=None, indep_test=None, n_preliminary_iterations=1, max_p_global=None, series=None) -> TemporalGraph:
     """A time-series PAG: FCI over the (variable, lag) nodes of a window, with time order as knowledge and stationary marks.
 
-    Each preliminary iteration's lagged causes join the conditions of the next.
+    Each preliminary iteration's lagged causes join the conditions of the next. max_p_global: the most conditions
+    besides these; None: no bound.
     """
     from tessera.plans.constraint import fci_rules
 
@@ -195,7 +196,7 @@ def lpcmci(df: DataFrame, order: str, *, tau_max=1, alpha=0.05, columns=None, in
         adj = {((i, k), j) for k in range(tau_max + 1) for i in range(d) for j in range(d) if k or i != j}
         sepsets = {}
         size = 0
-        while size <= max(sum(1 for l in adj if l[1] == j) for j in range(d)) - 1:
+        while size <= max(sum(1 for l in adj if l[1] == j) for j in range(d)) - 1 and (max_p_global is None or size <= max_p_global):
             removed = set()
             for x, j in sorted(adj):
                 default = [p for p in parents[j] if p != x] + [p for p in _shift(parents[x[0]], x[1]) if p[1] <= test.lags]
@@ -210,8 +211,6 @@ def lpcmci(df: DataFrame, order: str, *, tau_max=1, alpha=0.05, columns=None, in
                         break
             adj -= removed
             size += 1
-            if size > 3:
-                break
         n = d * (tau_max + 1)
         m = np.zeros((n, n), np.int8)
         node = lambda v: v[1] * d + v[0]
