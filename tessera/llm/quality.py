@@ -66,7 +66,7 @@ def meta_view(text: str, lang: str, source: str) -> list[int]:
     lines = text.split("\n")
     n = len(text)
     names = [f"lang:{lang}", f"source:{source}", f"chars:{n.bit_length()}", f"lines:{len(lines).bit_length()}", f"line:{(n // len(lines)).bit_length()}"]
-    names += [_share("repeated", len(lines) - len(set(lines)), len(lines)), _share("upper", sum(map(str.isupper, text)) if n < 2000 else len(re.findall("[A-ZÀ-Þ]", text)), n)]
+    names += [_share("repeated", len(lines) - len(set(lines)), len(lines)), _share("upper", sum(k for c, k in Counter(text).items() if c.isupper()), n)]
     names += [_share("marks", len(MARKS.findall(text)), n), _share("digits", len(re.findall(r"\d", text)), n), _share("blank", text.count(" ") + len(lines) - 1, n)]
     return _slots(names, META_SLOTS)
 

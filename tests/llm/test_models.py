@@ -98,3 +98,12 @@ def test_views_exchange_labels():
 def test_text_views_differ_for_shouting_and_prose():
     assert quality.text_view("THIS!! IS!! LOUD!!") != quality.text_view("this is not loud")
     assert quality.meta_view("", "", "") and make is not None
+
+
+@pytest.mark.parametrize("text", ["ПРИВЕТ МИР ", "ΑΒΓ ΔΕΖ ", "ABC DEF × "])
+def test_capitals_count_alike_at_every_length(text):
+    upper = sum(map(str.isupper, text))
+    for times in (1, 400):
+        n = len(text) * times
+        slot = quality._slots([quality._share("upper", upper * times, n)], quality.META_SLOTS)
+        assert set(slot) <= set(quality.meta_view(text * times, "ru", "s"))
