@@ -312,13 +312,8 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(every.join(merged, "component", "left").select("s", F.coalesce("to", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, few_groups: int = 4, filter_bits: int = 1 << 23) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included).
-
-    threshold: the least Jaccard similarity as a fraction. slots and filter_bits are sizes of tables that every task
-    gets, whatever the corpus; larger ones keep groups small and fewer texts on the move, no size changes the result.
-    """
-    rows, t = id_and_text(docs, id_col, text_col), threshold
+def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, s, n), their distinct sets (s, n, rep, bm), and groups (h, s, n) of sets that share a prefix shingle."""
     described = _described(rows, k, slots)
     documents = described.where("n >= 0")
     sets = stage(documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm")), "distinct")
@@ -331,6 +326,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = shared.join(shared.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h").select("h", "s", "n")
     groups = stage(groups, "groups")
     unstage(shared)
+    return documents, sets, groups
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, few_groups: int = 4, filter_bits: int = 1 << 23) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included).
+
+    threshold: the least Jaccard similarity as a fraction. slots and filter_bits are sizes of tables that every task
+    gets, whatever the corpus; larger ones keep groups small and fewer texts on the move, no size changes the result.
+    """
+    rows, t = id_and_text(docs, id_col, text_col), threshold
+    documents, sets, groups = _grouped(rows, k, slots, t)
+    group = Window.partitionBy("h")
 
     # stars
     first = F.min(F.struct("s", "n")).over(group)
@@ -356,3 +363,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, filter_bits: int = 1 << 23) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links (the other rows of the similarity or more, copies included).
+
+    All pairs of all tiles that bitmaps don't rule out are verified, whatever components they are in; each pair of
+    sets counts for as many rows as have the other set.
+    """
+    rows, t = id_and_text(docs, id_col, text_col), threshold
+    documents, sets, groups = _grouped(rows, k, slots, t)
+    tiles = _tiles(groups.withColumn("component", F.col("s")), t, block).join(sets.select("s", "bm"), "s")
+    links = _decided(checkpoint(_compared(tiles, t, False)), rows, sets, k, t, filter_bits)
+    copies = documents.where("n > 0").groupBy("s").agg(F.count("*").alias("copies"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(copies.withColumnRenamed("s", "b"), "b").groupBy(F.col("a").alias("s")).agg(F.sum("copies").alias("near"))
+    counts = checkpoint(copies.join(near, "s", "left").select("s", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    for x in (groups, sets):
+        unstage(x)
+    out = documents.select("id", "s", "n").join(counts, "s", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -43,6 +43,12 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir))
 
 
+@query
+def op4_link_counts(spark, sf_dir):
+    """Each document's number of links in the join of op4_ngram_join."""
+    return ngram_join.link_counts(table(spark, sf_dir))
+
+
 @query
 def op6_secret_scan(spark, sf_dir):
     """Secrets of all documents: pattern spans and novel strings."""

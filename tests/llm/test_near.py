@@ -60,6 +60,38 @@ def test_chains_and_dense_groups(spark, slots):
     assert Counter(tuple(r) for r in ngram_join.near_duplicates(df, slots=slots, block=8, filter_bits=1 << 10).collect()) == brute(texts_of(df))
 
 
+def brute_links(docs):
+    """Each row's number of similar rows, by all pairs."""
+    sets = [shingle_set(t) for _, t in docs]
+    out = Counter()
+    for i, (d, _) in enumerate(docs):
+        n = 0
+        for j in range(len(docs)):
+            inter = len(sets[i] & sets[j])
+            n += i != j and bool(sets[i]) and 100 * inter >= 75 * (len(sets[i]) + len(sets[j]) - inter) > 0
+        out[(d, len(sets[i]), n)] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["corpus", "odd", "none"])
+def test_links_of_each_document(request, which):
+    df = request.getfixturevalue(which)
+    assert Counter(tuple(r) for r in ngram_join.link_counts(df, block=4).collect()) == brute_links(texts_of(df))
+
+
+def test_links_of_a_dense_group_with_copies(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(40):
+        v = list(base)
+        v[rng.randrange(60)] = f"d{i}"
+        rows += [(i if i % 5 else None, " ".join(v), "en", "a")] * rng.choice((1, 1, 3))
+    df = make(spark, rows).repartition(3)
+    got = ngram_join.link_counts(df, block=8).collect()
+    assert Counter(tuple(r) for r in got) == brute_links(texts_of(df)) and max(r["n_links"] for r in got) > 30
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_a_near_copy_without_an_id_links(spark, seed):
     """Two texts that only link through a row with a null id; among several sets, such rows come first and second in a pair."""
