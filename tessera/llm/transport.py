@@ -7,7 +7,8 @@ and gives the timestamps with their byte positions and random-access flags.
 
 Edge cases: null text is empty; a payload is padded with zero bytes to a positive multiple of 64, its own length
 stands in a private descriptor; equal texts give equal streams; an empty table gives an empty table; other columns
-are ignored. A damaged stream gives counts of its faults, not an exception.
+are ignored. A very long text is one stream, which its task holds whole, with its payload; clocks wrap at 33 bits.
+A damaged stream gives counts of its faults, not an exception, whatever bytes are wrong.
 """
 
 from __future__ import annotations
@@ -76,6 +77,15 @@ def encode(payload: bytes, length: int) -> bytes:
     return b"".join(out)
 
 
+def _checked_section(data: bytes, table: int) -> bytes | None:
+    """The section of a table that a packet's data begins, if it lies in the packet and its checksum is right."""
+    s = data[1 + data[0] :] if data else b""
+    if len(s) < 16 or s[0] != table:
+        return None
+    n = 3 + ((s[1] & 15) << 8 | s[2])
+    return None if n < 16 or n > len(s) or crc_mpeg(s[:n]) else s[:n]
+
+
 def decode(stream: bytes) -> dict:
     """Payload, its own length, timestamps (ticks, byte position, random access) and the faults found."""
     found = {"payload": b"", "length": None, "units": [], "packets": len(stream) // PACKET, "sync_errors": int(len(stream) % PACKET > 0), "continuity_errors": 0, "table_errors": 0}
@@ -92,6 +102,9 @@ def decode(stream: bytes) -> dict:
         pid, begins, here, random = (a & 31) << 8 | b, a & 0x40, at + 4, False
         if c & 0x20:
             n = stream[here]
+            if n > PACKET - 5:  # an adaptation field beyond its packet
+                found["sync_errors"] += 1
+                continue
             random = n > 0 and bool(stream[here + 1] & 0x40)
             here += n + 1
         if not c & 0x10:
@@ -101,16 +114,18 @@ def decode(stream: bytes) -> dict:
         counters[pid] = c & 15
         data = stream[here : at + PACKET]
         if pid == PAT_PID or pid == pmt_pid:
-            s = data[1 + data[0] :]
-            s = s[: 3 + ((s[1] & 15) << 8 | s[2])]
-            if crc_mpeg(s):
+            s = _checked_section(data, 0 if pid == PAT_PID else 2)
+            if s is None:
                 found["table_errors"] += 1
             elif pid == PAT_PID:
                 pmt_pid = (s[10] & 31) << 8 | s[11]
             else:
                 end = 12 + ((s[10] & 15) << 8 | s[11])
+                if end + 5 > len(s) - 4:  # no room for an elementary stream before the checksum
+                    found["table_errors"] += 1
+                    continue
                 k = 12
-                while k < end:
+                while k + 2 <= end and k + 2 + s[k + 1] <= end:
                     if s[k] == TAG:
                         found["length"] = int.from_bytes(s[k + 2 : k + 2 + s[k + 1]], "big")
                     k += 2 + s[k + 1]
@@ -125,7 +140,8 @@ def decode(stream: bytes) -> dict:
     for _, random, parts in units:
         pes = b"".join(parts)
         n = int.from_bytes(pes[4:6], "big")
-        if pes[:3] != b"\0\0\1" or len(pes) < n + 6:
+        # a packet cut short, or one whose header has no room for a timestamp or is longer than the packet
+        if pes[:3] != b"\0\0\1" or len(pes) < n + 6 or n < 8 or not 5 <= pes[8] <= n - 3:
             found["continuity_errors"] += 1
             continue
         t = pes[9:14]

@@ -115,12 +115,31 @@ def test_faults_are_counted():
     s = transport.encode(bytes(range(256)) * 64, 5)
     assert transport.decode(s[: 188 * 4] + s[188 * 5 :])["continuity_errors"] > 0
     assert transport.decode(b"\0" + s[1:])["sync_errors"] == 1
-    assert transport.decode(s[:30] + b"\1" + s[31:188] + s[188:])["table_errors"] in (0, 1)
+    assert transport.decode(s[:20] + b"\1" + s[21:])["table_errors"] == 1  # within the section's checksum
+    assert transport.decode(s[:30] + b"\1" + s[31:])["table_errors"] == 0  # stuffing behind it
     broken = bytearray(s)
     broken[188 + 20] ^= 1
     assert transport.decode(bytes(broken))["table_errors"] == 1
 
 
+@pytest.mark.parametrize("value", [0x00, 0xFF])
+def test_no_damaged_byte_raises(value):
+    s = transport.encode(bytes(range(256)) * 20, 5)
+    for at in range(len(s)):
+        found = transport.decode(s[:at] + bytes([value]) + s[at + 1 :])
+        assert len(found["payload"]) <= 20 * 256
+    rng = random.Random(3)
+    for _ in range(300):
+        b = bytearray(s)
+        for _ in range(rng.randrange(1, 40)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        transport.decode(bytes(b[: rng.randrange(len(b))]))
+    # sections with a right checksum and a wrong content
+    for body in (b"", b"\xe1\0", b"\xe1\0\xf0\xff" + bytes(6), b"\xe1\0\xf0\x02\x80\xff" + bytes(3)):
+        pmt = bytes([0x47, 0x50, 0, 0x10]) + transport._section(2, 1, body)
+        assert transport.decode(transport.PAT + pmt + s[376:])["table_errors"] == 1 or body[3:4] == b"\x02"
+
+
 def test_timestamps_keep_33_bits():
     t = (1 << 33) - 5
     b = transport._pts(t)
