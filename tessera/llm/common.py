@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session that is one process makes a folder of its own; any other is refused, as its
+    executors don't share the driver's disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -26,25 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with short_lived_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: a barrier that survives lost executors.
 
     `df.staged_path` of the result is its folder; `unstage` removes it once nothing reads it any more. The shuffle
-    files behind the table go at once: Spark deletes them when the driver collects garbage, which is asked for here.
+    files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with short_lived_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Jobs in here delete their shuffle files when they end, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table."""
     spark = df.sparkSession
