@@ -1,16 +1,22 @@
 """Token-id files with Elias-Fano document boundaries.
 
 A shard is one self-contained byte image: a header, the concatenated ids (two bytes each where the largest id
-allows it, else four), and two Elias-Fano sequences: the document ends within the shard and the document ids.
+allows it, else four), and two Elias-Fano sequences with their select positions: the document ends within the shard
+and the document ids. Opening one reads headers only; a document costs two selects, a document's place a binary
+search by select.
 Shards are the rows of a written table, in ascending document order, so any store that Spark reaches can hold
-them; `base` in the manifest says how many ids lie before a shard.
+them: executors have no other writer for a remote store. `export` copies them to plain files, which `open_shard`
+maps without Spark.
 
 Edge cases: null text is empty (its document is the end id alone); null ids come first; repeated ids and rows are
-kept in the order of their text's hash; an empty table gives an empty file; other columns are ignored.
+kept in the order of their text's hash; a very long text is one document of one shard, however large that gets;
+an empty table gives an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
 import uuid
 from functools import cache
@@ -24,9 +30,9 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import Encoder
 from tessera.llm.common import id_and_text, shared_dir, shuffle_partitions, texts
 
-MAGIC = b"TSEF0001"
+MAGIC = b"TSEF0002"
 HEAD = struct.Struct("<8sQQQqQI")  # magic, documents, ids, null document ids, least document id, bytes of the ids, bytes per id
-SEQ = struct.Struct("<QQBQQ")  # values, largest value, low bits, bytes of the low part, bytes of the high part
+SEQ = struct.Struct("<QQBBQQ")  # values, largest value, low bits, bytes of a kept position, bytes of the low part, bytes of the high part
 #: One position of every so many set bits is kept for select.
 STRIDE = 128
 #: A row for each shard; before: ids of the shards before it in its range partition.
@@ -42,20 +48,14 @@ def encoder(path: str) -> Encoder:
 class EliasFano:
     """A nondecreasing sequence of n values up to u in about n * (2 + log2(u / n)) bits.
 
-    `select(i)` finds value i from the nearest kept position of a set bit and a popcount over the bytes from there;
-    the kept positions take 32 bits for every STRIDE values, relative to the sequence's start.
+    `select(i)` finds value i from the nearest kept position of a set bit and a popcount over the bytes from there.
+    The kept positions, one for every STRIDE values, are part of the image: 32 bits each, or 64 where the high part
+    has 2^32 bits or more.
     """
 
-    def __init__(self, n: int, top: int, width: int, low: bytes, high: bytes):
-        self.n, self.top, self.width, self.low, self.high = n, top, width, low, high
-        bits = np.frombuffer(high, np.uint8)
-        self._bits = bits
-        self.kept = np.zeros(0, np.uint32)
-        if n:
-            ones = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
-            want = np.arange(0, n, STRIDE)
-            at = np.searchsorted(ones, want, side="right")
-            self.kept = np.array([self._within(int(b), int(w - (ones[b - 1] if b else 0))) for b, w in zip(at, want, strict=True)], np.uint32)
+    def __init__(self, n: int, top: int, width: int, kept: np.ndarray, low, high):
+        self.n, self.top, self.width, self.kept, self.low, self.high = n, top, width, kept, low, high
+        self._bits = np.frombuffer(high, np.uint8)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -66,14 +66,9 @@ class EliasFano:
         high = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         bits = np.zeros(-(-(int(high[-1]) + 1) // 8) * 8 if n else 0, np.uint8)
         bits[high] = 1
+        kept = high[::STRIDE].astype("<u4" if len(bits) < 1 << 32 else "<u8")
         low = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, top, width, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes())
-
-    def _within(self, byte: int, k: int) -> int:
-        value = int(self._bits[byte])
-        for _ in range(k):
-            value &= value - 1
-        return 8 * byte + (value & -value).bit_length() - 1
+        return cls(n, top, width, kept, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes())
 
     def _low(self, i: int) -> int:
         value = 0
@@ -104,13 +99,17 @@ class EliasFano:
         return (high << np.uint64(self.width)) + (low << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def dump(self) -> bytes:
-        return SEQ.pack(self.n, self.top, self.width, len(self.low), len(self.high)) + self.low + self.high
+        return SEQ.pack(self.n, self.top, self.width, self.kept.itemsize, len(self.low), len(self.high)) + self.kept.tobytes() + self.low + self.high
 
     @classmethod
-    def load(cls, image: bytes, at: int) -> tuple[EliasFano, int]:
-        n, top, width, low, high = SEQ.unpack_from(image, at)
+    def load(cls, image, at: int) -> tuple[EliasFano, int]:
+        """The sequence at a place of an image, of which nothing is copied, and where it ends."""
+        n, top, width, item, low, high = SEQ.unpack_from(image, at)
+        view = memoryview(image)
         at += SEQ.size
-        return cls(n, top, width, image[at : at + low], image[at + low : at + low + high]), at + low + high
+        kept = np.frombuffer(view, f"<u{item}", -(-n // STRIDE), at)
+        at += kept.nbytes
+        return cls(n, top, width, kept, view[at : at + low], view[at + low : at + low + high]), at + low + high
 
 
 def write_shard(ids: list, counts: list[int], data: bytes) -> bytes:
@@ -126,16 +125,26 @@ def write_shard(ids: list, counts: list[int], data: bytes) -> bytes:
 
 
 class Shard:
-    """Random access to a shard's documents by select."""
+    """Random access to a shard's documents by select: nothing of the image is copied or decoded but what is asked for."""
 
-    def __init__(self, image: bytes):
-        magic, self.n, self.tokens, self.nulls, least, size, width = HEAD.unpack_from(image, 0)
+    def __init__(self, image):
+        magic, self.n, self.tokens, self.nulls, self.least, size, width = HEAD.unpack_from(image, 0)
         if magic != MAGIC:
             raise ValueError("not a shard")
         self.ids = np.frombuffer(image, f"<u{width}", self.tokens, HEAD.size)
         self.ends, at = EliasFano.load(image, HEAD.size + size)
-        offsets, at = EliasFano.load(image, at)
-        self.doc_ids = [None] * self.nulls + (offsets.values().astype(np.int64) + least).tolist()
+        self.offsets, at = EliasFano.load(image, at)
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.offsets.select(i - self.nulls) + self.least
+
+    def find(self, doc_id: int) -> int | None:
+        """The first place of a document id, by binary search over select."""
+        lo, hi = 0, self.offsets.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.offsets.select(mid) + self.least < doc_id else (lo, mid)
+        return self.nulls + lo if lo < self.offsets.n and self.offsets.select(lo) + self.least == doc_id else None
 
     def bounds(self, i: int) -> tuple[int, int]:
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
@@ -189,14 +198,39 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for start, image in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                shard = Shard(image)
+                shard, begin = Shard(image), 0
+                offsets = shard.offsets.values().astype(np.int64) + shard.least
                 for at in range(0, shard.n, 1024):
-                    rows = [(shard.doc_ids[i], start + shard.bounds(i)[0], shard.document(i).astype("<u4").tobytes()) for i in range(at, min(at + 1024, shard.n))]
+                    rows = []
+                    for i in range(at, min(at + 1024, shard.n)):
+                        end = shard.ends.select(i)
+                        rows.append((None if i < shard.nulls else int(offsets[i - shard.nulls]), start + begin, shard.ids[begin:end].astype("<u4").tobytes()))
+                        begin = end
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return placed.select(F.col("base") + F.col("before"), "image").mapInArrow(documents, "doc_id long, start long, ids binary")
 
 
+def export(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """Copy the shards of `path` to plain files of a folder that this process sees; their names, in document order.
+
+    One shard at a time is held here, as the files are one after another on one disk.
+    """
+    os.makedirs(folder, exist_ok=True)
+    names = []
+    for row in spark.read.schema(TABLE).parquet(path).orderBy("part", "before").toLocalIterator():
+        names.append(os.path.join(folder, f"{row['part']:06d}-{row['before']:015d}.tsef"))
+        with open(names[-1], "wb") as f:
+            f.write(row["image"])
+    return names
+
+
+def open_shard(name: str) -> Shard:
+    """A shard of a plain file, mapped: pages are read as documents are asked for."""
+    with open(name, "rb") as f:
+        return Shard(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:
     """Write all documents, read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
