@@ -130,12 +130,14 @@ def sampled(id_col: str, rows: int, n: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
     """The documents, with their label (y), of about `rows` labelled ids at most, without held-out ones.
 
-    A hash of the id chooses on both sides, so the other documents' texts aren't shuffled.
+    A hash of the id chooses on both sides, so the other documents' texts aren't shuffled. Of several rows of an id one
+    stays, the least by its values, so that the sample is bounded by its ids whatever repeats.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label).cast("int").alias("y"))
     known = known.where(~held_out("__id"))
     n = known.count()
-    return docs.where(sampled(id_col, rows, n)).join(known.where(sampled("__id", rows, n)), F.col(id_col).cast("long") == F.col("__id")).drop("__id")
+    found = docs.where(sampled(id_col, rows, n)).join(known.where(sampled("__id", rows, n)), F.col(id_col).cast("long") == F.col("__id"))
+    return found.groupBy("__id", "y").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, slots: int = 1 << 18, **options) -> Machine:
