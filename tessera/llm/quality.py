@@ -2,38 +2,51 @@
 
 The text view sees hashed words and how many words have which shape. The metadata view sees what a crawler records
 about a page: language, source, length, and layout (lines, their lengths and repetition, shares of capitals, digits
-and marks). Each view's classifier is fitted on the labelled sample; then, round by round, each labels the pool
-documents it is surest of for the other. Both are calibrated on labelled rows kept apart, and a document's quality
-is the mean of the calibrated log odds.
+and marks). Each view's classifier is fitted on the labelled sample; then, round by round, each labels every document
+outside that sample that it is sure of, and of these a lot of distinct ones, drawn by their hash from the whole
+table, teaches the other. Both are calibrated on labelled rows kept apart, and a document's quality is the mean of
+the calibrated log odds.
 
-Bounds: the labelled sample has about `rows` rows, the pool `pool` unlabelled documents (both by a hash of the id);
-only their slots come to the driver. Every document is scored.
+Bounds: the labelled sample has about `rows` rows (by a hash of the id), a round's lot `lot` pseudo-labelled documents
+for each view; only these rows' slots come to the driver. Every document is read and labelled in every round, and
+scored.
 
 Edge cases: null text, language and source count as empty; without labels of both classes every document is good if
-the labels are or if there are none, and bad if they are; repeated labels of an id count once, as good if any is; an empty table gives
-an empty table; other columns are ignored (`kept` returns them).
+the labels are or if there are none, and bad if they are; repeated labels of an id count once, as good if any is, and
+repeated rows of an id once; equal documents are one candidate of a lot; scores don't depend on other rows, so ties
+are equal scores; very long texts are read whole, one at a time; an empty table gives an empty table; other columns
+are ignored (`kept` returns them).
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import sliced
-from tessera.llm.toxicity import Machine, _sigmoid, fit, labelled_sample, sampled
+from tessera.llm.toxicity import Machine, _sigmoid, fit, labelled_sample
 
 #: Upper bounds of the classes of a share: fixed values.
 SHARES = (0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 TEXT_SLOTS, META_SLOTS = 1 << 18, 1 << 12
-MARKS = re.compile(r"[^\w\s.,]")
+SHAPES = ("capital", "shout", "bare", "digit", "link")
+#: Classes of a character, as bits: capital, mark (not of a word, nor space, dot or comma), digit.
+UPPER, MARK, DIGIT = 1, 2, 4
+
+
+@lru_cache(1 << 16)
+def _slot(name: str, slots: int) -> int:
+    return xxhash.xxh3_64_intdigest(name) % slots
 
 
 def _share(name: str, part: float, whole: float) -> str:
@@ -42,45 +55,88 @@ def _share(name: str, part: float, whole: float) -> str:
 
 
 def _slots(names, slots: int) -> list[int]:
-    return sorted({xxhash.xxh3_64_intdigest(x) % slots for x in names})
+    return sorted({_slot(x, slots) for x in names})
+
+
+class _Words(dict):
+    """A word's slot, and which of the shapes it has, as bits."""
+
+    def __missing__(self, w: str) -> tuple[int, int]:
+        if len(self) > 200_000:
+            self.clear()
+        has = (w.isupper() and len(w) > 1, w.endswith("!"), not any(map(str.isalnum, w)), any(map(str.isdigit, w)), "://" in w or "www." in w)
+        self[w] = found = xxhash.xxh3_64_intdigest(w.lower()) % TEXT_SLOTS, sum(x << k for k, x in enumerate(has))
+        return found
+
+
+WORDS = _Words()
 
 
 def text_view(text: str) -> list[int]:
     """Slots of the content: distinct words, and the shares of words by shape."""
     words = text.split()
-    n = len(words)
-    distinct = set(words)
-    shapes = Counter()
-    for w, k in Counter(words).items():
-        shapes["capital"] += k * (w.isupper() and len(w) > 1)
-        shapes["shout"] += k * w.endswith("!")
-        shapes["bare"] += k * (not any(c.isalnum() for c in w))
-        shapes["digit"] += k * any(c.isdigit() for c in w)
-        shapes["link"] += k * ("://" in w or "www." in w)
-    names = [_share(f"#{s}", shapes[s], n) for s in ("capital", "shout", "bare", "digit", "link")]
-    return _slots([*names, _share("#distinct", len(distinct), n), f"#words:{n.bit_length()}", *(w.lower() for w in distinct)], TEXT_SLOTS)
+    n, distinct, shapes, slots = len(words), Counter(words), [0] * len(SHAPES), set()
+    for w, k in distinct.items():
+        slot, has = WORDS[w]
+        slots.add(slot)
+        if has:
+            for i in range(len(SHAPES)):
+                if has >> i & 1:
+                    shapes[i] += k
+    names = [_share(f"#{s}", k, n) for s, k in zip(SHAPES, shapes, strict=True)]
+    slots.update(_slot(x, TEXT_SLOTS) for x in (*names, _share("#distinct", len(distinct), n), f"#words:{n.bit_length()}"))
+    return sorted(slots)
+
+
+def _class(c: str) -> int:
+    return UPPER * c.isupper() | MARK * (not (c.isalnum() or c.isspace() or c in "_.,")) | DIGIT * c.isdecimal()
+
+
+@cache
+def _classes() -> np.ndarray:
+    """Classes of the first 2^16 code points."""
+    return np.fromiter((_class(chr(c)) for c in range(1 << 16)), np.uint8, 1 << 16)
+
+
+def counted(text: str) -> tuple[int, int, int]:
+    """Capitals, marks and digits of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    far = codes >= 1 << 16
+    by = np.bincount(_classes()[codes if not far.any() else codes[~far]], minlength=8)
+    for c in codes[far].tolist():
+        by[_class(chr(c))] += 1
+    return tuple(int(sum(by[k] for k in range(8) if k & bit)) for bit in (UPPER, MARK, DIGIT))
 
 
 def meta_view(text: str, lang: str, source: str) -> list[int]:
     """Slots of the page's record: language, source, length and layout."""
     lines = text.split("\n")
     n = len(text)
+    upper, marks, digits = counted(text)
     names = [f"lang:{lang}", f"source:{source}", f"chars:{n.bit_length()}", f"lines:{len(lines).bit_length()}", f"line:{(n // len(lines)).bit_length()}"]
-    names += [_share("repeated", len(lines) - len(set(lines)), len(lines)), _share("upper", sum(k for c, k in Counter(text).items() if c.isupper()), n)]
-    names += [_share("marks", len(MARKS.findall(text)), n), _share("digits", len(re.findall(r"\d", text)), n), _share("blank", text.count(" ") + len(lines) - 1, n)]
+    names += [_share("repeated", len(lines) - len(set(lines)), len(lines)), _share("upper", upper, n), _share("marks", marks, n), _share("digits", digits, n), _share("blank", text.count(" ") + len(lines) - 1, n)]
     return _slots(names, META_SLOTS)
 
 
 @dataclass
 class View:
     machine: Machine
+    slots: int
     slope: float = 1.0
     shift: float = 0.0
 
-    def logits(self, rows) -> np.ndarray:
-        m = self.machine
-        place = {int(s): k for k, s in enumerate(m.slots)}
-        return np.array([m.bias + sum(m.weights[place[s]] for s in r if s in place) for r in rows])
+    def __post_init__(self):
+        self.table = np.zeros(self.slots)
+        self.table[self.machine.slots] = self.machine.weights
+
+    def logits(self, rows: list) -> np.ndarray:
+        """Log odds of rows of slots, as the classifier has them."""
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
+        return self.machine.bias + np.bincount(np.repeat(np.arange(len(rows)), n), self.table[flat], minlength=len(rows))
+
+    def calibrated(self, rows: list) -> np.ndarray:
+        return self.slope * self.logits(rows) + self.shift
 
     def calibrate(self, rows: list, y: np.ndarray) -> None:
         """Platt's two numbers by Newton steps, with his targets, which aren't quite 0 and 1."""
@@ -100,8 +156,15 @@ class View:
             self.slope, self.shift = float(w[0]), float(w[1])
 
 
-def co_train(text: list, meta: list, y: np.ndarray, pool_text: list, pool_meta: list, *, rounds: int = 3, sure: float = 0.98, lot: int = 1000, apart: float = 0.25, seed: int = 3) -> tuple[View, View]:
-    """Both views' classifiers after `rounds` of exchanging at most `lot` pseudo-labels each way."""
+#: What a view teaches the other in a round: (label, its slots in the other view).
+Lesson = tuple[int, np.ndarray]
+
+
+def co_train(text: list, meta: list, y: np.ndarray, exchange: Callable[[tuple[View, View], float], tuple[list[Lesson], list[Lesson]]], *, rounds: int = 3, apart: float = 0.25, seed: int = 3) -> tuple[View, View]:
+    """Both views' classifiers after `rounds` of exchange.
+
+    exchange(views, share of class 1) gives the lessons for the text view and for the metadata view.
+    """
     rng = np.random.default_rng(seed)
     keep = rng.random(len(y)) >= apart
     if not len(y) or len(set(y[keep])) < 2:
@@ -109,60 +172,113 @@ def co_train(text: list, meta: list, y: np.ndarray, pool_text: list, pool_meta:
     share = y[keep].mean() if len(y) else 1.0
     if not 0 < share < 1:
         constant = Machine(40.0 if share else -40.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)))
-        return View(constant), View(constant)
+        return View(constant, TEXT_SLOTS), View(constant, META_SLOTS)
     options = [{"slots": TEXT_SLOTS, "rank": 0, "least": 5, "z": 4.0}, {"slots": META_SLOTS, "rank": 0, "least": 5, "z": 0.0}]
     rows = [[r for r, k in zip(v, keep, strict=True) if k] for v in (text, meta)]
     ys = [list(y[keep]), list(y[keep])]
-    pools = [pool_text, pool_meta]
-    free = [set(range(len(pool_text))), set(range(len(pool_text)))]
-    views = [View(fit(r, np.array(t), **o)) for r, t, o in zip(rows, ys, options, strict=True)]
+
+    def fitted():
+        return tuple(View(fit(r, np.array(t), **o), o["slots"]) for r, t, o in zip(rows, ys, options, strict=True))
+
+    views = fitted()
     for _ in range(rounds):
-        for me, other in ((0, 1), (1, 0)):
-            at = np.array(sorted(free[other]), int)
-            if not len(at):
-                continue
-            p = _sigmoid(views[me].logits([pools[me][i] for i in at]))
-            for label, score, most in ((1, p, lot * share), (0, 1 - p, lot * (1 - share))):
-                best = np.argsort(-score, kind="stable")[: int(most)]
-                for i in at[best[score[best] >= sure]]:
-                    rows[other].append(pools[other][i])
-                    ys[other].append(label)
-                    free[other].discard(int(i))
-        views = [View(fit(r, np.array(t), **o)) for r, t, o in zip(rows, ys, options, strict=True)]
+        lessons = exchange(views, share)
+        if not any(lessons):
+            break
+        for own, target, taught in zip(rows, ys, lessons, strict=True):
+            own += [r for _, r in taught]
+            target += [t for t, _ in taught]
+        views = fitted()
     for view, v in zip(views, (text, meta), strict=True):
         view.calibrate([r for r, k in zip(v, keep, strict=True) if not k], y[~keep])
-    return views[0], views[1]
+    return views
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> list:
     return [F.col(id_col).cast("long").alias("id"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source")))]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rows: int = 10_000, pool: int = 10_000, **options) -> tuple[View, View]:
-    """The two views, co-trained."""
+def _viewed(batches):
+    """Slots of both views of Arrow batches with text, lang and source, besides the columns before these."""
+    for batch in sliced(batches):
+        text, lang, source = (batch.column(c).to_pylist() for c in ("text", "lang", "source"))
+        yield batch, [text_view(t) for t in text], [meta_view(*r) for r in zip(text, lang, source, strict=True)]
+
+
+def _with_slots(rows: DataFrame) -> tuple:
+    """(keys, labels, text slots, metadata slots) of a bounded table (key, y, text, lang, source), by key."""
 
     def run(batches):
-        for batch in sliced(batches):
-            ids, y, text, lang, source = (batch.column(c) for c in ("id", "y", "text", "lang", "source"))
-            text = text.to_pylist()
-            a = [text_view(t) for t in text]
-            b = [meta_view(t, u, v) for t, u, v in zip(text, lang.to_pylist(), source.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, y, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["id", "y", "a", "b"])
+        for batch, a, b in _viewed(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["key", "y", "a", "b"])
 
-    columns = _columns(docs, id_col, text_col, lang_col, source_col)
-    taken = docs.select(id_col, text_col, lang_col, source_col)
-    known = labelled_sample(taken, labels, label, rows, id_col).select(*columns, "y")
-    some = taken.where(sampled(id_col, pool, docs.count())).join(labels.select(F.col(id_col).alias("__id")), F.col(id_col) == F.col("__id"), "left_anti").select(*columns, F.lit(-1).alias("y"))
-    table = known.unionByName(some).mapInArrow(run, "id long, y int, a array<int>, b array<int>").toArrow()
-    y, ids = table["y"].to_numpy(), table["id"].to_numpy()
+    table = rows.select("key", "y", "text", "lang", "source").mapInArrow(run, "key long, y int, a array<int>, b array<int>").toArrow()
+    keys = table["key"].to_numpy()
+    order = np.argsort(keys, kind="stable")
     views = []
     for c in ("a", "b"):
         lists = table[c].combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        views.append([flat[ends[i] : ends[i + 1]] for i in range(len(y))])
-    order = np.argsort(ids, kind="stable")
-    here, there = [i for i in order if y[i] >= 0][: 2 * rows], [i for i in order if y[i] < 0][: 2 * pool]
-    return co_train(*([v[i] for i in here] for v in views), y[here], *([v[i] for i in there] for v in views), **options)
+        views.append([flat[ends[i] : ends[i + 1]] for i in order])
+    return keys[order], table["y"].to_numpy()[order], *views
+
+
+def _sure(pages: DataFrame, views: tuple[View, View], known: np.ndarray, sure: float, most: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """(view that is sure, label, key): of each view and label the `most` least keys of the documents it is sure of.
+
+    pages: (key, text, lang, source) of all documents; known: sorted keys that are left out. Each task keeps its own
+    least keys, then groups by key, and only the few that remain come to the driver.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast((views, known))
+
+    def run(batches):
+        (mine, skip), kept = shared.value, {(v, t): np.zeros(0, np.int64) for v in (0, 1) for t in (0, 1)}
+        for batch, *rows in _viewed(batches):
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            new = skip[np.minimum(np.searchsorted(skip, keys), len(skip) - 1)] != keys if len(skip) else np.ones(len(keys), bool)
+            for v in (0, 1):
+                p = _sigmoid(mine[v].logits(rows[v]))
+                for t in (0, 1):
+                    hit = keys[new & ((p if t else 1 - p) >= sure)]
+                    if len(hit):
+                        kept[v, t] = np.unique(np.concatenate([kept[v, t], hit]))[: most[t]]
+        for (v, t), keys in kept.items():
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys)], names=["view", "y", "key"])
+
+    found = pages.mapInArrow(run, "view int, y int, key long").distinct()
+    limit = F.when(F.col("y") == 1, most[1]).otherwise(most[0])
+    for by in (["view", "y", F.pmod("key", F.lit(64))], ["view", "y"]):
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("r") <= limit).drop("r")
+    return [tuple(r) for r in found.collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rows: int = 10_000, lot: int = 1_000, sure: float = 0.98, **options) -> tuple[View, View]:
+    """The two views, co-trained on all documents."""
+    taken = docs.select(id_col, text_col, lang_col, source_col)
+    columns = _columns(docs, id_col, text_col, lang_col, source_col)
+    key = F.xxhash64("text", "lang", "source").alias("key")
+    sample = labelled_sample(taken, labels, label, rows, id_col).select(*columns, "y").select(key, "y", "text", "lang", "source")
+    known, y, text, meta = _with_slots(sample)
+    pages = taken.select(*columns[1:]).select(key, "text", "lang", "source")
+    seen = [np.unique(known)]
+
+    def exchange(views, share):
+        most = int(lot * (1 - share)), int(lot * share)
+        found = _sure(pages, views, seen[0], sure, most)
+        wanted = sorted({k for _, _, k in found})
+        if not wanted:
+            return [], []
+        seen[0] = np.union1d(seen[0], np.array(wanted, np.int64))
+        one = pages.where(F.col("key").isin(wanted)).groupBy("key").agg(F.min(F.struct("text", "lang", "source")).alias("page")).select("key", F.lit(-1).alias("y"), "page.*")
+        keys, _, a, b = _with_slots(one)
+        place = {int(k): i for i, k in enumerate(keys)}
+        lessons = [], []
+        for view, t, k in sorted(found):
+            lessons[1 - view].append((t, (a, b)[1 - view][place[k]]))
+        return lessons
+
+    return co_train(text, meta, y, exchange, **options)
 
 
 def scorer(spark, views: tuple[View, View]):
@@ -171,10 +287,13 @@ def scorer(spark, views: tuple[View, View]):
 
     @F.pandas_udf("text_score double, meta_score double, quality double")
     def scores(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-        a, b = shared.value
-        x = a.slope * a.logits(text_view(t) for t in text) + a.shift
-        y = b.slope * b.logits(meta_view(*r) for r in zip(text, lang, source, strict=True)) + b.shift
-        return pd.DataFrame({"text_score": _sigmoid(x), "meta_score": _sigmoid(y), "quality": _sigmoid((x + y) / 2)})
+        out = []
+        for at in range(0, len(text), 256):
+            some = slice(at, at + 256)
+            x = shared.value[0].calibrated([text_view(t) for t in text[some]])
+            y = shared.value[1].calibrated([meta_view(*r) for r in zip(text[some], lang[some], source[some], strict=True)])
+            out.append(np.stack([_sigmoid(x), _sigmoid(y), _sigmoid((x + y) / 2)], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["text_score", "meta_score", "quality"])
 
     return scores
 

@@ -89,12 +89,48 @@ def test_views_exchange_labels():
     text = [np.array([10 + t]) for t in y]
     meta = [np.array([20 + t]) for t in y]
     pool = rng.integers(0, 2, 400)
-    pool_text = [np.array([10 + t]) for t in pool]
-    pool_meta = [np.array([30 + t]) for t in pool]  # slots that no labelled row has
-    _, view = quality.co_train(text, meta, y, pool_text, pool_meta, sure=0.9)
+    left = list(range(400))
+
+    def exchange(views, share):
+        """The text view teaches the other; the pool's metadata slots are ones that no labelled row has."""
+        p = toxicity._sigmoid(views[0].logits([np.array([10 + pool[i]]) for i in left]))
+        sure, left[:] = [(i, int(q > 0.5)) for i, q in zip(left, p, strict=True) if max(q, 1 - q) >= 0.9], []
+        return [], [(t, np.array([30 + pool[i]])) for i, t in sure]
+
+    _, view = quality.co_train(text, meta, y, exchange)
     assert view.logits([np.array([31])])[0] > view.logits([np.array([30])])[0] + 1
 
 
+def test_lots_are_drawn_from_all_documents(spark):
+    """The keys that a view is sure of, against brute force: distinct, none known, the least of the whole table."""
+    from pyspark.sql import functions as F
+
+    rows = [("good fine words here" if i % 3 else "BUY! NOW!") + f" {i % 400}" for i in range(2000)]
+    pages = spark.createDataFrame([(t, "en", "s") for t in rows], "text string, lang string, source string").repartition(5).select(F.xxhash64("text", "lang", "source").alias("key"), "*")
+    weights = {quality._slot("good", quality.TEXT_SLOTS): 9.0, quality._slot("buy!", quality.TEXT_SLOTS): -9.0}
+    machine = toxicity.Machine(0.0, np.array(list(weights)), np.array(list(weights.values())), np.zeros((2, 0)))
+    views = quality.View(machine, quality.TEXT_SLOTS), quality.View(toxicity.Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), quality.META_SLOTS)
+    keys = {r["key"]: int("good" in r["text"]) for r in pages.collect()}
+    known = np.array(sorted(keys)[:50])
+    got = quality._sure(pages, views, known, 0.9, (30, 70))
+    want = [(0, t, k) for t, most in ((0, 30), (1, 70)) for k in sorted(k for k, y in keys.items() if y == t and k not in set(known.tolist()))[:most]]
+    assert sorted(got) == sorted(want) and len(got) == 100
+
+
+def test_character_classes_are_those_of_the_patterns():
+    import re
+
+    for text in ("", "Ab-9_.,!\n\t ", "ÀÉ×÷ ٣४ Ⅷ ß «»—…", "𝔘𝔫𝔦 𝟡 😀 𞤢", "İıſ ǅ"):
+        assert quality.counted(text) == (sum(map(str.isupper, text)), len(re.findall(r"[^\w\s.,]", text)), len(re.findall(r"\d", text)))
+
+
+def test_repeated_rows_of_a_labelled_id_count_once(spark):
+    rows = [(3, "same text", "en", "a")] * 50 + [(3, "another text", "en", "a"), (4, "b", "en", "a")]
+    labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (None, 1, 1)], LABELS)
+    got = toxicity.labelled_sample(make(spark, rows).select("doc_id", "text"), labels, "toxic", 100).collect()
+    assert sorted((r["doc_id"], r["text"], r["y"]) for r in got) == [(3, "another text", 1), (4, "b", 0)]
+
+
 def test_text_views_differ_for_shouting_and_prose():
     assert quality.text_view("THIS!! IS!! LOUD!!") != quality.text_view("this is not loud")
     assert quality.meta_view("", "", "") and make is not None
