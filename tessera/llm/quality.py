@@ -20,6 +20,7 @@ are ignored (`kept` returns them).
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ TEXT_SLOTS, META_SLOTS = 1 << 18, 1 << 12
 SHAPES = ("capital", "shout", "bare", "digit", "link")
 #: Classes of a character, as bits: capital, mark (not of a word, nor space, dot or comma), digit.
 UPPER, MARK, DIGIT = 1, 2, 4
+ALNUM, NUMERAL = re.compile(r"[^\W_]"), re.compile(r"\d")
 
 
 @lru_cache(1 << 16)
@@ -59,33 +61,46 @@ def _slots(names, slots: int) -> list[int]:
 
 
 class _Words(dict):
-    """A word's slot, and which of the shapes it has, as bits."""
+    """A word's slot, and above it which of the shapes the word has, as bits."""
 
-    def __missing__(self, w: str) -> tuple[int, int]:
+    def __missing__(self, w: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        has = (w.isupper() and len(w) > 1, w.endswith("!"), not any(map(str.isalnum, w)), any(map(str.isdigit, w)), "://" in w or "www." in w)
-        self[w] = found = xxhash.xxh3_64_intdigest(w.lower()) % TEXT_SLOTS, sum(x << k for k, x in enumerate(has))
+        has = w.isupper() and len(w) > 1
+        if not w.isalpha():  # letters alone are none of the other shapes
+            has |= w.endswith("!") << 1 | (not ALNUM.search(w)) << 2 | bool(NUMERAL.search(w)) << 3 | ("://" in w or "www." in w) << 4
+        self[w] = found = xxhash.xxh3_64_intdigest(w.lower()) % TEXT_SLOTS | has * TEXT_SLOTS
         return found
 
 
 WORDS = _Words()
+#: Rows of slots: all slots, row after row, each row's ascending; and each row's number of them.
+Rows = tuple[np.ndarray, np.ndarray]
 
 
-def text_view(text: str) -> list[int]:
+def _rows(slots: np.ndarray, row: np.ndarray, n: int, bits: int) -> Rows:
+    """The distinct slots of each of n rows."""
+    both = np.unique(row << bits | slots)
+    return both & (1 << bits) - 1, np.bincount(both >> bits, minlength=n)
+
+
+def text_views(texts: list[str]) -> Rows:
     """Slots of the content: distinct words, and the shares of words by shape."""
-    words = text.split()
-    n, distinct, shapes, slots = len(words), Counter(words), [0] * len(SHAPES), set()
-    for w, k in distinct.items():
-        slot, has = WORDS[w]
-        slots.add(slot)
-        if has:
-            for i in range(len(SHAPES)):
-                if has >> i & 1:
-                    shapes[i] += k
-    names = [_share(f"#{s}", k, n) for s, k in zip(SHAPES, shapes, strict=True)]
-    slots.update(_slot(x, TEXT_SLOTS) for x in (*names, _share("#distinct", len(distinct), n), f"#words:{n.bit_length()}"))
-    return sorted(slots)
+    found, counts, sizes, extra, of = [], [], [], [], []
+    for text in texts:
+        distinct = Counter(text.split())
+        found += map(WORDS.__getitem__, distinct)
+        counts += distinct.values()
+        sizes.append(len(distinct))
+    found, counts, sizes = np.array(found, np.int64), np.array(counts, np.int64), np.array(sizes, np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    n = np.bincount(row, counts, len(texts)).astype(int)
+    shapes = [np.bincount(row[hit], counts[hit], len(texts)).astype(int) for hit in (np.flatnonzero(found & TEXT_SLOTS << k) for k in range(len(SHAPES)))]
+    for i in range(len(texts)):
+        names = [_share(f"#{s}", k[i], n[i]) for s, k in zip(SHAPES, shapes, strict=True)]
+        extra += [_slot(x, TEXT_SLOTS) for x in (*names, _share("#distinct", sizes[i], n[i]), f"#words:{int(n[i]).bit_length()}")]
+        of += [i] * (len(SHAPES) + 2)
+    return _rows(np.concatenate([found & TEXT_SLOTS - 1, np.array(extra, np.int64)]), np.concatenate([row, np.array(of, np.int64)]), len(texts), TEXT_SLOTS.bit_length() - 1)
 
 
 def _class(c: str) -> int:
@@ -109,7 +124,7 @@ def counted(text: str) -> tuple[int, int, int]:
 
 
 def meta_view(text: str, lang: str, source: str) -> list[int]:
-    """Slots of the page's record: language, source, length and layout."""
+    """Slots of a page's record: language, source, length and layout."""
     lines = text.split("\n")
     n = len(text)
     upper, marks, digits = counted(text)
@@ -118,6 +133,16 @@ def meta_view(text: str, lang: str, source: str) -> list[int]:
     return _slots(names, META_SLOTS)
 
 
+def meta_views(texts: list[str], langs: list[str], sources: list[str]) -> Rows:
+    rows = [meta_view(*r) for r in zip(texts, langs, sources, strict=True)]
+    return flattened(rows)
+
+
+def flattened(rows: list) -> Rows:
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum())), n
+
+
 @dataclass
 class View:
     machine: Machine
@@ -129,20 +154,19 @@ class View:
         self.table = np.zeros(self.slots)
         self.table[self.machine.slots] = self.machine.weights
 
-    def logits(self, rows: list) -> np.ndarray:
+    def logits(self, rows: Rows) -> np.ndarray:
         """Log odds of rows of slots, as the classifier has them."""
-        n = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
-        return self.machine.bias + np.bincount(np.repeat(np.arange(len(rows)), n), self.table[flat], minlength=len(rows))
+        flat, n = rows
+        return self.machine.bias + np.bincount(np.repeat(np.arange(len(n)), n), self.table[flat], minlength=len(n))
 
-    def calibrated(self, rows: list) -> np.ndarray:
+    def calibrated(self, rows: Rows) -> np.ndarray:
         return self.slope * self.logits(rows) + self.shift
 
     def calibrate(self, rows: list, y: np.ndarray) -> None:
         """Platt's two numbers by Newton steps, with his targets, which aren't quite 0 and 1."""
         if not len(y) or y.min() == y.max():
             return
-        x = self.logits(rows)
+        x = self.logits(flattened(rows))
         up, down = y.sum(), len(y) - y.sum()
         t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
         w = np.array([1.0, 0.0])
@@ -202,15 +226,16 @@ def _viewed(batches):
     """Slots of both views of Arrow batches with text, lang and source, besides the columns before these."""
     for batch in sliced(batches):
         text, lang, source = (batch.column(c).to_pylist() for c in ("text", "lang", "source"))
-        yield batch, [text_view(t) for t in text], [meta_view(*r) for r in zip(text, lang, source, strict=True)]
+        yield batch, text_views(text), meta_views(text, lang, source)
 
 
 def _with_slots(rows: DataFrame) -> tuple:
     """(keys, labels, text slots, metadata slots) of a bounded table (key, y, text, lang, source), by key."""
 
     def run(batches):
-        for batch, a, b in _viewed(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["key", "y", "a", "b"])
+        for batch, *views in _viewed(batches):
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())) for flat, n in views]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *lists], names=["key", "y", "a", "b"])
 
     table = rows.select("key", "y", "text", "lang", "source").mapInArrow(run, "key long, y int, a array<int>, b array<int>").toArrow()
     keys = table["key"].to_numpy()
@@ -289,9 +314,8 @@ def scorer(spark, views: tuple[View, View]):
     def scores(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
         out = []
         for at in range(0, len(text), 256):
-            some = slice(at, at + 256)
-            x = shared.value[0].calibrated([text_view(t) for t in text[some]])
-            y = shared.value[1].calibrated([meta_view(*r) for r in zip(text[some], lang[some], source[some], strict=True)])
+            some = [c[at : at + 256].tolist() for c in (text, lang, source)]
+            x, y = shared.value[0].calibrated(text_views(some[0])), shared.value[1].calibrated(meta_views(*some))
             out.append(np.stack([_sigmoid(x), _sigmoid(y), _sigmoid((x + y) / 2)], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["text_score", "meta_score", "quality"])
 

@@ -93,12 +93,13 @@ def test_views_exchange_labels():
 
     def exchange(views, share):
         """The text view teaches the other; the pool's metadata slots are ones that no labelled row has."""
-        p = toxicity._sigmoid(views[0].logits([np.array([10 + pool[i]]) for i in left]))
+        p = toxicity._sigmoid(views[0].logits(quality.flattened([[10 + pool[i]] for i in left])))
         sure, left[:] = [(i, int(q > 0.5)) for i, q in zip(left, p, strict=True) if max(q, 1 - q) >= 0.9], []
         return [], [(t, np.array([30 + pool[i]])) for i, t in sure]
 
     _, view = quality.co_train(text, meta, y, exchange)
-    assert view.logits([np.array([31])])[0] > view.logits([np.array([30])])[0] + 1
+    good, bad = view.logits(quality.flattened([[31], [30]]))
+    assert good > bad + 1
 
 
 def test_lots_are_drawn_from_all_documents(spark):
@@ -132,8 +133,20 @@ def test_repeated_rows_of_a_labelled_id_count_once(spark):
 
 
 def test_text_views_differ_for_shouting_and_prose():
-    assert quality.text_view("THIS!! IS!! LOUD!!") != quality.text_view("this is not loud")
-    assert quality.meta_view("", "", "") and make is not None
+    loud, quiet = quality.text_views(["THIS!! IS!! LOUD!!"])[0], quality.text_views(["this is not loud"])[0]
+    assert loud.tolist() != quiet.tolist() and quality.meta_view("", "", "")
+
+
+def test_rows_of_slots_are_those_of_each_text():
+    texts = ["", "a b a", "ABC DEF! 12 -- www.x.org http://y", "a " * 500 + "B!", "É É!", " \n "]
+    flat, n = quality.text_views(texts)
+    rows = np.split(flat, np.cumsum(n)[:-1])
+    for text, row in zip(texts, rows, strict=True):
+        words = text.split()
+        shape = {"capital": lambda w: w.isupper() and len(w) > 1, "shout": lambda w: w.endswith("!"), "bare": lambda w: not any(map(str.isalnum, w)), "digit": lambda w: any(map(str.isdecimal, w)), "link": lambda w: "://" in w or "www." in w}
+        names = [quality._share(f"#{s}", sum(map(f, words)), len(words)) for s, f in shape.items()]
+        names += [quality._share("#distinct", len(set(words)), len(words)), f"#words:{len(words).bit_length()}", *{w.lower() for w in words}]
+        assert row.tolist() == quality._slots(names, quality.TEXT_SLOTS)
 
 
 @pytest.mark.parametrize("text", ["ПРИВЕТ МИР ", "ΑΒΓ ΔΕΖ ", "ABC DEF × "])
