@@ -12,11 +12,17 @@ as they were. Folding that over a chunk of at most `chunk` documents leaves one
 ones of all chunks form the next level of a reduction tree, until a source has one. It is taken in part (its first
 words), so that the source's words meet the target to a word.
 
-All random numbers are hashes of (seed, level, doc_id, size), and chunks follow their order: reruns agree.
+All random numbers are hashes of (seed, level, key, size), where key is a hash of the row's id and text, and chunks
+follow their order: reruns agree, and rows without an id or with the same one are dealt to chunks like others. Rows
+of the same id and text are one another's equals: which of them is taken isn't defined, how many is.
+
+Sources: their number is a row count of one small table that one task orders. Up to `BROADCAST_SOURCES` of them the
+table is broadcast; of more, those with a share of the rows of 1 / BROADCAST_SOURCES or more are (so many there can be
+at most), and the others, none of them large, are joined by a shuffle.
 
 Edge cases: a null or empty text has size 0 and isn't taken; a null source is the last source; null and repeated
-ids are kept, each row for itself; sources without words have target 0; an empty table gives an empty table; other
-columns are ignored.
+ids are kept, each row for itself; sources without words have target 0; a very long text is one document, which may be
+the one taken in part; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +32,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, stage, words
 
-#: Sources up to this many are broadcast; more are joined by a shuffle.
+#: Sources up to this many are broadcast.
 BROADCAST_SOURCES = 100_000
-ITEM = "struct<doc_id:bigint,size:bigint,whole:int,x:double,u:double>"
+ITEM = "struct<doc_id:bigint,key:bigint,size:bigint,whole:int,x:double,u:double>"
+FIELDS = ("doc_id", "key", "size", "whole", "x")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -56,7 +63,7 @@ _UP = f"d.u * ({_GAIN} + {_LOSE}) < {_LOSE}"
 
 
 def _with_x(item: str, x: str) -> str:
-    return f"named_struct('doc_id', {item}.doc_id, 'size', {item}.size, 'whole', {item}.whole, 'x', cast(greatest(0D, least(1D, {x})) as double), 'u', {item}.u)"
+    return f"named_struct('doc_id', {item}.doc_id, 'key', {item}.key, 'size', {item}.size, 'whole', {item}.whole, 'x', cast(greatest(0D, least(1D, {x})) as double), 'u', {item}.u)"
 
 
 def _settled(done: str, x: str, stays: str, y: str) -> str:
@@ -76,14 +83,27 @@ END)"""
 
 def _folded(rows: DataFrame, level: int, seed: int, chunk: int) -> DataFrame:
     """Rows (source, n, item fields) folded in chunks: (source, left, item fields), one row left over from each chunk."""
-    h = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size")
-    rows = rows.withColumn("h", h).withColumn("u", _uniform(F.lit(seed + 1), F.lit(level), "doc_id", "size"))
+    h = F.xxhash64(F.lit(seed), F.lit(level), "key", "size")
+    rows = rows.withColumn("h", h).withColumn("u", _uniform(F.lit(seed + 1), F.lit(level), "key", "size"))
     rows = rows.withColumn("b", F.pmod("h", F.ceil(F.col("n") / (16 * chunk))))
-    number = F.row_number().over(Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", "x"))
-    chunks = rows.withColumn("c", F.floor((number - 1) / chunk)).groupBy("source", "b", "c").agg(F.sort_array(F.collect_list(F.struct("h", F.struct("doc_id", "size", "whole", "x", "u").alias("item")))).alias("items"))
+    number = F.row_number().over(Window.partitionBy("source", "b").orderBy("h", "key", "size", "x"))
+    chunks = rows.withColumn("c", F.floor((number - 1) / chunk)).groupBy("source", "b", "c").agg(F.sort_array(F.collect_list(F.struct("h", F.struct(*FIELDS, "u").alias("item")))).alias("items"))
     folded = chunks.withColumn("items", F.col("items.item")).withColumn("acc", F.expr(FOLD))
     every = F.concat(F.transform("acc.done", lambda d: F.struct(F.lit(False).alias("left"), d.alias("d"))), F.array(F.struct(F.lit(True).alias("left"), F.col("acc.cur").alias("d"))))
-    return folded.select("source", F.explode(every).alias("e")).select("source", "e.left", "e.d.doc_id", "e.d.size", "e.d.whole", "e.d.x")
+    return folded.select("source", F.explode(every).alias("e")).select("source", "e.left", *(f"e.d.{c}" for c in FIELDS))
+
+
+def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows with their source's row of a (checkpointed) table that has a source's number of rows, n."""
+    def joined(rows, some):
+        return rows.join(some.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+    sources, n = table.agg(F.count("*"), F.sum("n")).head()
+    if sources <= BROADCAST_SOURCES:
+        return joined(rows, F.broadcast(table))
+    large = table.where(F.col("n") * BROADCAST_SOURCES >= n)
+    others = rows.join(F.broadcast(large.select(F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")), "left_anti")
+    return joined(rows, F.broadcast(large)).unionByName(joined(others, table))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9, chunk: int = 256) -> DataFrame:
@@ -91,32 +111,28 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     x is 0 or 1 but for one document a source at most.
     """
-    sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
     goal = checkpoint(targets(sizes, weights, share, most))
-    goal_rows = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
-    joined = sizes.join(goal_rows.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = joined.withColumn("times", times).withColumn("whole", F.floor("times").cast("int")).withColumn("x", F.col("times") - F.col("whole"))
+    rows = _of_source(sizes, goal).withColumn("times", times).withColumn("whole", F.floor("times").cast("int")).withColumn("x", F.col("times") - F.col("whole"))
     still = (F.col("size") > 0) & (F.col("x") > 0)
-    plain = rows.where(~still).select("source", "doc_id", "size", "whole", F.lit(0.0).alias("x"))
-    level, left, done = 0, rows.where(still).select("source", "n", "doc_id", "size", "whole", "x"), [plain]
+    plain = rows.where(~still).withColumn("x", F.lit(0.0)).select("source", *FIELDS)
+    level, left, done = 0, rows.where(still).select("source", "n", *FIELDS), [plain]
     while True:
         folded = stage(_folded(left, level, seed, chunk), f"rounded{level}")
         done.append(folded.where(~F.col("left")).drop("left"))
-        left = folded.where("left")
-        n = left.groupBy("source").agg(F.count("*").alias("n"))
-        n = checkpoint(n)
+        left = folded.where("left").drop("left")
+        n = checkpoint(left.groupBy("source").agg(F.count("*").alias("n")))
         if (n.agg(F.max("n")).head()[0] or 0) <= 1:
-            done.append(left.drop("left"))
+            done.append(left)
             break
-        n = F.broadcast(n) if n.count() <= BROADCAST_SOURCES else n
-        left = left.join(n.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("source", "n", "doc_id", "size", "whole", "x")
+        left = _of_source(left, n).select("source", "n", *FIELDS)
         level += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    goal_rows = goal_rows.select(F.col("source").alias("of"), "source_size", "target")
-    return out.join(goal_rows, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return _of_source(out.drop("key"), goal.select("source", "source_size", "target", "n")).drop("n")
 
 
 def taken(mixed: DataFrame) -> F.Column:

@@ -73,3 +73,24 @@ def test_many_sources_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     df = make(spark, [(i, "a b c", "en", f"s{i % 9}") for i in range(40)])
     assert mixing.mix(df).count() == 40
+
+
+def test_many_sources_and_rows_without_ids(spark, monkeypatch):
+    """Sources beyond the broadcast bound, of which one has a third of the rows, all without ids; reruns agree."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    rows = [(None, f"w{i} " * (1 + i % 9), "en", "big") for i in range(300)] + [(i if i % 7 else None, "x " * (1 + i % 5), "en", f"s{i % 40}" if i % 40 else None) for i in range(600)]
+    df = make(spark, rows).repartition(4)
+    sizes: dict = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    want = targets(sizes)
+    runs = []
+    for df in (df, df.repartition(7)):
+        mixed = mixing.mix(df, chunk=16)
+        got = mixed.select("*", mixing.taken(mixed).alias("taken")).collect()
+        taken: dict = {}
+        for r in got:
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert len(got) == 900 and all(abs(taken[s] - want[s]) <= 1 for s in want)
+        runs.append(sorted((str(r["doc_id"]), r["size"], str(r["source"]), r["taken"]) for r in got))
+    assert runs[0] == runs[1]
