@@ -8,17 +8,21 @@
 3. In each group all members are compared with one of them (a star). Links found so join most of a group of near
    copies, in as many rows as members.
 4. What a star leaves apart is compared in size-banded tiles: bands of a factor 1/t, so that only equal and
-   neighbouring bands meet, cut into blocks of `block` members. In a tile, bit counts of bitmap differences bound
+   neighbouring bands meet, dealt by hash to blocks of about `block` members. In a tile, bit counts of bitmap differences bound
    each pair's overlap from above; pairs within the bound, in different components so far, are kept. Two rounds keep
    each member's nearest pair only, in `few_groups` groups of its own, which joins most of what belongs together;
    the last keeps every pair of every group.
 5. Each kept pair is decided by the intersection of the two sorted arrays. Components follow by contraction.
 
-Documents with equal sets are one member throughout, so exact copies never meet one another.
+Documents with equal sets are one member throughout, so exact copies never meet one another. What a group needs
+(its size, first member, components, blocks) is aggregated before the shuffle and joined to its members. The members of
+a group that may have BIG members or more, by the counts of its shingle, are salted; so are those of a group with at
+least 1 / LARGE of all rows in a join, of which there are LARGE at most. No task gets a large group whole.
 
 Edge cases: a null or empty text, or one without words, has no shingles and links with nothing; the ids of a
 repeated row are joined as any copies; rows with a null id are compared and link like others, and have a null
-component where no row of it has an id; an empty table gives an empty table; other columns are ignored.
+component where no row of it has an id; shingles of equal counts are ordered by their hash; a very long text is one
+set, which its task holds whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, id_and_text, sliced, stage, texts, unstage
+from tessera.llm.common import checkpoint, id_and_text, shuffle_partitions, sliced, stage, texts, unstage
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler, bitmap, folded, set_id, width_of
 
 #: Blocks of the table of counts that travel as one row.
 PARTS = 64
+#: A shingle that occurs so often may have a group too large for one task; at most what a task counts exactly.
+BIG = 1 << 12
+#: A group of at least this part of all rows is salted in joins.
+LARGE = 1_000
+#: The bitmap of wanted ids has so many bits for each.
+BITS = 16
 
 
 def needed(na, nb, t: tuple[int, int]):
@@ -98,14 +108,14 @@ def _order(described: DataFrame, slots: int) -> np.ndarray:
     return np.minimum(out.ravel(), (1 << 32) - 1).astype(np.uint32)
 
 
-def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[int, int]) -> DataFrame:
-    """(h, s, n): the prefix of each set, once for each task that has it."""
+def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[int, int], big: int) -> DataFrame:
+    """(h, s, n, big): the prefix of each set, once for each task that has it; big: the shingle may occur `big` times."""
     order = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         shingler, seen, table = Shingler(k), set(), order.value
         for _, batch in texts(batches):
-            h, s, n = [], [], []
+            h, s, n, often = [], [], [], []
             for text in batch:
                 x = shingler(text)
                 if not len(x) or (one := set_id(x)) in seen:
@@ -113,15 +123,17 @@ def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[
                 seen.add(one)
                 p = len(x) - -(-(t[0] * len(x)) // t[1]) + 1
                 rank = table[(x & np.uint64(slots - 1)).astype(np.int64)]
-                h.append(x[np.lexsort((x, rank))[:p]])
+                first = np.lexsort((x, rank))[:p]
+                h.append(x[first])
+                often.append(rank[first] >= big)
                 s.append(np.full(p, one, np.int64))
                 n.append(np.full(p, len(x), np.int32))
             if len(seen) > 200_000:
                 seen.clear()
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n))], names=["h", "s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n)), pa.array(np.concatenate(often))], names=["h", "s", "n", "big"])
 
-    return rows.mapInArrow(run, "h long, s long, n int")
+    return rows.mapInArrow(run, "h long, s long, n int, big boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_once: int = 1024) -> DataFrame:
@@ -149,13 +161,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, size: str) -> DataFrame:
+    """The rows (h, s, ..) with their group's row of a checkpointed table (h, ..); size: its column of the number of members."""
+    parts = F.lit(shuffle_partitions(rows.sparkSession))
+    n = groups.agg(F.sum(size)).head()[0] or 0
+    large = F.col("h").isin([r[0] for r in groups.where(F.col(size) * LARGE >= n).select("h").collect()])
+    rows = rows.withColumn("salt", F.when(large, F.pmod(F.xxhash64("s"), parts)).otherwise(0).cast("int"))
+    groups = groups.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return rows.join(groups, ["h", "salt"]).drop("salt")
+
+
 def _tiles(members: DataFrame, t: tuple[int, int], block: int) -> DataFrame:
-    """Members (h, s, n, component) once for each tile (h, ka, kb, ca, cb) that they belong to."""
+    """Members (h, s, n, component) once for each tile (h, ka, kb, ca, cb) that they belong to, but for groups of one component."""
     band = F.floor(F.ln("n") / math.log(t[1] / t[0])).cast("int")
-    in_band = Window.partitionBy("h", "k")
-    rows = members.withColumn("k", band).withColumn("c", F.floor((F.row_number().over(in_band.orderBy("n", "s")) - 1) / block).cast("int"))
-    bands = rows.groupBy("h", "k").agg((F.max("c") + 1).alias("m")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("m"))
-    rows = rows.join(bands, "h")
+    rows = members.withColumn("k", band)
+    # members of a band are dealt to blocks by their hash, about `block` to each
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    bands = rows.groupBy("h", "k").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    bands = bands.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", blocks.alias("m")))).alias("m"), F.sum("m").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = _with_group(rows, checkpoint(bands.where("lo < hi").drop("lo", "hi")), "all").withColumn("c", F.pmod(F.xxhash64("s", "h"), F.element_at("m", F.col("k"))).cast("int"))
 
     def tiles(k, other, make):
         blocks = F.coalesce(F.try_element_at("m", other), F.lit(0))
@@ -243,14 +267,15 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, bits: int) -> DataFrame:
+def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, most_bits: int) -> DataFrame:
     """(s, text) of the pairs' sets, staged: each from its representative document, or from rows without an id.
 
-    A bitmap of `bits` bits of the wanted ids (of sets, where rows have none) goes to all tasks, so that few other
-    texts are shuffled.
+    A bitmap of the wanted ids (of sets, where rows have none), BITS for each but `most_bits` at most, goes to all tasks,
+    so that few other texts are shuffled.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(sets.select("s", "rep"), "s")
     wanted = checkpoint(wanted.select("s", F.coalesce("rep", "s").alias("key"), F.col("rep").isNotNull().alias("known")))
+    bits = min(most_bits, max(1 << 10, 1 << (BITS * wanted.count()).bit_length()))
     at = F.pmod("key", F.lit(bits))
     words = wanted.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(key, 32) as int))").alias("v"), "known").groupBy("w").agg(F.bit_or("v").alias("v"), F.bool_and("known").alias("known")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
@@ -312,36 +337,40 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(every.join(merged, "component", "left").select("s", F.coalesce("to", "component").alias("component")))
 
 
-def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (id, s, n), their distinct sets (s, n, rep, bm), and groups (h, s, n) of sets that share a prefix shingle."""
+def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int], big: int = BIG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, s, n), their distinct sets (s, n, rep, bm), and groups (h, s, n, p) of sets that share a prefix shingle; p: the first one."""
     described = _described(rows, k, slots)
     documents = described.where("n >= 0")
     sets = stage(documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm")), "distinct")
 
-    # groups of sets that share a prefix shingle; of groups with the same members, the one of the least shingle
-    prefixes = _prefixes(rows, k, slots, _order(described, slots), t).repartition("h").groupBy("h", "s", "n").agg(F.lit(1).alias("one")).drop("one")
-    group = Window.partitionBy("h")
-    prefixes = prefixes.withColumns({"m": F.count("*").over(group), "x": F.bit_xor("s").over(group), "y": F.bit_xor(F.xxhash64("s")).over(group)}).where("m > 1")
-    shared = stage(prefixes, "shared")
-    groups = shared.join(shared.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h").select("h", "s", "n")
-    groups = stage(groups, "groups")
+    # groups of sets that share a prefix shingle: whole in one partition, but for those that may be big
+    prefixes = _prefixes(rows, k, slots, _order(described, slots), t, big)
+    salt = F.when(F.col("big"), F.pmod(F.xxhash64("s"), F.lit(shuffle_partitions(rows.sparkSession)))).otherwise(0)
+    prefixes = prefixes.withColumn("salt", salt.cast("int")).repartition("h", "salt").groupBy("h", "salt", "s", "n", "big").agg(F.lit(1).alias("one"))
+    about = {"m": F.count("*"), "x": F.bit_xor("s"), "y": F.bit_xor(F.xxhash64("s")), "p": F.min(F.struct("s", "n"))}
+    whole = Window.partitionBy("h", "salt")
+    shared = stage(prefixes.withColumns({c: f.over(whole) for c, f in about.items()}).where("m > 1 or big").drop("salt", "one"), "shared")
+    large = shared.where("big").groupBy("h").agg(*(f.alias(c) for c, f in about.items())).where("m > 1")
+
+    # of groups with the same members, the one of the least shingle
+    groups = shared.where("not big").select("h", *about).unionByName(large).groupBy(*about).agg(F.min("h").alias("h")).select("h", "m", "p")
+    groups = stage(_with_group(shared.select("h", "s", "n"), checkpoint(groups), "m").select("h", "s", "n", "p"), "groups")
     unstage(shared)
     return documents, sets, groups
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, few_groups: int = 4, filter_bits: int = 1 << 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, few_groups: int = 4, filter_bits: int = 1 << 26, big: int = BIG) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included).
 
-    threshold: the least Jaccard similarity as a fraction. slots and filter_bits are sizes of tables that every task
-    gets, whatever the corpus; larger ones keep groups small and fewer texts on the move, no size changes the result.
+    threshold: the least Jaccard similarity as a fraction. slots and filter_bits bound tables that every task gets,
+    whatever the corpus; larger ones keep groups small and fewer texts on the move. Neither these nor block, few_groups
+    and big (see BIG) change the result.
     """
     rows, t = id_and_text(docs, id_col, text_col), threshold
-    documents, sets, groups = _grouped(rows, k, slots, t)
-    group = Window.partitionBy("h")
+    documents, sets, groups = _grouped(rows, k, slots, t, big)
 
     # stars
-    first = F.min(F.struct("s", "n")).over(group)
-    stars = groups.withColumn("p", first).where("s <> p.s").where((t[1] * F.least("n", "p.n")) >= (t[0] * F.greatest("n", "p.n"))).select(F.col("p.s").alias("a"), F.col("s").alias("b")).distinct()
+    stars = groups.where("s <> p.s").where((t[1] * F.least("n", "p.n")) >= (t[0] * F.greatest("n", "p.n"))).select(F.col("p.s").alias("a"), F.col("s").alias("b")).distinct()
     links = _decided(checkpoint(_bounded(stars, sets, t)), rows, sets, k, t, filter_bits)
     labels = components(links).select(F.col("node").alias("s"), "component")
 
@@ -349,7 +378,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     few = stage(groups.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("h"))).where(F.col("r") <= few_groups).drop("r"), "few")
     for some, nearest in ((few, True), (few, True), (groups, False)):
         members = some.join(labels, "s", "left").withColumn("component", F.coalesce("component", "s"))
-        members = members.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group)}).where("lo < hi").drop("lo", "hi")
         tiles = _tiles(members, t, block).join(sets.select("s", "bm"), "s")
         pairs = checkpoint(_compared(tiles, t, nearest))
         if not pairs.isEmpty():
@@ -363,14 +391,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, filter_bits: int = 1 << 23) -> DataFrame:
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4), slots: int = 1 << 20, block: int = 256, filter_bits: int = 1 << 26, big: int = BIG) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_links (the other rows of the similarity or more, copies included).
 
     All pairs of all tiles that bitmaps don't rule out are verified, whatever components they are in; each pair of
     sets counts for as many rows as have the other set.
     """
     rows, t = id_and_text(docs, id_col, text_col), threshold
-    documents, sets, groups = _grouped(rows, k, slots, t)
+    documents, sets, groups = _grouped(rows, k, slots, t, big)
     tiles = _tiles(groups.withColumn("component", F.col("s")), t, block).join(sets.select("s", "bm"), "s")
     links = _decided(checkpoint(_compared(tiles, t, False)), rows, sets, k, t, filter_bits)
     copies = documents.where("n > 0").groupBy("s").agg(F.count("*").alias("copies"))
