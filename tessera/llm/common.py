@@ -39,11 +39,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: a barrier that survives lost executors.
 
-    `df.staged_path` of the result is its folder; `unstage` removes it once nothing reads it any more. The shuffle
-    files behind the table go as soon as it is written.
+    `df.staged_path` of the result is its folder; `unstage` removes it once nothing reads it any more, the end of the
+    application at the latest. The shuffle files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
     with short_lived_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,11 +65,15 @@ def short_lived_shuffles(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, place = _file_system(df.sparkSession, df.staged_path)
+    fs.delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

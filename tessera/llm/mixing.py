@@ -106,12 +106,13 @@ def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return joined(rows, F.broadcast(large)).unionByName(joined(others, table))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9, chunk: int = 256) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9, chunk: int = 256, key: F.Column | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, whole (copies), x (a further copy's share).
 
-    x is 0 or 1 but for one document a source at most.
+    x is 0 or 1 but for one document a source at most. key: a number to draw by instead of the hash of id and text, for
+    ids that another run may give to other rows.
     """
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) if key is None else key
     sizes = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
     goal = checkpoint(targets(sizes, weights, share, most))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -8,8 +8,8 @@ table, teaches the other. Both are calibrated on labelled rows kept apart, and a
 the calibrated log odds.
 
 Bounds: the labelled sample has about `rows` rows (by a hash of the id), a round's lot `lot` pseudo-labelled documents
-for each view; only these rows' slots come to the driver. Every document is read and labelled in every round, and
-scored.
+for each view; only these rows' slots come to the driver. Texts are read once, when the slots of every document are
+written; each round labels all documents from these, and so does the score.
 
 Edge cases: null text, language and source count as empty; without labels of both classes every document is good if
 the labels are or if there are none, and bad if they are; repeated labels of an id count once, as good if any is, and
@@ -28,13 +28,12 @@ from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import sliced
 from tessera.llm.toxicity import Machine, _sigmoid, fit, labelled_sample
 
 #: Upper bounds of the classes of a share: fixed values.
@@ -76,6 +75,7 @@ class _Words(dict):
 WORDS = _Words()
 #: Rows of slots: all slots, row after row, each row's ascending; and each row's number of them.
 Rows = tuple[np.ndarray, np.ndarray]
+VIEWS = T.StructType([T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("text", "meta")])
 
 
 def _rows(slots: np.ndarray, row: np.ndarray, n: int, bits: int) -> Rows:
@@ -218,48 +218,69 @@ def co_train(text: list, meta: list, y: np.ndarray, exchange: Callable[[tuple[Vi
     return views
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> list:
-    return [F.col(id_col).cast("long").alias("id"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source")))]
+def _packed(rows: Rows) -> pa.Array:
+    """Rows of slots as lists of differences, which take less space."""
+    flat, n = rows
+    ends = np.cumsum(n)
+    gaps = np.diff(flat, prepend=0)
+    first = (ends - n)[n > 0]
+    gaps[first] = flat[first]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(gaps, pa.int32()))
 
 
-def _viewed(batches):
-    """Slots of both views of Arrow batches with text, lang and source, besides the columns before these."""
-    for batch in sliced(batches):
-        text, lang, source = (batch.column(c).to_pylist() for c in ("text", "lang", "source"))
-        yield batch, text_views(text), meta_views(text, lang, source)
+def _unpacked(lists: pa.Array) -> Rows:
+    """Rows of slots of lists of differences."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    n = np.diff(ends)
+    total = np.concatenate([[0], np.cumsum(lists.values.to_numpy()[ends[0] : ends[-1]], dtype=np.int64)])
+    return total[1:] - np.repeat(total[ends[:-1] - ends[0]], n), n
 
 
-def _with_slots(rows: DataFrame) -> tuple:
-    """(keys, labels, text slots, metadata slots) of a bounded table (key, y, text, lang, source), by key."""
+@F.arrow_udf(VIEWS)
+def _views(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+    parts = []
+    for at in range(0, len(text), 256):
+        some = [c.slice(at, 256).to_pylist() for c in (text, lang, source)]
+        parts.append(pa.StructArray.from_arrays([_packed(text_views(some[0])), _packed(meta_views(*some))], names=["text", "meta"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))]))
 
-    def run(batches):
-        for batch, *views in _viewed(batches):
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())) for flat, n in views]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *lists], names=["key", "y", "a", "b"])
 
-    table = rows.select("key", "y", "text", "lang", "source").mapInArrow(run, "key long, y int, a array<int>, b array<int>").toArrow()
-    keys = table["key"].to_numpy()
-    order = np.argsort(keys, kind="stable")
+def described(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents with __key, a hash of what the views see, and __views, the slots of both.
+
+    Texts are read once if a described table is written before it is used: a few bytes for each distinct word.
+    """
+    if "__views" in docs.columns:
+        return docs
+    seen = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col)]
+    return docs.select("*", F.xxhash64(*seen).alias("__key"), _views(*seen).alias("__views"))
+
+
+def _collected(rows: DataFrame) -> tuple:
+    """(keys, labels, text slots, metadata slots) of a bounded table (key, y, views), by key."""
+    table = rows.select("key", "y", "views.text", "views.meta").toArrow().combine_chunks()
+    order = np.argsort(table["key"].to_numpy(), kind="stable")
     views = []
-    for c in ("a", "b"):
-        lists = table[c].combine_chunks()
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        views.append([flat[ends[i] : ends[i + 1]] for i in order])
-    return keys[order], table["y"].to_numpy()[order], *views
+    for c in ("text", "meta"):
+        flat, n = _unpacked(pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], pa.list_(pa.int32())))
+        parts = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+        views.append([parts[i] for i in order])
+    return table["key"].to_numpy()[order], table["y"].to_numpy()[order], *views
 
 
 def _sure(pages: DataFrame, views: tuple[View, View], known: np.ndarray, sure: float, most: tuple[int, int]) -> list[tuple[int, int, int]]:
     """(view that is sure, label, key): of each view and label the `most` least keys of the documents it is sure of.
 
-    pages: (key, text, lang, source) of all documents; known: sorted keys that are left out. Each task keeps its own
-    least keys, then groups by key, and only the few that remain come to the driver.
+    pages: (key, views) of all documents; known: sorted keys that are left out. Each task keeps its own least keys,
+    then one of 16 groups of keys does; what remains, 16 times `most` at most, is settled on the driver.
     """
     shared = pages.sparkSession.sparkContext.broadcast((views, known))
 
     def run(batches):
         (mine, skip), kept = shared.value, {(v, t): np.zeros(0, np.int64) for v in (0, 1) for t in (0, 1)}
-        for batch, *rows in _viewed(batches):
+        for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
+            rows = [_unpacked(batch.column(c)) for c in ("text", "meta")]
             new = skip[np.minimum(np.searchsorted(skip, keys), len(skip) - 1)] != keys if len(skip) else np.ones(len(keys), bool)
             for v in (0, 1):
                 p = _sigmoid(mine[v].logits(rows[v]))
@@ -271,21 +292,19 @@ def _sure(pages: DataFrame, views: tuple[View, View], known: np.ndarray, sure: f
             n = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys)], names=["view", "y", "key"])
 
-    found = pages.mapInArrow(run, "view int, y int, key long").distinct()
-    limit = F.when(F.col("y") == 1, most[1]).otherwise(most[0])
-    for by in (["view", "y", F.pmod("key", F.lit(64))], ["view", "y"]):
-        found = found.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("r") <= limit).drop("r")
-    return [tuple(r) for r in found.collect()]
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rows: int = 10_000, lot: int = 1_000, sure: float = 0.98, **options) -> tuple[View, View]:
-    """The two views, co-trained on all documents."""
-    taken = docs.select(id_col, text_col, lang_col, source_col)
-    columns = _columns(docs, id_col, text_col, lang_col, source_col)
-    key = F.xxhash64("text", "lang", "source").alias("key")
-    sample = labelled_sample(taken, labels, label, rows, id_col).select(*columns, "y").select(key, "y", "text", "lang", "source")
-    known, y, text, meta = _with_slots(sample)
-    pages = taken.select(*columns[1:]).select(key, "text", "lang", "source")
+    found = pages.select("key", "views.text", "views.meta").mapInArrow(run, "view int, y int, key long").distinct()
+    place = F.row_number().over(Window.partitionBy("view", "y", F.pmod("key", F.lit(16))).orderBy("key"))
+    found = found.withColumn("r", place).where(F.col("r") <= F.when(F.col("y") == 1, most[1]).otherwise(most[0])).drop("r")
+    by: dict = {}
+    for view, t, k in sorted(tuple(r) for r in found.collect()):
+        by.setdefault((view, t), []).append(k)
+    return [(view, t, k) for (view, t), keys in by.items() for k in keys[: most[t]]]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", rows: int = 10_000, lot: int = 1_000, sure: float = 0.98, **options) -> tuple[View, View]:
+    """The two views, co-trained on all documents, which should be a written table of `described` ones."""
+    pages = described(docs).select(F.col(id_col), F.col("__key").alias("key"), F.col("__views").alias("views"))
+    known, y, text, meta = _collected(labelled_sample(pages, labels, label, rows, id_col))
     seen = [np.unique(known)]
 
     def exchange(views, share):
@@ -295,8 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
         if not wanted:
             return [], []
         seen[0] = np.union1d(seen[0], np.array(wanted, np.int64))
-        one = pages.where(F.col("key").isin(wanted)).groupBy("key").agg(F.min(F.struct("text", "lang", "source")).alias("page")).select("key", F.lit(-1).alias("y"), "page.*")
-        keys, _, a, b = _with_slots(one)
+        keys, _, a, b = _collected(pages.where(F.col("key").isin(wanted)).groupBy("key").agg(F.min("views").alias("views"), F.lit(-1).alias("y")))
         place = {int(k): i for i, k in enumerate(keys)}
         lessons = [], []
         for view, t, k in sorted(found):
@@ -307,28 +325,23 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
 
 
 def scorer(spark, views: tuple[View, View]):
-    """A function of (text, lang, source) columns: struct of both views' probabilities and the combined quality."""
+    """A function of described documents' views: struct of both views' probabilities and the combined quality."""
     shared = spark.sparkContext.broadcast(views)
 
-    @F.pandas_udf("text_score double, meta_score double, quality double")
-    def scores(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(text), 256):
-            some = [c[at : at + 256].tolist() for c in (text, lang, source)]
-            x, y = shared.value[0].calibrated(text_views(some[0])), shared.value[1].calibrated(meta_views(*some))
-            out.append(np.stack([_sigmoid(x), _sigmoid(y), _sigmoid((x + y) / 2)], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=["text_score", "meta_score", "quality"])
+    @F.arrow_udf("struct<text_score:double,meta_score:double,quality:double>")
+    def scores(text: pa.Array, meta: pa.Array) -> pa.Array:
+        x, y = (v.calibrated(_unpacked(c)) for v, c in zip(shared.value, (text, meta), strict=True))
+        return pa.StructArray.from_arrays([pa.array(_sigmoid(z)) for z in (x, y, (x + y) / 2)], names=["text_score", "meta_score", "quality"])
 
-    return scores
+    return scores("__views.text", "__views.meta")
 
 
-def score(docs: DataFrame, views: tuple[View, View], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def score(docs: DataFrame, views: tuple[View, View], *, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text_score, meta_score, quality of every document: one scan, no shuffle."""
-    rows = docs.select(*_columns(docs, id_col, text_col, lang_col, source_col))
-    return rows.select(F.col("id").alias("doc_id"), scorer(docs.sparkSession, views)("text", "lang", "source").alias("q")).select("doc_id", "q.*")
+    rows = described(docs).select(F.col(id_col).cast("long").alias("doc_id"), "__views")
+    return rows.select("doc_id", scorer(docs.sparkSession, views).alias("q")).select("doc_id", "q.*")
 
 
-def kept(docs: DataFrame, views: tuple[View, View], *, threshold: float = 0.5, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def kept(docs: DataFrame, views: tuple[View, View], *, threshold: float = 0.5) -> DataFrame:
     """The documents of at least that quality, with their columns as they were."""
-    filled = [F.coalesce(F.col(c), F.lit("")) for c in (text_col, lang_col, source_col)]
-    return docs.where(scorer(docs.sparkSession, views)(*filled)["quality"] >= threshold)
+    return described(docs).where(scorer(docs.sparkSession, views)["quality"] >= threshold).drop("__key", "__views")

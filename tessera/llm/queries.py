@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, packing, piececount, quality, secrets, tokenfile, toxicity, transport, winnowing
+from tessera.llm.common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +98,6 @@ def op5_toxicity(spark, sf_dir):
 @query
 def op3_quality(spark, sf_dir):
     """Quality of all documents by two co-trained views; keep: whether the pipeline keeps it."""
-    docs = table(spark, sf_dir)
+    docs = stage(quality.described(table(spark, sf_dir)).select("doc_id", "__key", "__views"), "views")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return scored.withColumn("keep", (F.col("quality") >= 0.5).cast("int"))

@@ -107,7 +107,8 @@ def test_lots_are_drawn_from_all_documents(spark):
     from pyspark.sql import functions as F
 
     rows = [("good fine words here" if i % 3 else "BUY! NOW!") + f" {i % 400}" for i in range(2000)]
-    pages = spark.createDataFrame([(t, "en", "s") for t in rows], "text string, lang string, source string").repartition(5).select(F.xxhash64("text", "lang", "source").alias("key"), "*")
+    pages = spark.createDataFrame([(t, "en", "s") for t in rows], "text string, lang string, source string").repartition(5)
+    pages = quality.described(pages).select(F.col("__key").alias("key"), F.col("__views").alias("views"), "text").cache()
     weights = {quality._slot("good", quality.TEXT_SLOTS): 9.0, quality._slot("buy!", quality.TEXT_SLOTS): -9.0}
     machine = toxicity.Machine(0.0, np.array(list(weights)), np.array(list(weights.values())), np.zeros((2, 0)))
     views = quality.View(machine, quality.TEXT_SLOTS), quality.View(toxicity.Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0))), quality.META_SLOTS)
@@ -118,6 +119,14 @@ def test_lots_are_drawn_from_all_documents(spark):
     assert sorted(got) == sorted(want) and len(got) == 100
 
 
+def test_slots_survive_packing():
+    rows = np.array([3, 9, 200_000, 7, 262_143]), np.array([0, 3, 0, 0, 2, 0])
+    flat, n = quality._unpacked(quality._packed(rows))
+    assert flat.tolist() == rows[0].tolist() and n.tolist() == rows[1].tolist()
+    flat, n = quality._unpacked(quality._packed(rows).slice(2, 3))
+    assert flat.tolist() == [7, 262_143] and n.tolist() == [0, 0, 2]
+
+
 def test_character_classes_are_those_of_the_patterns():
     import re
 
