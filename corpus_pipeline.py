@@ -8,7 +8,9 @@ Each stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read ag
 4. mixing: documents are repeated or left out so that each source meets its target.
 5. packing: token ids in windows of 1024.
 
-Rows with a null id are kept by every stage, as nothing can be said of their copies.
+Rows count each for itself, by a number that a stage writes beside them: ids may be null or repeat. A null text is an
+empty one and stays null. Documents of equal score, copies and ties are decided by id, then by the text's hash. Every
+stage takes empty tables, texts of any length, and further columns, which stay.
 """
 
 from __future__ import annotations
@@ -21,31 +23,52 @@ from tessera.llm import mixing, ngram_join, packing, quality, secrets
 from tessera.llm.common import stage, unstage
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents, written with a number for each row (__row), so that whatever reads them again sees the same numbers."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, co-trained on all of them and the labels of sf_dir, doesn't reject.
+
+    Equal documents share a score and stay or go together; without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.kept(docs, quality.train(docs, labels))
+    rows = stage(quality.described(docs), "views")
+    return quality.kept(rows, quality.train(rows, labels))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    stays = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each component of near copies the row of the smallest id (a null one last; then by the text's hash).
+
+    Documents without words are no copies of one another: all stay.
+    """
+    rows = _numbered(docs, "near-rows")
+    classes = ngram_join.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ranked = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("rank"))
+    first = classes.join(ranked, "__row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.__row")
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secret values replaced by a mark and n_chars counted anew; each row for itself."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.round(F.avg(F.col("whole") + F.round("x"))).cast("int").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Each document as often as the mix takes it (0 to 2 times); the one taken in part is rounded.
+
+    Rows of one id, or of none, are taken each for itself. Documents without words aren't taken.
+    """
+    rows = _numbered(docs, "mixing-rows")
+    key = F.xxhash64("doc_id", "text", "source", "lang")
+    mixed = mixing.mix(rows, id_col="__row", key=key).select(F.col("doc_id").alias("__row"), (F.col("whole") + F.round("x")).cast("int").alias("__copies"))
+    taken = rows.join(mixed.where("__copies > 0"), "__row")
     return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in windows of 1024 ids; repeated rows are packed each for itself."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
