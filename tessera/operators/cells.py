@@ -81,10 +81,6 @@ def cells(df: DataFrame, categorical: list[str], continuous: list[str] = ()) ->
 
 
 def counts_for(df: DataFrame, column_sets: list[list[str]]) -> DataFrame:
-    """Counts for many column sets in one Expand and one shuffle: (set, values as a map, n)."""
+    """Counts for many column sets in one Expand and one shuffle: the columns, gid (bits of those left out) and n."""
     every = sorted({c for s in column_sets for c in s})
-    sets = ", ".join("(" + ", ".join(f"`{c}`" for c in s) + ")" for s in column_sets)
-    view = f"cells_{abs(hash(tuple(map(tuple, column_sets)))) % 10**9}"
-    df.select(every).createOrReplaceTempView(view)
-    names = ", ".join(f"`{c}`" for c in every)
-    return df.sparkSession.sql(f"SELECT {names}, grouping_id({names}) AS gid, count(*) AS n FROM {view} GROUP BY {names} GROUPING SETS ({sets})")
+    return df.groupingSets([[F.col(c) for c in s] for s in column_sets], *(F.col(c) for c in every)).agg(F.grouping_id().alias("gid"), F.count("*").alias("n")).select(*every, "gid", "n")

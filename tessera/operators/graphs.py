@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import cut
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(a, b) in both directions of undirected edges (a, b)."""
@@ -26,20 +28,23 @@ def meek_first(arrows: DataFrame, lines: DataFrame) -> DataFrame:
     return paths.join(adjacent.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti").select("b", "c").distinct()
 
 
-def ancestors(arrows: DataFrame, most_steps: int = 64) -> DataFrame:
-    """(node, ancestor) pairs of a directed graph, cycles allowed: paths double in length each round."""
-    reach = arrows.select(F.col("b").alias("node"), F.col("a").alias("ancestor")).distinct()
-    n, steps = reach.count(), 1
-    while steps < most_steps:
-        longer = reach.alias("l").join(reach.alias("r"), F.col("l.ancestor") == F.col("r.node")).select("l.node", "r.ancestor")
-        reach = reach.union(longer).distinct()
-        if reach.sparkSession.sparkContext.getCheckpointDir():
-            reach = reach.checkpoint()
-        m = reach.count()
-        if m == n:
+def ancestors(arrows: DataFrame) -> DataFrame:
+    """(node, ancestor) pairs of a directed graph, cycles allowed: paths double in length each round, until none is new.
+
+    Each round joins what is new with everything known on both sides and ends in a checkpoint.
+    """
+    reach = cut(arrows.select(F.col("b").alias("node"), F.col("a").alias("ancestor")).distinct())
+    new = reach
+
+    def through(left, right):
+        return left.alias("l").join(right.alias("r"), F.col("l.ancestor") == F.col("r.node")).select("l.node", "r.ancestor")
+
+    while True:
+        longer = through(new, reach).union(through(reach, new)).distinct()
+        new = cut(longer.join(reach, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
             return reach
-        n, steps = m, 2 * steps
-    return reach
+        reach = cut(reach.union(new))
 
 
 def markov_blankets(arrows: DataFrame) -> DataFrame:

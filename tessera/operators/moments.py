@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import with_lags
+
 WIDE = 40
 
 
@@ -135,14 +137,8 @@ def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def lagged(df: DataFrame, columns: list[str], order: str, lags: int, series: str | None = None, first: int = 0) -> DataFrame:
-    """Each row with the rows 1..lags steps before it (column c at lag k: c__k), rows without all lags left out.
-
-    Partitioned by the series; one long series without such a column is one partition's sort.
-    """
-    window = (Window.partitionBy(series) if series else Window.partitionBy(F.lit(0))).orderBy(order)
-    out = df.select(*([series] if series else []), order, *columns)
-    out = out.select("*", *(F.lag(c, k).over(window).alias(f"{c}__{k}") for k in range(1, lags + 1) for c in columns), F.row_number().over(window).alias("__row"))
-    return out.where(F.col("__row") > max(first, lags)).drop("__row")
+    """Each row with the rows 1..lags steps before it (column c at lag k: c__k), rows without all lags left out."""
+    return with_lags(df, columns, order, lags, series, first)
 
 
 def dummies(df: DataFrame, levels: dict[str, int]) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,33 +58,54 @@ def checked(df: DataFrame, columns: list[str], *, min_rows: int = 2, missing: bo
     return out
 
 
-def encoded(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, list]]:
+#: Categories up to this many are looked up in an expression; more are joined.
+FEW = 64
+
+
+def encoded(df: DataFrame, columns: list[str], most: int = 10_000) -> tuple[DataFrame, dict[str, list]]:
     """Categories as codes 0..k-1 by sorted value, and each column's categories in that order.
 
-    The distinct values come to the driver: a categorical variable has few, and more than 10,000 are refused.
+    Values are compared as what they are, not as text. One job counts the distinct values of all columns roughly, so
+    that a column of too many is refused before its values come to the driver; one job gets them. NaN is no category.
     """
-    levels = {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    values = {c: F.nullif(F.col(c), F.lit(float("nan")).cast(types[c])) if isinstance(types[c], (T.FloatType, T.DoubleType)) else F.col(c) for c in columns}
+    rough = df.agg(*(F.approx_count_distinct(values[c], 0.02).alias(c) for c in columns)).head() if columns else []
+    many = [c for c, n in zip(columns, rough, strict=True) if n > 1.1 * most]
+    found = df.agg(*(F.collect_set(values[c]).alias(c) for c in columns)).head() if columns and not many else [[]] * len(columns)
+    many += [c for c, v in zip(columns, found, strict=True) if len(v) > most]
+    if many:
+        raise DataError(f"more than {most:,} categories in {', '.join(many)}")
+    levels = {c: sorted(v) for c, v in zip(columns, found, strict=True)}
+    out = df
     for c in columns:
-        found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(10_001).collect()]
-        if len(found) > 10_000:
-            raise DataError(f"{c} has more than 10,000 categories")
-        levels[c] = sorted(found)
-    code = {c: F.array_position(F.lit([str(v) for v in levels[c]]), F.col(c).cast("string")) - 1 for c in columns}
-    return df.withColumns({c: code[c].cast("int") for c in columns}), levels
+        known = levels[c]
+        if len(known) <= FEW:
+            code = F.coalesce(F.array_position(F.array(*(F.lit(v).cast(types[c]) for v in known)), values[c]), F.lit(0)) - 1 if known else F.lit(-1)
+            out = out.withColumn(c, F.when(values[c].isNotNull(), F.when(code >= 0, code).otherwise(F.raise_error(F.lit(f"{c} has a value that it hadn't before")))).cast("int"))
+        else:
+            table = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(known)], T.StructType([T.StructField("__v", types[c]), T.StructField("__k", T.IntegerType())]))
+            out = out.join(F.broadcast(table), values[c] == F.col("__v"), "left").withColumn(c, F.col("__k")).drop("__v", "__k")
+    return out.select(df.columns), levels
+
+
+#: Distinct values up to this many are broadcast with their ranks.
+MOST_RANKS = 100_000
 
 
 def normal_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column as the normal quantile of its average rank / (n + 1).
+    """Each column as the normal quantile of its average rank / (n + 1); missing values stay missing.
 
-    A column's distinct values are counted and ranked by one sort of the distinct values, so ties share a rank and
-    no window ever holds rows; the ranks are joined back. n distinct values of one column meet in one task.
+    Ranks are those of a column's distinct values, sorted by ranges, so ties share a rank and no task gets all values.
+    They are broadcast where they are few and joined otherwise.
     """
     from tessera.functions.columns import normal_quantile
+    from tessera.operators.ordered import average_ranks, cut
 
-    n = df.count()
     out = df
     for c in columns:
-        below = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = df.groupBy(c).agg(F.count("*").alias("__n")).withColumn("__r", F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2)
-        out = out.join(ranks.select(F.col(c).alias("__v"), "__r"), F.col(c).eqNullSafe(F.col("__v"))).withColumn(c, normal_quantile(F.col("__r") / (n + 1))).drop("__v", "__r")
+        ranks = cut(average_ranks(df, c).withColumnsRenamed({"value": "__v", "rank": "__r", "n": "__k"}))
+        values, n = ranks.agg(F.count("*"), F.sum("__k")).head()
+        ranks = ranks.select("__v", normal_quantile(F.col("__r") / ((n or 0) + 1)).alias("__r"))
+        out = out.join(F.broadcast(ranks) if values <= MOST_RANKS else ranks, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).drop("__v", "__r")
     return out.select(columns)
