@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import cut
@@ -63,3 +63,41 @@ def summary_of_lags(links: DataFrame) -> DataFrame:
 def vote(fits: DataFrame, n_fits: int) -> DataFrame:
     """(i, j, mark_i, mark_j, frequency) over the edges of many fits."""
     return fits.groupBy("i", "j", "mark_i", "mark_j").agg((F.count("*") / n_fits).alias("frequency"))
+
+
+def shared_members(sets: DataFrame, key: str, member: str) -> DataFrame:
+    """(member, sets, in_all): in how many of the sets (rows key, member) each member is, and whether in every one.
+
+    The number of sets is one row, and so are two counts of a member: nothing but partial counts is shuffled.
+    """
+    members = sets.select(key, member).distinct()
+    n = sets.select(key).distinct().count()
+    return members.groupBy(member).agg(F.count("*").alias("sets")).withColumn("in_all", F.col("sets") == n)
+
+
+def strongest(candidates: DataFrame, target: str, candidate: str, strength: str, most: int) -> DataFrame:
+    """The `most` strongest candidates of each target, ties by the candidate; tasks keep so many each before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(target).orderBy(F.col(strength).desc(), candidate))
+    return candidates.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def separating_sets(tests: DataFrame, alpha: float) -> DataFrame:
+    """(x, y, sepset, p) of the tests (x, y, s, p) that don't reject: the union of a pair's sets and their largest p-value."""
+    members = tests.where(F.col("p") > alpha).select("x", "y", "p", F.explode_outer("s").alias("v"))
+    return members.groupBy("x", "y").agg(F.array_sort(F.collect_set("v")).alias("sepset"), F.max("p").alias("p"))
+
+
+def best_moves(moves: DataFrame, target: str, move: str, delta: str, digits: int = 9) -> DataFrame:
+    """Each target's move of the least delta rounded to `digits`, ties by the move: (target, move, delta)."""
+    best = F.min(F.struct(F.round(delta, digits).alias("d"), F.col(move).alias("m")))
+    return moves.groupBy(target).agg(best.alias("__best")).select(target, F.col("__best.m").alias(move), F.col("__best.d").alias(delta))
+
+
+#: Rows of knowledge up to which it is broadcast.
+MOST_KNOWLEDGE = 100_000
+
+
+def permitted(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """The candidate edges (a, b) without those that a table of knowledge, a or b or both of them, forbids."""
+    few = forbidden.limit(MOST_KNOWLEDGE + 1).count() <= MOST_KNOWLEDGE
+    return edges.join(F.broadcast(forbidden) if few else forbidden, forbidden.columns, "left_anti").select("a", "b")

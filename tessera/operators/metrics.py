@@ -72,6 +72,24 @@ def adjusted_rand(a: list, b: list) -> float:
     return float((both - expected) / (top - expected)) if top != expected else 1.0
 
 
+def adjusted_rand_of(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(ari): agreement of two groupings of the rows, corrected for chance, from one contingency table."""
+    t = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
+    sums = [t.groupBy(c).agg(F.sum("n").alias("s")).agg(pairs("s")).head()[0] or 0.0 for c in "ab"]
+    one = t.agg(pairs("n").alias("both"), (F.sum("n") * (F.sum("n") - 1) / 2.0).alias("total"))
+    expected, top = sums[0] * sums[1] / F.col("total"), sum(sums) / 2
+    return one.select(F.when(F.lit(top) == expected, 1.0).otherwise(F.try_divide(F.col("both") - expected, F.lit(top) - expected)).alias("ari"))
+
+
+def direction_counts(estimated: DataFrame, true: DataFrame) -> DataFrame:
+    """(found, correct): true arrows of an edge table that the other has as adjacencies, and those it directs alike."""
+    arrow = F.least("ti", "tj") + F.greatest("ti", "tj") == 3
+    e = estimated.select("i", "j", F.col("mark_i").alias("ei"), F.col("mark_j").alias("ej"))
+    both = true.select("i", "j", F.col("mark_i").alias("ti"), F.col("mark_j").alias("tj")).where(arrow).join(e, ["i", "j"])
+    return both.agg(F.count("*").alias("found"), F.coalesce(F.sum(((F.col("ti") == F.col("ei")) & (F.col("tj") == F.col("ej"))).cast("long")), F.lit(0)).alias("correct"))
+
+
 def temporal_shd(a: np.ndarray, b: np.ndarray) -> int:
     """Marks that differ, lag by lag."""
     return int((a != b).sum())

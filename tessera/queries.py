@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import partial
-from inspect import signature
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as fx
 from tessera.operators import cells as cell_tables
 from tessera.operators import graphs
 from tessera.operators import moments as mm
+from tessera.operators import ordered
 from tessera.operators import profile as prof
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -132,27 +130,25 @@ full_t AS (SELECT m1.s, m1.rx, m2.cy, m1.ns, coalesce(t.o, 0) AS o FROM (SELECT
 CHI2_END = """SELECT CAST(round((SELECT sum((o - rx * cy / ns) * (o - rx * cy / ns) / (rx * cy / ns)) FROM full_t), 6) + 0.0 AS DOUBLE) AS chi2, CAST(round((SELECT sum(CASE WHEN o > 0 THEN 2 * o * ln(o * ns / (CAST(rx AS DOUBLE) * cy)) ELSE 0 END) FROM full_t), 6) + 0.0 AS DOUBLE) AS g2, CAST(round((SELECT sum(CAST(ns AS DOUBLE) * (a - 1) * (b - 1) / (ns - 1)) FROM k WHERE ns > 1), 6) + 0.0 AS DOUBLE) AS dof"""
 
 
-def _contingency(df: DataFrame, x: str, y: str, s) -> DataFrame:
-    """Pearson's and the likelihood-ratio statistic with their mean under shuffles, by windows over one grouped table."""
-    t = df.groupBy(s.alias("s"), F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("o"))
-    by = Window.partitionBy
-    t = t.withColumns({"rx": F.sum("o").over(by("s", "x")), "cy": F.sum("o").over(by("s", "y")), "ns": F.sum("o").over(by("s"))})
-    e = F.col("rx") * F.col("cy") / F.col("ns")
-    # empty cells add their expectation: the strata's expectations sum to their sizes
-    cells = t.groupBy("s", "ns").agg(F.sum((F.col("o") - e) ** 2 / e).alias("pearson"), F.sum(e).alias("seen"), F.sum(2 * F.col("o") * F.ln(F.col("o") / e)).alias("g2"), F.countDistinct("x").alias("a"), F.countDistinct("y").alias("b"))
-    dof = F.when(F.col("ns") > 1, F.col("ns") * (F.col("a") - 1) * (F.col("b") - 1) / F.nullif(F.col("ns") - 1, F.lit(0))).otherwise(0.0)
-    return cells.agg(r6(F.sum(F.col("pearson") + F.col("ns") - F.col("seen"))).alias("chi2"), r6(F.sum("g2")).alias("g2"), r6(F.sum(dof)).alias("dof"))
+def _chi2(spark, df: DataFrame, x: str, y: str, given: list[str]) -> DataFrame:
+    """Pearson's and the likelihood-ratio statistic with the former's mean under shuffles, from one scan's joint cells."""
+    from tessera.operators.ci import ChiSquare
+
+    c = cell_tables.cells(df, [x, y, *given])
+    s = tuple(range(2, 2 + len(given)))
+    chi2, dof = ChiSquare(c).statistic(0, 1, s)
+    return spark.createDataFrame([(chi2, ChiSquare(c, True).statistic(0, 1, s)[0], dof)], "chi2 double, g2 double, dof double").select(*(r6(x).alias(x) for x in ("chi2", "g2", "dof")))
 
 
 @query(CHI2.format(s="0") + CHI2_END)
 def chi2_marginal(spark, sf_dir):
-    return _contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", F.lit(0))
+    return _chi2(spark, table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", [])
 
 
 @query(CHI2.format(s="l_linenumber") + CHI2_END)
 def chi2_conditional(spark, sf_dir):
     """Return flag and line status given the line number."""
-    return _contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", F.col("l_linenumber"))
+    return _chi2(spark, table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("string")), "l_returnflag", "l_linestatus", ["l_linenumber"])
 
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, CAST(grouping_id(l_linenumber, l_linestatus, l_returnflag) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_linestatus, l_returnflag), (l_linenumber, l_returnflag), (l_linenumber, l_linestatus))")
@@ -186,10 +182,11 @@ def bic_local(spark, sf_dir):
 @query("""WITH t AS (SELECT l_returnflag AS p, l_linestatus AS v, count(*) AS o FROM lineitem GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY p) AS np FROM t)
 SELECT CAST(round(-2 * sum(o * ln(o / CAST(np AS DOUBLE))) + ln(sum(o)) * count(DISTINCT p) * (count(DISTINCT v) - 1), 6) + 0.0 AS DOUBLE) AS score FROM m""")
 def discrete_bic_local(spark, sf_dir):
-    """BIC of the line status with the return flag as its parent, by a window over one grouped table."""
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("p"), F.col("l_linestatus").alias("v")).agg(F.count("*").alias("o"))
-    t = t.withColumn("np", F.sum("o").over(Window.partitionBy("p")))
-    return t.agg(r6(-2 * F.sum(F.col("o") * F.ln(F.col("o") / F.col("np"))) + F.ln(F.sum("o")) * F.countDistinct("p") * (F.countDistinct("v") - 1)).alias("score"))
+    """BIC of the line status with the return flag as its parent."""
+    from tessera.operators.scores import CategoricalBIC
+
+    c = cell_tables.cells(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
+    return spark.createDataFrame([(CategoricalBIC(c).local(1, [0]),)], "score double").select(r6("score").alias("score"))
 
 
 @query("""WITH t AS (SELECT l_returnflag AS p, l_linestatus AS v, count(*) AS o FROM lineitem GROUP BY 1, 2), q AS (SELECT p, sum(o) AS np FROM t GROUP BY p)
@@ -202,11 +199,12 @@ def bdeu_local(spark, sf_dir):
     return spark.createDataFrame([(BDeu(c).local(1, [0]),)], "score double").select((F.round("score", 5) + 0.0).alias("score"))
 
 
-@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, " + sql6("sum(o_totalprice)", "s") + ", " + sql6("sum(o_totalprice / 1000 * o_totalprice / 1000)", "ss") + " FROM orders GROUP BY 1, 2")
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, " + "CAST(round(sum(o_totalprice), 3) + 0.0 AS DOUBLE) AS s, " + sql6("sum(o_totalprice / 1000 * o_totalprice / 1000)", "ss") + " FROM orders GROUP BY 1, 2")
 def mixed_cells(spark, sf_dir):
     """The cells of a mixed table: counts, sums and squares of the price by status and priority."""
-    df = table(spark, sf_dir, "orders")
-    return df.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), r6(F.sum("o_totalprice")).alias("s"), r6(F.sum(F.col("o_totalprice") / 1000 * F.col("o_totalprice") / 1000)).alias("ss"))
+    c = cell_tables.cells(table(spark, sf_dir, "orders").withColumn("p", F.col("o_totalprice") / 1000), ["o_orderstatus", "o_orderpriority"], ["p"])
+    rows = [(*(c.levels[v][k] for v, k in zip(c.names, code, strict=True)), int(n), float(t[0]) * 1000, float(q[0, 0])) for code, n, t, q in zip(c.codes.tolist(), c.counts, c.sums, c.products, strict=True)]
+    return spark.createDataFrame(rows, "o_orderstatus string, o_orderpriority string, n long, s double, ss double").select("o_orderstatus", "o_orderpriority", "n", (F.round("s", 3) + 0.0).alias("s"), r6("ss").alias("ss"))
 
 
 @query("WITH v AS (SELECT DISTINCT o_orderpriority AS v FROM orders), c AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM v) SELECT code, count(*) AS n FROM orders JOIN c ON o_orderpriority = v GROUP BY 1")
@@ -229,20 +227,15 @@ def env_moments(spark, sf_dir):
 @query("SELECT CAST(round(avg(r), 6) + 0.0 AS DOUBLE) AS mean_rank, count(*) AS n, CAST(round(sum(r * l_quantity), 4) + 0.0 AS DOUBLE) AS weighted FROM (SELECT l_quantity, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem)")
 def average_ranks(spark, sf_dir):
     """Ranks with ties averaged: the distinct values are sorted, not the rows."""
-    df = table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("k"))
-    below = F.sum("k").over(Window.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("r", F.coalesce(below, F.lit(0)) + (F.col("k") + 1) / 2)
-    return df.agg(r6(F.sum(F.col("r") * F.col("k")) / F.sum("k")).alias("mean_rank"), F.sum("k").alias("n"), (F.round(F.sum(F.col("r") * F.col("k") * F.col("l_quantity")), 4) + 0.0).alias("weighted"))
+    r = ordered.average_ranks(table(spark, sf_dir, "lineitem"), "l_quantity")
+    return r.agg(r6(F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"), F.sum("n").alias("n"), (F.round(F.sum(F.col("rank") * F.col("n") * F.col("value")), 4) + 0.0).alias("weighted"))
 
 
 @query("WITH p AS (SELECT p_partkey AS id, (p_size * 7919 % 1000) / 1000.0 + p_partkey / 1e9 AS p FROM part), r AS (SELECT id, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p), q AS (SELECT id, least(1.0, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM r) SELECT id, " + sql6("q", "q") + " FROM q")
 def bh_adjust(spark, sf_dir):
     """Benjamini-Hochberg adjustment of made-up p-values."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_size") * 7919 % 1000) / 1000.0 + F.col("p_partkey") / 1e9).alias("p"))
-    k = F.row_number().over(Window.orderBy("p"))
-    p = p.withColumns({"k": k, "m": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    q = F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("k")).over(Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    return p.withColumn("q", q).select("id", r6("q").alias("q"))
+    return ordered.benjamini_hochberg(p, "p", "q").select("id", r6("q").alias("q"))
 
 
 HOURS = "WITH h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n, sum(value) AS v FROM events GROUP BY 1)"
@@ -267,75 +260,77 @@ def lagged_correlations(spark, sf_dir):
     return spark.createDataFrame(rows, "x string, y string, r double").select("x", "y", r6("r").alias("r"))
 
 
-MEASURE_SQL = "WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)"
+MEASURE_SQL = "WITH c AS (SELECT (l_quantity - avg(l_quantity) OVER ()) AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) AS b FROM lineitem), v AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cab FROM c), s AS (SELECT a / sqrt(va) AS a, b / sqrt(vb) AS b, cab / sqrt(va * vb) AS r FROM c, v)"
 
 
-@query(MEASURE_SQL + " SELECT " + sql6("avg(a * tanh(b) - tanh(a) * b)", "tanh_measure") + ", " + sql6("avg(a * a * b - a * b * b)", "skew_measure") + ", " + sql6("avg(ln(cosh(a)))", "log_cosh") + ", " + sql6("avg(a * exp(-a * a / 2))", "gauss") + " FROM s")
+@query(MEASURE_SQL + ", m AS (SELECT any_value(r) * (avg(a * tanh(b)) - avg(tanh(a) * b)) AS t, sign(avg(a * a * a)) AS sa, sign(avg(b * b * b)) AS sb, any_value(r) AS r, avg(a * a * b) AS aab, avg(a * b * b) AS abb FROM s) SELECT 'quantity' AS variable, " + sql6("-pow(least(0, t), 2) * 1e6", "tanh") + ", " + sql6("-pow(least(0, r * (aab * sa - abb * sb)), 2) * 1e6", "skew") + " FROM m UNION ALL SELECT 'price', " + sql6("-pow(least(0, -t), 2) * 1e6", "tanh") + ", " + sql6("-pow(least(0, r * (abb * sb - aab * sa)), 2) * 1e6", "skew") + " FROM m")
 def exogeneity_measures(spark, sf_dir):
-    """The nonlinear moments that order a linear non-Gaussian pair; moments first, then one pass."""
-    df = table(spark, sf_dir, "lineitem")
-    s = df.agg(F.avg("l_quantity"), F.stddev_pop("l_quantity"), F.avg("l_extendedprice"), F.stddev_pop("l_extendedprice")).head()
-    a, b = (F.col("l_quantity") - s[0]) / s[1], (F.col("l_extendedprice") - s[2]) / s[3]
-    return df.agg(r6(F.avg(a * F.tanh(b) - F.tanh(a) * b)).alias("tanh_measure"), r6(F.avg(a * a * b - a * b * b)).alias("skew_measure"), r6(F.avg(F.ln(F.cosh(a)))).alias("log_cosh"), r6(F.avg(a * F.exp(-a * a / 2))).alias("gauss"))
+    """How exogenous each of two variables is by the nonlinear moments that order a linear non-Gaussian pair (in millionths)."""
+    import numpy as np
 
+    from tessera.plans.lingam import scores
 
-@query("SELECT l_orderkey % 7 AS unit, count(*) AS n, " + sql6("avg(l_quantity)", "mean") + ", " + sql6("var_samp(l_quantity)", "var") + " FROM lineitem GROUP BY 1")
-def panel_moments(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("unit", F.col("l_orderkey") % 7)
-    return df.groupBy("unit").agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("mean"), r6(F.var_samp("l_quantity")).alias("var"))
+    df, names = table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]
+    m = mm.moments(df, names)
+    by = {k: scores(df, names, m, np.eye(2), [0, 1], k) for k in ("tanh", "skew")}
+    rows = [(v, float(by["tanh"][i]) * 1e6, float(by["skew"][i]) * 1e6) for i, v in enumerate(("quantity", "price"))]
+    return spark.createDataFrame(rows, "variable string, tanh double, skew double").select("variable", r6("tanh").alias("tanh"), r6("skew").alias("skew"))
 
 
-# graphs: suppliers and customers of a nation make the nodes of small graphs
+@query("SELECT l_orderkey % 7 AS unit, count(*) AS n, " + sql6("avg(l_quantity)", "mean") + ", " + sql6("var_samp(l_quantity)", "var") + " FROM lineitem GROUP BY 1")
+def panel_moments(spark, sf_dir):
+    by = mm.moments_by(table(spark, sf_dir, "lineitem").withColumn("unit", F.col("l_orderkey") % 7), ["l_quantity"], "unit")
+    rows = [(u, m.n, float(m.mean[0]), float(m.cov[0, 0])) for u, m in by.items()]
+    return spark.createDataFrame(rows, "unit long, n long, mean double, var double").select("unit", "n", r6("mean").alias("mean"), r6("var").alias("var"))
 
 
-EDGE_SQL = "WITH e AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS a, CAST(20 + l_partkey % 30 AS BIGINT) AS b FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1 AND l_orderkey < 700)"
+# graphs over whole tables: suppliers and parts (numbered from 10^9) are nodes, large quantities join them
 
 
-def below(df: DataFrame, top: int | None) -> DataFrame:
-    """Rows of the first orders, as the SQL of a query has them; without a bound the whole table."""
-    return df if top is None else df.where(F.col("l_orderkey") < top)
+EDGE_SQL = "WITH e AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS a, CAST(1000000000 + l_partkey AS BIGINT) AS b FROM lineitem WHERE l_quantity > 49)"
 
 
-def _edges(spark, sf_dir, top=700) -> DataFrame:
-    return below(table(spark, sf_dir, "lineitem"), top).where("l_quantity > 49 AND l_linenumber = 1").select((F.col("l_suppkey") % 20).alias("a"), (20 + F.col("l_partkey") % 30).alias("b")).distinct()
+def _edges(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").cast("long").alias("a"), (F.lit(10**9) + F.col("l_partkey")).cast("long").alias("b")).distinct()
 
 
 @query(EDGE_SQL + ", s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT l.a AS x, l.b AS y, r.b AS z FROM s l JOIN s r ON l.b = r.a WHERE l.a < r.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.a = l.a AND t.b = r.b)")
-def unshielded_triples(spark, sf_dir, top=700):
-    return graphs.unshielded_triples(_edges(spark, sf_dir, top))
+def unshielded_triples(spark, sf_dir):
+    return graphs.unshielded_triples(_edges(spark, sf_dir))
 
 
 @query(EDGE_SQL + ", arrows AS (SELECT a, b FROM e WHERE (a + b) % 3 = 0), lines AS (SELECT a, b FROM e WHERE (a + b) % 3 <> 0), line AS (SELECT a, b FROM lines UNION SELECT b, a FROM lines), adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT DISTINCT w.b, l.b AS c FROM arrows w JOIN line l ON w.b = l.a WHERE w.a <> l.b AND NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = w.a AND t.b = l.b)")
-def meek_rule_1(spark, sf_dir, top=700):
-    e = _edges(spark, sf_dir, top)
+def meek_rule_1(spark, sf_dir):
+    e = _edges(spark, sf_dir)
     return graphs.meek_first(e.where("(a + b) % 3 = 0"), e.where("(a + b) % 3 <> 0"))
 
 
-CHAIN_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_partkey % 40 AS BIGINT) AS a, CAST(l_partkey % 40 + 1 + l_suppkey % 5 AS BIGINT) AS b FROM lineitem WHERE l_orderkey < 200 AND l_linenumber = 2), r AS (SELECT b AS node, a AS ancestor FROM e UNION SELECT r.node, e.a FROM r JOIN e ON e.b = r.ancestor)"
+#: A part's arrow goes to twice its number or one more, as the line's supplier is even or odd: a graph as deep as its numbers have digits.
+CHAIN_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS a, CAST(2 * l_partkey + l_suppkey % 2 AS BIGINT) AS b FROM lineitem WHERE l_linenumber <= 2), r AS (SELECT b AS node, a AS ancestor FROM e UNION SELECT r.node, e.a FROM r JOIN e ON e.b = r.ancestor)"
 
 
-def _chain(spark, sf_dir, top=200) -> DataFrame:
-    return below(table(spark, sf_dir, "lineitem"), top).where("l_linenumber = 2").select((F.col("l_partkey") % 40).alias("a"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 5).alias("b")).distinct()
+def _chain(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").cast("long").alias("a"), (2 * F.col("l_partkey") + F.col("l_suppkey") % 2).cast("long").alias("b")).distinct()
 
 
 @query(CHAIN_SQL + " SELECT node, ancestor FROM r")
-def ancestors(spark, sf_dir, top=200):
-    return graphs.ancestors(_chain(spark, sf_dir, top))
+def ancestors(spark, sf_dir):
+    return graphs.ancestors(_chain(spark, sf_dir))
 
 
 @query(CHAIN_SQL + " SELECT b AS node, a AS member FROM e UNION SELECT a, b FROM e UNION SELECT l.a, r.a FROM e l JOIN e r ON l.b = r.b WHERE l.a <> r.a")
-def markov_blankets(spark, sf_dir, top=200):
-    return graphs.markov_blankets(_chain(spark, sf_dir, top))
+def markov_blankets(spark, sf_dir):
+    return graphs.markov_blankets(_chain(spark, sf_dir))
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey % 9 AS i, 10 + l_partkey % 9 AS j, CAST(1 + l_linenumber % 2 AS TINYINT) AS m FROM lineitem WHERE l_orderkey < 60), a AS (SELECT i, j, min(m) AS m FROM e GROUP BY 1, 2), b AS (SELECT i, j, max(m) AS m FROM e WHERE i <> 3 GROUP BY 1, 2) SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.m IS NOT DISTINCT FROM b.m THEN 0 ELSE 1 END) AS BIGINT) AS shd, CAST(sum(CASE WHEN a.m IS NOT NULL AND b.m IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN b.m IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j")
-def structural_hamming(spark, sf_dir, top=60):
+@query("WITH e AS (SELECT DISTINCT l_suppkey  AS i, 1000000000 + l_partkey AS j, CAST(1 + l_linenumber % 2 AS TINYINT) AS m FROM lineitem), a AS (SELECT i, j, min(m) AS m FROM e GROUP BY 1, 2), b AS (SELECT i, j, max(m) AS m FROM e WHERE i % 10 <> 3 GROUP BY 1, 2) SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.m IS NOT DISTINCT FROM b.m THEN 0 ELSE 1 END) AS BIGINT) AS shd, CAST(sum(CASE WHEN a.m IS NOT NULL AND b.m IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN b.m IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j")
+def structural_hamming(spark, sf_dir):
     """Differences of two edge tables by a full outer join."""
     from tessera.operators.metrics import edge_differences
 
-    e = below(table(spark, sf_dir, "lineitem"), top).select((F.col("l_suppkey") % 9).alias("i"), (10 + F.col("l_partkey") % 9).alias("j"), (1 + F.col("l_linenumber") % 2).cast("byte").alias("m")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), (F.lit(10**9) + F.col("l_partkey")).alias("j"), (1 + F.col("l_linenumber") % 2).cast("byte").alias("m")).distinct()
     a = e.groupBy("i", "j").agg(F.min("m").alias("mark_i")).withColumn("mark_j", F.lit(2))
-    b = e.where("i <> 3").groupBy("i", "j").agg(F.max("m").alias("mark_i")).withColumn("mark_j", F.lit(2))
+    b = e.where("i % 10 <> 3").groupBy("i", "j").agg(F.max("m").alias("mark_i")).withColumn("mark_j", F.lit(2))
     d = edge_differences(a, b)
     return d.agg(F.count("*").alias("pairs"), F.sum((~F.col("same")).cast("long")).alias("shd"), F.sum((F.col("found") & F.col("real")).cast("long")).alias("tp"), F.sum((~F.col("real")).cast("long")).alias("fp"))
 
@@ -343,13 +338,9 @@ def structural_hamming(spark, sf_dir, top=60):
 @query("WITH t AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2), c AS (SELECT sum(n * (n - 1) / 2.0) AS both_ FROM t), r AS (SELECT sum(s * (s - 1) / 2.0) AS ra FROM (SELECT sum(n) AS s FROM t GROUP BY a)), q AS (SELECT sum(s * (s - 1) / 2.0) AS rb FROM (SELECT sum(n) AS s FROM t GROUP BY b)), k AS (SELECT sum(n) * (sum(n) - 1) / 2.0 AS total FROM t) SELECT " + sql6("(both_ - ra * rb / total) / ((ra + rb) / 2 - ra * rb / total)", "ari") + " FROM c, r, q, k")
 def adjusted_rand(spark, sf_dir):
     """Agreement of two groupings of the parts, from one contingency table."""
-    t = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    a = t.groupBy("p_brand").agg(F.sum("n").alias("s")).agg(pairs("s").alias("ra"))
-    b = t.groupBy("p_type").agg(F.sum("n").alias("s")).agg(pairs("s").alias("rb"))
-    one = t.agg(pairs("n").alias("both"), (F.sum("n") * (F.sum("n") - 1) / 2.0).alias("total")).join(a).join(b)
-    expected = F.col("ra") * F.col("rb") / F.col("total")
-    return one.select(r6((F.col("both") - expected) / ((F.col("ra") + F.col("rb")) / 2 - expected)).alias("ari"))
+    from tessera.operators.metrics import adjusted_rand_of
+
+    return adjusted_rand_of(table(spark, sf_dir, "part"), "p_brand", "p_type").select(r6("ari").alias("ari"))
 
 
 @query("SELECT l_suppkey % 5 AS i, 5 + l_partkey % 5 AS j, CAST(1 AS TINYINT) AS mark_i, CAST(1 + l_linenumber % 2 AS TINYINT) AS mark_j, " + sql6("count(*) / 100.0", "frequency") + " FROM lineitem GROUP BY 1, 2, 3, 4")
@@ -358,9 +349,9 @@ def bootstrap_votes(spark, sf_dir):
     return graphs.vote(fits, 100).withColumn("frequency", r6("frequency"))
 
 
-@query("WITH l AS (SELECT DISTINCT l_suppkey % 6 AS cause, l_partkey % 6 AS effect, l_linenumber % 3 AS lag FROM lineitem WHERE l_orderkey < 50) SELECT cause, effect, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS lags FROM l GROUP BY 1, 2")
-def lag_summary(spark, sf_dir, top=50):
-    links = below(table(spark, sf_dir, "lineitem"), top).select((F.col("l_suppkey") % 6).alias("cause"), (F.col("l_partkey") % 6).alias("effect"), (F.col("l_linenumber") % 3).alias("lag"))
+@query("WITH l AS (SELECT DISTINCT l_suppkey AS cause, l_partkey AS effect, l_linenumber % 3 AS lag FROM lineitem) SELECT cause, effect, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) AS lags FROM l GROUP BY 1, 2")
+def lag_summary(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cause"), F.col("l_partkey").alias("effect"), (F.col("l_linenumber") % 3).alias("lag"))
     return graphs.summary_of_lags(links)
 
 
@@ -413,73 +404,59 @@ def indicator_moments(spark, sf_dir):
     return _square(spark, m, m.cov)
 
 
-ICP_SQL = "WITH a AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 4 AS v FROM lineitem WHERE l_orderkey < 40), n AS (SELECT count(DISTINCT k) AS n FROM a)"
-
-
-@query(ICP_SQL + " SELECT v, count(*) AS sets, count(*) = (SELECT n FROM n) AS in_all FROM a GROUP BY v")
-def icp_intersection(spark, sf_dir, top=40):
-    """Which members all accepted sets share: a count of sets against their number."""
-    a = below(table(spark, sf_dir, "lineitem"), top).select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 4).alias("v")).distinct()
-    n = a.agg(F.countDistinct("k").alias("n"))
-    return a.groupBy("v").agg(F.count("*").alias("sets")).join(n).select("v", "sets", (F.col("sets") == F.col("n")).alias("in_all"))
+@query("WITH a AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS v FROM lineitem), n AS (SELECT count(DISTINCT k) AS n FROM a) SELECT v, count(*) AS sets, count(*) = (SELECT n FROM n) AS in_all FROM a GROUP BY v")
+def icp_intersection(spark, sf_dir):
+    """Which members all accepted sets share, for a table of sets: of each member, in how many of them it is."""
+    return graphs.shared_members(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("v")), "k", "v")
 
 
 @query("WITH p AS (SELECT (p_partkey * 7919 % 10007 + 0.5) / 10007 AS u FROM part), r AS (SELECT u, row_number() OVER (ORDER BY u) AS i, count(*) OVER () AS n FROM p) SELECT CAST(round(-max(a.n) - avg((2 * a.i - 1) * (ln(a.u) + ln(1 - b.u))), 6) + 0.0 AS DOUBLE) AS statistic FROM r a JOIN r b ON b.i = a.n + 1 - a.i")
 def anderson_darling(spark, sf_dir):
-    """The statistic of uniformity of made-up p-values: ranks from both ends meet in one join."""
-    p = table(spark, sf_dir, "part").select(((F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007).alias("u"))
-    r = p.select("u", F.row_number().over(Window.orderBy("u")).alias("i"), F.row_number().over(Window.orderBy(F.col("u").desc())).alias("back"))
-    n = p.count()
-    up, down = r.select("i", "u"), r.select(F.col("back").alias("i"), F.col("u").alias("v"))
-    return up.join(down, "i").agg(r6(-n - F.avg((2 * F.col("i") - 1) * (F.ln("u") + F.ln(1 - F.col("v"))))).alias("statistic"))
+    """The statistic of uniformity of made-up p-values."""
+    _, z = ordered.anderson_darling(table(spark, sf_dir, "part").select(((F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007).alias("u")), "u")
+    return spark.createDataFrame([(z,)], "statistic double").select(r6("statistic").alias("statistic"))
 
 
 @query("SELECT l_returnflag AS target, l_linenumber AS candidate, " + sql6("s", "strength") + " FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY s DESC, l_linenumber) AS k FROM (SELECT l_returnflag, l_linenumber, avg(l_quantity) AS s FROM lineitem GROUP BY 1, 2)) WHERE k <= 3")
 def strongest_candidates(spark, sf_dir):
     """The three strongest candidates of each target, ties by number."""
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("target"), F.col("l_linenumber").alias("candidate")).agg(F.avg("l_quantity").alias("s"))
-    k = F.row_number().over(Window.partitionBy("target").orderBy(F.col("s").desc(), "candidate"))
-    return s.withColumn("k", k).where("k <= 3").select("target", "candidate", r6("s").alias("strength"))
+    return graphs.strongest(s, "target", "candidate", "s", 3).select("target", "candidate", r6("s").alias("strength"))
 
 
-@query("SELECT x, y, string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS sepset, " + sql6("max(p)", "p") + " FROM (SELECT l_suppkey % 5 AS x, 5 + l_partkey % 5 AS y, l_linenumber AS s, l_tax AS p FROM lineitem WHERE l_orderkey < 300 AND l_tax > 0.05) GROUP BY 1, 2")
-def separating_sets(spark, sf_dir, top=300):
+@query("SELECT x, y, string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS sepset, " + sql6("max(p)", "p") + " FROM (SELECT l_suppkey AS x, 1000000000 + l_partkey AS y, l_linenumber AS s, l_tax AS p FROM lineitem WHERE l_tax > 0.05) GROUP BY 1, 2")
+def separating_sets(spark, sf_dir):
     """Each removed pair's separating set: the union of the sets that separate it, and their largest p-value."""
-    q = below(table(spark, sf_dir, "lineitem"), top).where("l_tax > 0.05").select((F.col("l_suppkey") % 5).alias("x"), (5 + F.col("l_partkey") % 5).alias("y"), F.array(F.col("l_linenumber").cast("string")).alias("s"), F.col("l_tax").alias("p"))
-    return q.groupBy("x", "y").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("sepset"), r6(F.max("p")).alias("p"))
+    q = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("x"), (F.lit(10**9) + F.col("l_partkey")).alias("y"), F.array("l_linenumber").alias("s"), F.col("l_tax").alias("p"))
+    return graphs.separating_sets(q, 0.05).select("x", "y", F.array_join(F.array_sort(F.transform("sepset", lambda v: v.cast("string"))), ",").alias("sepset"), r6("p").alias("p"))
 
 
 @query("SELECT l_returnflag AS target, min_by(l_linenumber, v) AS best, " + sql6("min(v)", "delta") + " FROM (SELECT l_returnflag, l_linenumber, round(avg(l_discount - l_tax), 9) + l_linenumber / 1e12 AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def best_moves(spark, sf_dir):
     """The best move of each target by rounded gains, ties by number."""
-    v = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg((F.round(F.avg(F.col("l_discount") - F.col("l_tax")), 9) + F.first("l_linenumber") / 1e12).alias("v"))
-    return v.groupBy(F.col("l_returnflag").alias("target")).agg(F.min_by("l_linenumber", "v").alias("best"), r6(F.min("v")).alias("delta"))
+    v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("target"), F.col("l_linenumber").alias("move")).agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("delta"))
+    return graphs.best_moves(v, "target", "move", "delta").select("target", F.col("move").alias("best"), r6("delta").alias("delta"))
 
 
-@query(EDGE_SQL + " SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = a AND n_regionkey = 0)")
-def knowledge_restricted(spark, sf_dir, top=700):
-    """Candidate edges without those that a table of knowledge forbids: a broadcast anti join."""
-    forbidden = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("a"))
-    return _edges(spark, sf_dir, top).join(F.broadcast(forbidden), "a", "left_anti")
+@query(EDGE_SQL + " SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = a AND s_nationkey % 5 = 0)")
+def knowledge_restricted(spark, sf_dir):
+    """Candidate edges without those that a table of knowledge forbids."""
+    forbidden = table(spark, sf_dir, "supplier").where("s_nationkey % 5 = 0").select(F.col("s_suppkey").cast("long").alias("a"))
+    return graphs.permitted(_edges(spark, sf_dir), forbidden)
 
 
-@query("WITH t AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, min(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 80 GROUP BY 1, 2), e AS (SELECT l_suppkey % 8 AS i, 8 + l_partkey % 8 AS j, max(l_linenumber % 2) AS way FROM lineitem WHERE l_orderkey < 160 GROUP BY 1, 2) SELECT count(*) AS found, CAST(sum(CASE WHEN t.way = e.way THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM t JOIN e ON t.i = e.i AND t.j = e.j")
-def direction_accuracy(spark, sf_dir, top=80, estimate_top=160):
+@query("WITH t AS (SELECT l_suppkey AS i, 1000000000 + l_partkey AS j, min(l_linenumber % 2) AS way FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2), e AS (SELECT l_suppkey AS i, 1000000000 + l_partkey AS j, max(l_linenumber % 2) AS way FROM lineitem GROUP BY 1, 2) SELECT count(*) AS found, CAST(sum(CASE WHEN t.way = e.way THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM t JOIN e ON t.i = e.i AND t.j = e.j")
+def direction_accuracy(spark, sf_dir):
     """True arrows that an estimate has as adjacencies, and how many of them point the right way."""
-    side = lambda top, f: below(table(spark, sf_dir, "lineitem"), top).groupBy((F.col("l_suppkey") % 8).alias("i"), (8 + F.col("l_partkey") % 8).alias("j")).agg(f(F.col("l_linenumber") % 2).alias("way"))
-    t, e = side(top, F.min), side(estimate_top, F.max).withColumnRenamed("way", "estimated")
-    return t.join(e, ["i", "j"]).agg(F.count("*").alias("found"), F.sum((F.col("way") == F.col("estimated")).cast("long")).alias("correct"))
-
-
-def _register_whole() -> None:
-    """Each query over the first orders again over the whole table, with its SQL."""
-    for f in (unshielded_triples, meek_rule_1, knowledge_restricted, ancestors, markov_blankets, structural_hamming, lag_summary, icp_intersection, separating_sets, direction_accuracy):
-        name, tops = f"{f.__name__}_whole", dict.fromkeys([x for x in signature(f).parameters if x.endswith("top")])
-        QUERIES[name] = partial(f, **tops)
-        SQL[name] = re.sub(r"( WHERE )l_orderkey < \d+ AND | (?:WHERE|AND) l_orderkey < \d+", r"\1", SQL[f.__name__])
+    from tessera.operators.metrics import direction_counts
 
+    def side(df, f):
+        way = f(F.col("l_linenumber") % 2)
+        marks = [F.when(way == 0, 1).otherwise(2).cast("byte").alias("mark_i"), F.when(way == 0, 2).otherwise(1).cast("byte").alias("mark_j")]
+        return df.groupBy(F.col("l_suppkey").alias("i"), (F.lit(10**9) + F.col("l_partkey")).alias("j")).agg(*marks)
 
-_register_whole()
+    lines = table(spark, sf_dir, "lineitem")
+    return direction_counts(side(lines, F.max), side(lines.where("l_quantity > 40"), F.min))
 
 
 # searches: results without SQL
