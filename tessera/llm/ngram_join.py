@@ -136,9 +136,23 @@ def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[
     return rows.mapInArrow(run, "h long, s long, n int, big boolean")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, size: str, key: str = "h", spread: str = "s") -> DataFrame:
+    """The rows (key, spread, ..) with their group's row of a checkpointed table (key, ..).
+
+    size: its column of the number of members; those of a large group are dealt by `spread`.
+    """
+    parts = F.lit(shuffle_partitions(rows.sparkSession))
+    n = groups.agg(F.sum(size)).head()[0] or 0
+    large = F.col(key).isin([r[0] for r in groups.where(F.col(size) * LARGE >= n).select(key).collect()])
+    rows = rows.withColumn("salt", F.when(large, F.pmod(F.xxhash64(spread), parts)).otherwise(0).cast("int"))
+    groups = groups.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return rows.join(groups, [key, "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_once: int = 1024) -> DataFrame:
     """The pairs (a, b) whose texts' sets have the similarity. Pairs of one a are dealt in lots of about `at_once`."""
-    pairs = pairs.withColumn("lot", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / at_once)))
+    lots = checkpoint(pairs.groupBy("a").agg(F.count("*").alias("m")))
+    pairs = _with_group(pairs, lots, "m", "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / at_once)).alias("lot"))
     firsts = pairs.select("a", "lot").distinct().join(sets.select(F.col("s").alias("a"), "text"), "a").select("a", "lot", F.lit(None).cast("long").alias("b"), "text")
     seconds = pairs.join(sets.select(F.col("s").alias("b"), "text"), "b").select("a", "lot", "b", "text")
 
@@ -161,16 +175,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _with_group(rows: DataFrame, groups: DataFrame, size: str) -> DataFrame:
-    """The rows (h, s, ..) with their group's row of a checkpointed table (h, ..); size: its column of the number of members."""
-    parts = F.lit(shuffle_partitions(rows.sparkSession))
-    n = groups.agg(F.sum(size)).head()[0] or 0
-    large = F.col("h").isin([r[0] for r in groups.where(F.col(size) * LARGE >= n).select("h").collect()])
-    rows = rows.withColumn("salt", F.when(large, F.pmod(F.xxhash64("s"), parts)).otherwise(0).cast("int"))
-    groups = groups.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
-    return rows.join(groups, ["h", "salt"]).drop("salt")
-
-
 def _tiles(members: DataFrame, t: tuple[int, int], block: int) -> DataFrame:
     """Members (h, s, n, component) once for each tile (h, ka, kb, ca, cb) that they belong to, but for groups of one component."""
     band = F.floor(F.ln("n") / math.log(t[1] / t[0])).cast("int")
@@ -338,7 +342,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int], big: int = BIG) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (id, s, n), their distinct sets (s, n, rep, bm), and groups (h, s, n, p) of sets that share a prefix shingle; p: the first one."""
+    """Documents (id, s, n), their distinct sets (s, n, rep, bm), and groups (h, s, n) of sets that share a prefix shingle."""
     described = _described(rows, k, slots)
     documents = described.where("n >= 0")
     sets = stage(documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm")), "distinct")
@@ -347,14 +351,14 @@ def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int], big: int =
     prefixes = _prefixes(rows, k, slots, _order(described, slots), t, big)
     salt = F.when(F.col("big"), F.pmod(F.xxhash64("s"), F.lit(shuffle_partitions(rows.sparkSession)))).otherwise(0)
     prefixes = prefixes.withColumn("salt", salt.cast("int")).repartition("h", "salt").groupBy("h", "salt", "s", "n", "big").agg(F.lit(1).alias("one"))
-    about = {"m": F.count("*"), "x": F.bit_xor("s"), "y": F.bit_xor(F.xxhash64("s")), "p": F.min(F.struct("s", "n"))}
+    about = {"m": F.count("*"), "x": F.bit_xor("s"), "y": F.bit_xor(F.xxhash64("s"))}
     whole = Window.partitionBy("h", "salt")
     shared = stage(prefixes.withColumns({c: f.over(whole) for c, f in about.items()}).where("m > 1 or big").drop("salt", "one"), "shared")
     large = shared.where("big").groupBy("h").agg(*(f.alias(c) for c, f in about.items())).where("m > 1")
 
     # of groups with the same members, the one of the least shingle
-    groups = shared.where("not big").select("h", *about).unionByName(large).groupBy(*about).agg(F.min("h").alias("h")).select("h", "m", "p")
-    groups = stage(_with_group(shared.select("h", "s", "n"), checkpoint(groups), "m").select("h", "s", "n", "p"), "groups")
+    groups = shared.where("not big").select("h", *about).unionByName(large).groupBy(*about).agg(F.min("h").alias("h")).select("h", "m")
+    groups = stage(_with_group(shared.select("h", "s", "n"), checkpoint(groups), "m").select("h", "s", "n"), "groups")
     unstage(shared)
     return documents, sets, groups
 
@@ -370,7 +374,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     documents, sets, groups = _grouped(rows, k, slots, t, big)
 
     # stars
-    stars = groups.where("s <> p.s").where((t[1] * F.least("n", "p.n")) >= (t[0] * F.greatest("n", "p.n"))).select(F.col("p.s").alias("a"), F.col("s").alias("b")).distinct()
+    first = checkpoint(groups.groupBy("h").agg(F.min(F.struct("s", "n")).alias("p"), F.count("*").alias("m")))
+    stars = _with_group(groups, first, "m").where("s <> p.s").where((t[1] * F.least("n", "p.n")) >= (t[0] * F.greatest("n", "p.n"))).select(F.col("p.s").alias("a"), F.col("s").alias("b")).distinct()
     links = _decided(checkpoint(_bounded(stars, sets, t)), rows, sets, k, t, filter_bits)
     labels = components(links).select(F.col("node").alias("s"), "component")
 
@@ -384,7 +389,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labels = _joined(labels, _decided(pairs, rows, sets, k, t, filter_bits))
 
     classes = sets.select("s", "rep").join(labels, "s", "left").withColumn("component", F.coalesce("component", "s"))
-    classes = checkpoint(classes.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("s", "component_id"))
+    least = checkpoint(classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")))
+    classes = checkpoint(_with_group(classes, least, "m", "component").select("s", "component_id"))
     for x in (groups, few, sets):
         unstage(x)
     out = documents.select("id", "s", "n").join(classes, "s", "left")
