@@ -466,21 +466,41 @@ def graph_frame(spark, graph) -> DataFrame:
     return spark.createDataFrame([(a, b, t) for a, b, t in graph.oriented_edges()], "source string, target string, type string")
 
 
-def _planted(spark, sf_dir) -> DataFrame:
-    """A table with known structure over the line items: q -> cost -> paid <- tax, and noise from a hash."""
-    df = table(spark, sf_dir, "lineitem")
-    e = lambda k: F.pmod(F.xxhash64(F.lit(k), "l_orderkey", "l_linenumber", "l_partkey"), F.lit(10_000)) / 10_000 - 0.5
-    df = df.select((F.col("l_quantity") / 15).alias("quantity"), (F.col("l_tax") * 30).alias("tax"), e(1).alias("e1"), e(2).alias("e2"), "l_returnflag", "l_linestatus")
-    df = df.withColumn("cost", F.col("quantity") + 2 * F.col("e1"))
-    return df.withColumn("paid", F.col("cost") + F.col("tax") + F.col("e2")).drop("e1", "e2")
+#: Two numbers of a line item in [-1/2, 1/2), the same in Spark and SQL: remainders of its keys by primes.
+NOISE = {
+    "e1": "((l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 1299709) % 10007) / 10007.0 - 0.5",
+    "e2": "((l_orderkey * 15485863 + l_partkey * 611953 + l_linenumber * 7919) % 20011) / 20011.0 - 0.5",
+}
+#: A table with known structure over the line items: quantity -> cost -> paid <- tax.
+PLANT = {"quantity": "l_quantity / 15", "tax": "l_tax * 30", "cost": "l_quantity / 15 + 2 * e1", "paid": "l_quantity / 15 + 2 * e1 + l_tax * 30 + e2"}
+#: The same where returned items are taxed twice and accepted ones cost more.
+PLANT_ENV = {
+    "quantity": "l_quantity / 15",
+    "tax": "l_tax * CASE WHEN l_returnflag = 'R' THEN 60 ELSE 30 END",
+    "cost": "l_quantity / 15 + 2 * e1 + CASE WHEN l_returnflag = 'A' THEN 2 ELSE 0 END",
+    "paid": "l_quantity / 15 + 2 * e1 + CASE WHEN l_returnflag = 'A' THEN 2 ELSE 0 END + l_tax * CASE WHEN l_returnflag = 'R' THEN 60 ELSE 30 END + e2",
+}
+
+
+def plant_sql(columns: dict[str, str], more: str = "") -> str:
+    return f"(SELECT {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for c, x in columns.items())}{more} FROM (SELECT *, {', '.join(f'{x} AS {c}' for c, x in NOISE.items())} FROM lineitem))"
+
+
+def _planted(spark, sf_dir, columns=None) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").selectExpr("*", *(f"{x} AS {c}" for c, x in NOISE.items()))
+    return df.selectExpr(*(f"CAST({x} AS DOUBLE) AS {c}" for c, x in (columns or PLANT).items()), "l_returnflag", "l_linestatus")
 
 
 PLANTED = ["quantity", "tax", "cost", "paid"]
+#: Noise of the same variance in all variables, whose directions least squares finds.
+PLANT_EVEN = {"quantity": "(l_quantity - 25.5) / 14.43", "tax": "l_tax * 38.7", "cost": "1.2 * (l_quantity - 25.5) / 14.43 + 3.464 * e1", "paid": "1.2 * (l_quantity - 25.5) / 14.43 + 3.464 * e1 + 38.7 * l_tax + 3.464 * e2"}
+#: Curved effects, whose directions additive models find.
+PLANT_CURVED = {"quantity": "l_quantity / 15", "cost": "2 * sin(l_quantity / 8) + e1 + e2", "paid": "pow(2 * sin(l_quantity / 8) + e1 + e2, 2) + 2 * l_tax * 30 + e1 * e2", "tax": "l_tax * 30"}
 
 
-def search(name: str, fit):
+def search(name: str, fit, columns=None):
     def run(spark, sf_dir):
-        return graph_frame(spark, fit(_planted(spark, sf_dir)))
+        return graph_frame(spark, fit(_planted(spark, sf_dir, columns)))
 
     run.__name__, run.__doc__ = name, f"{name} over the planted table."
     QUERIES[name] = run
@@ -494,13 +514,17 @@ def pc_skeleton_lineitem(spark, sf_dir):
     return graph_frame(spark, pc(table(spark, sf_dir, "lineitem"), columns=NUMBERS))
 
 
+OTHER_PLANTS = dict.fromkeys(("cdnod", "icp", "fci_jci", "gies", "gnies", "igsp", "ut_igsp"), PLANT_ENV) | dict.fromkeys(("notears", "dagma", "calm"), PLANT_EVEN) | dict.fromkeys(("cam", "score_matching", "nogam", "resit", "camuv", "anm", "pnl", "loci"), PLANT_CURVED)
+
+
 def _register_searches() -> None:
     from tessera.plans import constraint, continuous, functional, lingam, resample, score_search
 
+    categories = lambda df: df.withColumn("kept", F.when(F.pmod(F.hash("quantity", "tax", "paid"), F.lit(10)) < 7, F.col("l_returnflag")).otherwise("X"))
     for name, fit in {
         "pc": lambda df: constraint.pc(df, columns=PLANTED),
         "pc_majority": lambda df: constraint.pc(df, columns=PLANTED, collider_rule="majority"),
-        "pc_gsq": lambda df: constraint.pc(df, columns=["l_returnflag", "l_linestatus"], indep_test="gsq"),
+        "pc_gsq": lambda df: constraint.pc(categories(df), columns=["l_returnflag", "l_linestatus", "kept"], indep_test="gsq"),
         "fci": lambda df: constraint.fci(df, columns=PLANTED),
         "iamb": lambda df: constraint.blanket(df, method="iamb", columns=PLANTED),
         "mmpc": lambda df: constraint.blanket(df, method="mmpc", columns=PLANTED, structure="skeleton"),
@@ -508,19 +532,19 @@ def _register_searches() -> None:
         "icp": lambda df: constraint.icp(df.drop("l_linestatus"), "l_returnflag", target="paid"),
         "ges": lambda df: score_search.ges(df, columns=PLANTED),
         "xges": lambda df: score_search.xges(df, columns=PLANTED),
-        "hc": lambda df: score_search.hc(df, columns=PLANTED),
-        "tabu": lambda df: score_search.tabu(df, columns=PLANTED),
+        "hc": lambda df: score_search.hc(df, columns=PLANTED).to_cpdag(),
+        "tabu": lambda df: score_search.tabu(df, columns=PLANTED).to_cpdag(),
         "exact_search": lambda df: score_search.exact_search(df, columns=PLANTED),
         "boss": lambda df: score_search.boss(df, columns=PLANTED),
         "grasp": lambda df: score_search.grasp(df, columns=PLANTED),
         "gfci": lambda df: score_search.hybrid_fci(df, "gfci", columns=PLANTED),
-        "mmhc": lambda df: score_search.mmhc(df, columns=PLANTED),
-        "gies": lambda df: score_search.gies(df, "l_returnflag", {"A": ["tax"]}, columns=PLANTED),
+        "mmhc": lambda df: score_search.mmhc(df, columns=PLANTED).to_cpdag(),
+        "gies": lambda df: score_search.gies(df, "l_returnflag", {"R": ["tax"], "A": ["cost"]}, columns=PLANTED),
         "direct_lingam": lambda df: lingam.direct_lingam(df, columns=PLANTED),
         "ges_mixed": lambda df: score_search.ges(df, columns=["quantity", "cost", "l_returnflag"]),
-        "notears": lambda df: continuous.notears(df, columns=PLANTED, standardize=True, lambda1=0.02, w_threshold=0.2),
-        "dagma": lambda df: continuous.dagma(df, columns=PLANTED, standardize=True),
-        "calm": lambda df: continuous.calm(df, columns=PLANTED, standardize=True, max_iter=5, subproblem_iter=300),
+        "notears": lambda df: continuous.notears(df, columns=PLANTED),
+        "dagma": lambda df: continuous.dagma(df, columns=PLANTED),
+        "calm": lambda df: continuous.calm(df, columns=PLANTED),
         "fci_jci": lambda df: constraint.fci_jci(df.drop("l_linestatus"), "l_returnflag"),
         "inter_iamb": lambda df: constraint.blanket(df, method="inter_iamb", columns=PLANTED),
         "pc_mixed": lambda df: constraint.pc(df, columns=["quantity", "cost", "l_returnflag"]),
@@ -531,11 +555,11 @@ def _register_searches() -> None:
         "pc_missing": lambda df: constraint.pc(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), columns=PLANTED, missing="mvpc"),
         "ages": lambda df: score_search.ages(df, columns=PLANTED),
         "gnies": lambda df: score_search.gnies(df, "l_returnflag", columns=PLANTED),
-        "igsp": lambda df: score_search.igsp(df, "l_returnflag", {"A": ["tax"]}, columns=PLANTED, n_starts=3),
+        "igsp": lambda df: score_search.igsp(df, "l_returnflag", {"R": ["tax"], "A": ["cost"]}, columns=PLANTED, n_starts=3),
         "ut_igsp": lambda df: score_search.igsp(df, "l_returnflag", columns=PLANTED, n_starts=3),
         "boss_fci": lambda df: score_search.hybrid_fci(df, "boss_fci", columns=PLANTED),
         "grasp_fci": lambda df: score_search.hybrid_fci(df, "grasp_fci", columns=PLANTED),
-        "rsmax2": lambda df: score_search.rsmax2(df, restrict="iamb", maximize="tabu", columns=PLANTED),
+        "rsmax2": lambda df: score_search.rsmax2(df, restrict="iamb", maximize="tabu", columns=PLANTED).to_cpdag(),
         "structural_em": lambda df: score_search.structural_em(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), score_search.ges, PLANTED, rounds=3),
         "ica_lingam": lambda df: lingam.ica_lingam(df, columns=PLANTED, most_rows=5_000),
         "rcd": lambda df: lingam.rcd(df, columns=PLANTED[:3], most_rows=300),
@@ -550,7 +574,7 @@ def _register_searches() -> None:
         "pnl": lambda df: functional.pair_direction(df, "pnl", columns=["quantity", "cost"], most_rows=150),
         "loci": lambda df: functional.pair_direction(df, "loci", columns=["quantity", "cost"], most_rows=300),
     }.items():
-        search(name, fit)
+        search(name, fit, OTHER_PLANTS.get(name))
 
     def bootstrap_pc(spark, sf_dir):
         """Edge frequencies of PC over 40 half samples, whose moments one scan gathers."""
@@ -576,13 +600,30 @@ def _scaled(df: DataFrame) -> DataFrame:
     return df.select("t", ((F.col("n") - s[0]) / s[1]).alias("n"), ((F.col("v") - s[2]) / s[3]).alias("v"))
 
 
+#: Hours of events: their number n, and v, which follows the number an hour before, with a noise of the hour.
+HOUR_NOISE = "((epoch(t) // 3600 * 7919) % 10007) / 10007.0 - 0.5"
+SERIES = HOURS + f", s AS (SELECT t, n, 0.2 * lag(n) OVER (ORDER BY t) + ({HOUR_NOISE}) AS v FROM h)"
+
+
+def _followed(df: DataFrame) -> DataFrame:
+    noise = F.floor(F.unix_timestamp("t") / 3600) * 7919 % 10007 / 10007.0 - 0.5
+    return df.withColumn("v", 0.2 * F.col("n__1") + noise)
+
+
+def _series(spark, sf_dir) -> DataFrame:
+    return _followed(mm.lagged(hourly(spark, sf_dir), ["n"], "t", 1)).select("t", "n", "v")
+
+
 def _by_type(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("t")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
+    """The same for each event type, by twelve hours."""
+    span = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 43200) * 43200)
+    df = table(spark, sf_dir, "events").groupBy("event_type", span.alias("t")).agg(F.count("*").cast("double").alias("n"))
+    return _followed(mm.lagged(df, ["n"], "t", 1, "event_type")).select("event_type", "t", "n", "v")
 
 
 def _temporal(name, fit):
     def run(spark, sf_dir):
-        g = fit(hourly(spark, sf_dir))
+        g = fit(_series(spark, sf_dir))
         return g.frame(spark)
 
     run.__name__ = name
@@ -592,7 +633,7 @@ def _temporal(name, fit):
 def _register_temporal() -> None:
     from tessera.plans import temporal
 
-    _temporal("granger", lambda df: temporal.granger(df, "t", tau_max=2, columns=["n", "v"]))
+    _temporal("granger", lambda df: temporal.granger(df, "t", tau_max=1, columns=["n", "v"]))
     _temporal("pcmci", lambda df: temporal.pcmci(df, "t", tau_max=2, columns=["n", "v"]))
     _temporal("pcmciplus", lambda df: temporal.pcmciplus(df, "t", tau_max=2, columns=["n", "v"]))
     _temporal("dynotears", lambda df: temporal.dynotears(_scaled(df), "t", tau_max=1, columns=["n", "v"]))
@@ -616,3 +657,6 @@ def _register_temporal() -> None:
 
 _register_temporal()
 
+
+# further queries, and SQL for searches, are in modules of their own
+from tessera import queries_search  # noqa: E402, F401
