@@ -71,6 +71,89 @@ class BIC(Score):
         return self.n * math.log(r) + self.pen * k * math.log(self.n) + ebic_penalty(k, self.d, self.gamma)
 
 
+#: Beyond this ratio of a residual to a variance a rank-one update is replaced by two full scores.
+THIN = 1e-8
+
+
+def _extended(score: BIC, k: int) -> float:
+    return score.pen * k * math.log(score.n) + ebic_penalty(k, score.d, score.gamma)
+
+
+def _is_plain(score: Score) -> bool:
+    return type(score) is BIC
+
+
+def add_deltas(score: Score, node: int, base) -> np.ndarray:
+    """score(node, base + u) - score(node, base) for every variable u at once; nan for the node and the base.
+
+    For the Gaussian BIC one elimination of the base from the covariances gives all partial correlations with the node;
+    variables that the base nearly determines, and other scores, take two full scores.
+    """
+    base, d = sorted(base), score.d
+    out = np.full(d, np.nan)
+    others = np.array([u for u in range(d) if u != node and u not in base], int)
+    if _is_plain(score) and len(others) and len(base) + 1 <= score.n - 2:
+        c = score.cov
+        cols = [node, *others]
+        rest_nu, rest_uu = c[node, cols].copy(), np.diag(c)[cols].copy()
+        if base:
+            try:
+                solved = np.linalg.solve(c[np.ix_(base, base)], c[np.ix_(base, cols)])
+            except np.linalg.LinAlgError:
+                solved = None
+            if solved is None:
+                rest_uu[:] = 0
+            else:
+                rest_nu -= c[base, node] @ solved
+                rest_uu -= (c[np.ix_(base, cols)] * solved).sum(axis=0)
+        own, rest_nu, rest_uu = rest_uu[0], rest_nu[1:], rest_uu[1:]
+        sound = (rest_uu > THIN * np.diag(c)[others]) & (own > THIN * c[node, node])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = 1 - rest_nu**2 / (rest_uu * own)
+            sound &= left > THIN
+            out[others] = score.n * np.log(np.where(sound, left, 1.0)) + _extended(score, len(base) + 1) - _extended(score, len(base))
+        others = others[~sound]
+    for u in others:
+        out[u] = score.local(node, [*base, int(u)]) - score.local(node, base)
+    return out
+
+
+def remove_deltas(score: Score, node: int, base) -> np.ndarray:
+    """score(node, base - u) - score(node, base) for every u of the base at once; nan for the others."""
+    base, out = sorted(base), np.full(score.d, np.nan)
+    left = list(base)
+    if _is_plain(score) and base and len(base) <= score.n - 2:
+        own = [node, *base]
+        c = score.cov[np.ix_(own, own)]
+        sd = np.sqrt(np.diag(c))
+        r = c / np.outer(sd, sd)
+        if np.linalg.eigvalsh(r)[0] > THIN:
+            k = np.linalg.inv(r)
+            rho2 = k[0, 1:] ** 2 / (k[0, 0] * np.diag(k)[1:])
+            out[base] = -score.n * np.log1p(-rho2) + _extended(score, len(base) - 1) - _extended(score, len(base))
+            left = []
+    for u in left:
+        out[u] = score.local(node, [v for v in base if v != u]) - score.local(node, base)
+    return out
+
+
+def local_delta(score: Score, node: int, base, u: int, op: str) -> float:
+    """The change of a node's score as one parent comes or goes: op is add or remove."""
+    if op not in ("add", "remove"):
+        raise ValueError(f"op is add or remove, not {op}")
+    return float((add_deltas if op == "add" else remove_deltas)(score, node, base)[u])
+
+
+def score_many_with_base(score: Score, node: int, base, moves: list[tuple[str, int]]) -> np.ndarray:
+    """score(node, base with each move): moves are (add or remove, variable)."""
+    whole = score.local(node, base)
+    if not math.isfinite(whole):  # no difference can be taken from a base that determines the node
+        return np.array([score.local(node, [*base, u] if op == "add" else [v for v in base if v != u]) for op, u in moves])
+    ops = {op for op, _ in moves}
+    d = {op: f(score, node, base) for op, f in (("add", add_deltas), ("remove", remove_deltas)) if op in ops}
+    return np.array([whole + d[op][u] for op, u in moves])
+
+
 class InterventionalBIC(BIC):
     """Each node scored on the rows where it isn't intervened on; ln of all rows in the penalty."""
 

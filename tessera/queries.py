@@ -659,4 +659,4 @@ _register_temporal()
 
 
 # further queries, and SQL for searches, are in modules of their own
-from tessera import queries_search  # noqa: E402, F401
+from tessera import queries_functions, queries_search  # noqa: E402, F401
