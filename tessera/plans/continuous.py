@@ -135,7 +135,11 @@ def dagma(df: DataFrame, *, lambda1=0.03, w_threshold=0.3, stages=5, warm_iter=4
 
 
 def calm(df: DataFrame, *, lambda1=0.005, screen_alpha=0.01, use_moral_graph=True, w_threshold=0.3, gate_threshold=0.5, max_iter=25, subproblem_iter=800, lr=0.01, tau=0.5, rho_init=1e-3, rho_mult=3.0, rho_max=1e16, h_tol=1e-8, seed=0, standardize=False, columns=None) -> Graph:
-    """Gated weights within the moral graph that Markov blankets give, by the Gaussian likelihood of equal variances."""
+    """Gated weights within the moral graph that Markov blankets give, by the Gaussian likelihood, variances fitted.
+
+    Gates are drawn with logistic noise at each step, so that a half-open gate can't be made up for by a larger weight;
+    the graph keeps the edges whose gate is open without noise.
+    """
     from tessera.operators.ci import FisherZ
 
     columns = columns or numeric_columns(df)
@@ -149,24 +153,26 @@ def calm(df: DataFrame, *, lambda1=0.005, screen_alpha=0.01, use_moral_graph=Tru
             ok[v, markov_blanket(test, v, screen_alpha)] = True
         ok |= ok.T
     np.fill_diagonal(ok, False)
-    w, gate = rng.normal(0, 0.01, (d, d)), np.zeros((d, d))
+    w, gate = rng.normal(0, 0.01, (d, d)), np.full((d, d), 1.0)
     rho, a, h = rho_init, 0.0, np.inf
     for _ in range(max_iter):
         aw, ag = Adam((d, d), lr), Adam((d, d), lr)
         for _ in range(subproblem_iter):
-            z = np.where(ok, 1 / (1 + np.exp(-gate / tau)), 0)
+            u = rng.uniform(1e-6, 1 - 1e-6, (d, d))
+            z = np.where(ok, 1 / (1 + np.exp(-np.clip((gate + np.log(u / (1 - u))) / tau, -40, 40))), 0)
             b = w * z
             r = np.eye(d) - b
             var = np.maximum((r.T @ cov @ r).diagonal(), 1e-9)
             e = expm(b * b)
             gb = -(cov @ r) / var + (rho * (np.trace(e) - d) + a) * e.T * 2 * b
             w = w - aw.step(gb * z)
-            gate = gate - ag.step((gb * w + lambda1) * z * (1 - z) / tau)
+            gate = np.clip(gate - ag.step((gb * w + lambda1) * z * (1 - z) / tau), -10, 10)
+        z = np.where(ok, 1 / (1 + np.exp(-np.clip(gate / tau, -40, 40))), 0)
         new = np.trace(expm((w * z) ** 2)) - d
         a += rho * new
         rho = rho * rho_mult if new > 0.25 * h else rho
         h = new
         if h <= h_tol or rho > rho_max:
             break
-    z = np.where(ok, 1 / (1 + np.exp(-gate / tau)), 0)
+    z = np.where(ok, 1 / (1 + np.exp(-np.clip(gate / tau, -40, 40))), 0)
     return _graph(cut_cycles(np.where(z >= gate_threshold, w * z, 0), w_threshold), columns)

@@ -514,7 +514,7 @@ def pc_skeleton_lineitem(spark, sf_dir):
     return graph_frame(spark, pc(table(spark, sf_dir, "lineitem"), columns=NUMBERS))
 
 
-OTHER_PLANTS = dict.fromkeys(("cdnod", "icp", "fci_jci", "gies", "gnies", "igsp", "ut_igsp"), PLANT_ENV) | dict.fromkeys(("notears", "dagma", "calm"), PLANT_EVEN) | dict.fromkeys(("cam", "score_matching", "nogam", "resit", "camuv", "anm", "pnl", "loci"), PLANT_CURVED)
+OTHER_PLANTS = dict.fromkeys(("cdnod", "icp", "fci_jci", "gies", "gnies", "igsp", "ut_igsp"), PLANT_ENV) | dict.fromkeys(("notears", "dagma"), PLANT_EVEN) | dict.fromkeys(("cam", "score_matching", "nogam", "resit", "camuv", "anm", "pnl", "loci"), PLANT_CURVED)
 
 
 def _register_searches() -> None:
@@ -544,7 +544,7 @@ def _register_searches() -> None:
         "ges_mixed": lambda df: score_search.ges(df, columns=["quantity", "cost", "l_returnflag"]),
         "notears": lambda df: continuous.notears(df, columns=PLANTED),
         "dagma": lambda df: continuous.dagma(df, columns=PLANTED),
-        "calm": lambda df: continuous.calm(df, columns=PLANTED),
+        "calm": lambda df: continuous.calm(df, columns=PLANTED, standardize=True).to_cpdag(),
         "fci_jci": lambda df: constraint.fci_jci(df.drop("l_linestatus"), "l_returnflag"),
         "inter_iamb": lambda df: constraint.blanket(df, method="inter_iamb", columns=PLANTED),
         "pc_mixed": lambda df: constraint.pc(df, columns=["quantity", "cost", "l_returnflag"]),
@@ -659,4 +659,4 @@ _register_temporal()
 
 
 # further queries, and SQL for searches, are in modules of their own
-from tessera import queries_functions, queries_search  # noqa: E402, F401
+from tessera import queries_functions, queries_graph, queries_search  # noqa: E402, F401

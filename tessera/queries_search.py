@@ -50,15 +50,18 @@ to0 AS (SELECT a, b FROM collider UNION SELECT c, b FROM collider)"""
     return sql + meek_sql(rounds)
 
 
-def meek_sql(rounds: int) -> str:
-    """CTEs to1 .. from to0(a, b) and adj(a, b): three of Meek's rules, round by round."""
+def meek_sql(rounds: int, rule4: bool = False) -> str:
+    """CTEs to1 .. from to0(a, b) and adj(a, b): three or all four of Meek's rules, round by round."""
     sql = ""
     for k in range(rounds):
         line, to = f"(SELECT a, b FROM adj EXCEPT (SELECT a, b FROM to{k} UNION SELECT b, a FROM to{k}))", f"to{k}"
         sql += f""", to{k + 1} AS (SELECT a, b FROM {to}
 UNION SELECT l.a, l.b FROM {to} w JOIN {line} l ON w.b = l.a WHERE w.a <> l.b AND NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = w.a AND t.b = l.b)
 UNION SELECT l.a, l.b FROM {line} l JOIN {to} p ON p.a = l.a JOIN {to} q ON q.a = p.b AND q.b = l.b
-UNION SELECT l.a, l.b FROM {line} l JOIN {line} u ON u.a = l.a JOIN {to} p ON p.a = u.b AND p.b = l.b JOIN {line} v ON v.a = l.a AND v.b <> u.b JOIN {to} q ON q.a = v.b AND q.b = l.b WHERE NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = u.b AND t.b = v.b))"""
+UNION SELECT l.a, l.b FROM {line} l JOIN {line} u ON u.a = l.a JOIN {to} p ON p.a = u.b AND p.b = l.b JOIN {line} v ON v.a = l.a AND v.b <> u.b JOIN {to} q ON q.a = v.b AND q.b = l.b WHERE NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = u.b AND t.b = v.b)"""
+        if rule4:
+            sql += f""" UNION SELECT l.a, l.b FROM {line} l JOIN {line} u ON u.a = l.a AND u.b <> l.b JOIN {to} p ON p.a = u.b JOIN {to} q ON q.a = p.b AND q.b = l.b JOIN adj y ON y.a = l.a AND y.b = p.b WHERE NOT EXISTS (SELECT 1 FROM adj t WHERE t.a = u.b AND t.b = l.b)"""
+        sql += ")"
     return sql
 
 
@@ -75,7 +78,7 @@ MOMENT = f""", z AS (SELECT {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp(
 moment AS ({' UNION ALL '.join(f'SELECT {i} AS a, {j} AS b, corr(v{i}, v{j}) * sign(avg(pow(v{i}, 4)) - 3) * (avg(pow(v{i}, 3) * v{j}) - avg(v{i} * pow(v{j}, 3))) AS m FROM z' for i in range(4) for j in range(4) if i != j)}),
 dag AS (SELECT a, b FROM to3 UNION SELECT l.a, l.b FROM (SELECT a, b FROM adj EXCEPT (SELECT a, b FROM to3 UNION SELECT b, a FROM to3)) l JOIN moment m ON m.a = l.a AND m.b = l.b WHERE m.m > 0)"""
 
-CPDAGS = ("pc", "pc_majority", "pc_student_t", "iamb", "inter_iamb", "ges", "xges", "ages", "boss", "grasp", "exact_search", "hc", "tabu", "mmhc", "rsmax2")
+CPDAGS = ("pc", "pc_majority", "pc_student_t", "iamb", "inter_iamb", "ges", "xges", "ages", "boss", "grasp", "exact_search", "hc", "tabu", "mmhc", "rsmax2", "calm")
 PAGS = ("fci", "gfci", "boss_fci", "grasp_fci")
 DAGS = ("direct_lingam",)
 for _name in CPDAGS:
