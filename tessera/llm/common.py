@@ -30,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    with short_lived_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+    """Cut the lineage of a small table: it is written and read back like a stage.
+
+    A written table is computed once, where a checkpoint of Spark's own computes it again to write it; it has as few
+    partitions as its size needs and a size that joins can plan by, so that a table of few rows costs few tasks.
+    """
+    return stage(df, "cut")
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
