@@ -15,6 +15,7 @@ from tessera.functions import special
 from tessera.operators import cells as cell_tables
 from tessera.operators.moments import Moments, moments
 from tessera.operators.profile import DataError, categorical_columns, checked, normal_scores, numeric_columns
+from tessera.operators.rowwise import row_sums
 
 #: Correlations are kept this far from one; smaller eigenvalue ratios count as singular.
 EPS, SINGULAR = 1e-12, 1e-12
@@ -128,7 +129,10 @@ class ChiSquare(Test):
 
     def statistic(self, x: int, y: int, s=()) -> tuple[float, float]:
         x, y = sorted((x, y))
-        t = self.cells.table(x, y, sorted(s))
+        return self.of_table(self.cells.table(x, y, sorted(s)))
+
+    def of_table(self, t: np.ndarray) -> tuple[float, float]:
+        """(statistic, degrees of freedom) of counts [stratum, x, y]."""
         n = t.sum(axis=(1, 2))
         e = t.sum(axis=2)[:, :, None] * t.sum(axis=1)[:, None, :] / n[:, None, None]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -147,6 +151,17 @@ class ChiSquare(Test):
     def strength(self, x, y, s=()) -> float:
         return self.statistic(x, y, s)[0]
 
+    def pvalues_given(self, target: int, candidates: list[int], s=()) -> np.ndarray:
+        """p-values of the target and each candidate given one set, whose strata are found once."""
+        key, k = self.cells.keys(sorted(s))
+        sizes, out = self.cells.sizes(), []
+        for v in candidates:
+            t = np.zeros((k, sizes[target], sizes[v]))
+            np.add.at(t, (key, self.cells.codes[:, target], self.cells.codes[:, v]), self.cells.counts)
+            stat, dof = self.of_table(t if target < v else t.transpose(0, 2, 1))
+            out.append(float(special.chi2_sf(stat, dof)) if dof > 0 else 1.0)
+        return np.array(out)
+
 
 class Mixed(Test):
     """Statistics of mixed data from joint cells; variables are the categorical columns, then the continuous ones."""
@@ -352,12 +367,100 @@ class RCoT(Rows):
             a, b = (v - z @ np.linalg.solve(c, z.T @ v / n) for v in (a, b))
         cov = (a - a.mean(axis=0)).T @ (b - b.mean(axis=0)) / n
         w = (a[:, :, None] * b[:, None, :]).reshape(n, -1)
-        eig = np.maximum(np.linalg.eigvalsh(np.cov(w, rowvar=False)), 0)
-        k1, k2, k3 = eig.sum(), 2 * (eig**2).sum(), 8 * (eig**3).sum()
-        if k2 <= 0:
-            return 1.0
-        nu = 8 * k2**3 / k3**2
-        return float(special.chi2_sf(max(0.0, (n * (cov**2).sum() - k1) / math.sqrt(k2) * math.sqrt(2 * nu) + nu), nu))
+        return three_moment_pvalue(n * float((cov**2).sum()), np.maximum(np.linalg.eigvalsh(np.cov(w, rowvar=False)), 0))
+
+
+class RCoTTable(Test):
+    """RCoT on all rows of a table: its statistics are moments of features, which two scans give a batch of queries.
+
+    The first scan has the moments of the features of x, y and S, from which their regressions follow; the second those
+    of the products of residuals. Kernel widths are medians over `width_rows` rows, as the method has it.
+    """
+
+    #: Numbers that a scan sums for a batch at most.
+    AT_ONCE = 1 << 21
+
+    def __init__(self, df: DataFrame, names, seed: int = 0, n_features: int = 5, n_features_cond: int = 100, width_rows: int = 500):
+        self.df, self.names, self.seed, self.k, self.kc = df, tuple(names), seed, n_features, n_features_cond
+        m = moments(df, list(names))
+        self.n, self.mean, self.sd = m.n, m.mean, np.sqrt(np.where(np.diag(m.cov) > 0, np.diag(m.cov), 1) * (m.n - 1) / max(m.n, 1))
+        self.some = (bounded_rows(df, list(names), width_rows, seed) - self.mean) / self.sd
+        self._width: dict = {}
+
+    def _map(self, columns: tuple, k: int):
+        """Frequencies and phases of the features of some columns."""
+        rng = np.random.default_rng([self.seed, *columns, k])
+        if columns not in self._width:
+            self._width[columns] = median_width(self.some[:, list(columns)], None)
+        return list(columns), rng.standard_normal((len(columns), k)) / self._width[columns], rng.uniform(0, 2 * math.pi, k)
+
+    def _maps(self, query) -> list:
+        x, y, s = query
+        x, y = sorted((x, y))
+        return [self._map((x,), self.k), self._map((y,), self.k), *([self._map(tuple(sorted(s)), self.kc)] if s else [])]
+
+    def pvalue(self, x, y, s=()) -> float:
+        return float(self.many([(x, y, s)])[0])
+
+    def many(self, queries) -> np.ndarray:
+        width = (2 * self.k + (self.kc if any(q[2] for q in queries) else 0)) ** 2
+        step = max(1, self.AT_ONCE // width)
+        return np.array([p for at in range(0, len(queries), step) for p in self._batch(queries[at : at + step])])
+
+    def _batch(self, queries) -> list[float]:
+        names, mean, sd, k = list(self.names), self.mean, self.sd, self.k
+        maps = [self._maps(q) for q in queries]
+
+        def features(v, parts):
+            return np.hstack([math.sqrt(2) * np.cos(v[:, c] @ w + p) for c, w, p in parts])
+
+        def first(x):
+            v, out = (x - mean) / sd, []
+            for parts in maps:
+                f = features(v, parts)
+                out += [f.sum(axis=0), (f.T @ f).ravel()]
+            return np.concatenate(out)
+
+        n, sums = row_sums(self.df, names, first)
+        fits, at = [], 0
+        for parts in maps:
+            d = sum(w.shape[1] for _, w, _ in parts)
+            mu, second = sums[at : at + d] / n, sums[at + d : at + d + d * d].reshape(d, d) / n
+            at += d + d * d
+            cov = second - np.outer(mu, mu)
+            scale = np.sqrt(np.where(np.diag(cov) > 1e-14, np.diag(cov), 1))
+            cov = cov / np.outer(scale, scale)
+            # residuals of the features of x and y: a linear map of all features
+            to = np.eye(d)[:, : 2 * k]
+            if d > 2 * k:
+                to[2 * k :] = -np.linalg.solve(cov[2 * k :, 2 * k :] + 1e-10 * np.eye(d - 2 * k), cov[2 * k :, : 2 * k])
+            fits.append((mu, to / scale[:, None], to.T @ cov @ to))
+
+        def second(x):
+            v, out = (x - mean) / sd, []
+            for parts, (mu, to, _) in zip(maps, fits, strict=True):
+                r = (features(v, parts) - mu) @ to
+                w = (r[:, :k, None] * r[:, None, k:]).reshape(len(r), -1)
+                out += [w.sum(axis=0), (w.T @ w).ravel()]
+            return np.concatenate(out)
+
+        _, sums = row_sums(self.df, names, second)
+        out, size = [], k * k
+        for j, (_, _, cov) in enumerate(fits):
+            part = sums[j * (size + size * size) : (j + 1) * (size + size * size)]
+            mu = part[:size] / n
+            spread = (part[size:].reshape(size, size) - n * np.outer(mu, mu)) / max(n - 1, 1)
+            out.append(three_moment_pvalue(n * float((cov[:k, k:] ** 2).sum()), np.maximum(np.linalg.eigvalsh(spread), 0)))
+        return out
+
+
+def three_moment_pvalue(stat: float, weights: np.ndarray) -> float:
+    """P(sum of weighted chi-squares > stat) by the chi-square of the same first three cumulants."""
+    k1, k2, k3 = weights.sum(), 2 * (weights**2).sum(), 8 * (weights**3).sum()
+    if k2 <= 0:
+        return 1.0
+    nu = 8 * k2**3 / k3**2
+    return float(special.chi2_sf(max(0.0, (stat - k1) / math.sqrt(k2) * math.sqrt(2 * nu) + nu), nu))
 
 
 class CMIknn(Rows):
@@ -532,7 +635,7 @@ for _name, _factory in {
     "cond_gauss": _mixed(CGTest),
     "degenerate_gauss": _mixed(DGTest),
     "kci": _rows(KCI),
-    "rcot": _rows(RCoT),
+    "rcot": lambda df, columns, categorical=(), seed=0, **options: RCoTTable(checked(df, columns), columns, seed or 0, **options),
     "cmiknn": _rows(CMIknn),
     "gpdc": _rows(GPDC),
 }.items():

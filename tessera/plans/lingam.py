@@ -190,6 +190,35 @@ def fast_ica(x: np.ndarray, seed: int = 0, max_iter: int = 1000) -> np.ndarray:
     return w @ white
 
 
+def fast_ica_table(df: DataFrame, columns: list[str], seed: int = 0, max_iter: int = 1000, start_rows: int = 10_000) -> np.ndarray:
+    """The unmixing matrix of all rows: the fixed-point steps are expectations over the table, one scan each.
+
+    They start from the solution of `start_rows` rows, so that a few steps reach the table's own.
+    """
+    m = moments(df, columns)
+    vals, vecs = np.linalg.eigh(m.cov * (m.n - 1) / m.n)
+    white = vecs / np.sqrt(vals) @ vecs.T
+    w = fast_ica(bounded_rows(df, columns, start_rows, seed), seed, max_iter) @ np.linalg.inv(white)
+    u, _, v = np.linalg.svd(w)
+    w, d = u @ v, len(columns)
+    for _ in range(max_iter):
+
+        def step(x, w=w):
+            z = (x - m.mean) @ white
+            g = np.tanh(z @ w.T)
+            return np.concatenate([(g.T @ z).ravel(), (1 - g**2).sum(axis=0)])
+
+        n, s = row_sums(df, columns, step)
+        new = (s[: d * d].reshape(d, d) - np.diag(s[d * d :]) @ w) / n
+        u, _, v = np.linalg.svd(new)
+        new = u @ v
+        done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < 1e-8
+        w = new
+        if done:
+            break
+    return w @ white
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Least-cost row for each column: shortest augmenting paths."""
     n = len(cost)
@@ -222,11 +251,11 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return match[1:] - 1
 
 
-def ica_lingam(df: DataFrame, *, seed=0, max_iter=1000, columns=None, most_rows: int = 50_000) -> Graph:
-    """ICA-LiNGAM on at most `most_rows` rows for the unmixing matrix; weights from all rows' moments."""
+def ica_lingam(df: DataFrame, *, seed=0, max_iter=1000, columns=None, start_rows: int = 10_000) -> Graph:
+    """ICA-LiNGAM: unmixing matrix and weights are those of all rows."""
     columns = columns or numeric_columns(df)
     data = checked(df, columns)
-    w = fast_ica(bounded_rows(data, columns, most_rows, seed or 0), seed or 0, max_iter)
+    w = fast_ica_table(data, columns, seed or 0, max_iter, start_rows)
     w = w[assignment(1 / np.maximum(np.abs(w), 1e-12))]
     w = w / np.diag(w)[:, None]
     b = np.eye(len(w)) - w
