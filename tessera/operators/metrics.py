@@ -119,3 +119,54 @@ def r2_sortability(corr: np.ndarray, adjacency: np.ndarray) -> float:
     return varsortability(1 - 1 / np.diag(np.linalg.inv(corr)), adjacency, 0.0)
 
 
+
+
+def confounder_pair_scores(estimated: Graph, true: Graph) -> dict:
+    """Pairs with an arrowhead at either end (<->)."""
+    a, b = ((g.marks == ARROW) & (g.marks.T == ARROW) & np.triu(np.ones_like(g.marks, bool), 1) for g in (estimated, true))
+    return _prf(int((a & b).sum()), int((a & ~b).sum()), int((~a & b).sum()))
+
+
+def clusters_of(graph: Graph, observed: list[str]) -> list:
+    """Each observed variable's cluster: its hidden parents by name, or itself if it has none."""
+    hidden = {graph.labels[v] for v in graph.latent}
+    return [",".join(sorted(set(graph.parents(v)) & hidden)) or f"={v}" for v in observed]
+
+
+def latent_cluster_ari(estimated: Graph, true: Graph) -> float:
+    """Agreement of the clusterings of the observed variables by their hidden parents, corrected for chance."""
+    observed = [v for k, v in enumerate(true.labels) if k not in true.latent]
+    return adjusted_rand(clusters_of(estimated, observed), clusters_of(true, observed))
+
+
+def decision_rate(decisions, weights=None) -> float:
+    """The (weighted) share of pairs that were decided: decisions are 1, -1, or 0 for none."""
+    p = np.asarray(decisions) != 0
+    w = np.ones(len(p)) if weights is None else np.asarray(weights, float)
+    return _ratio(float(w[p].sum()), float(w.sum()))
+
+
+def pairwise_accuracy(decisions, truth, weights=None) -> float:
+    """The (weighted) share of the decided pairs whose direction is right."""
+    p, t = np.asarray(decisions), np.asarray(truth)
+    w = np.ones(len(p)) if weights is None else np.asarray(weights, float)
+    return _ratio(float(w[(p != 0) & (p == t)].sum()), float(w[p != 0].sum()))
+
+
+def score(estimated, true) -> dict:
+    """All the measures that apply to two results of one kind: graphs by marks, temporal graphs by lags."""
+    if isinstance(true, Graph):
+        if set(estimated.labels) != set(true.labels) and not true.latent:
+            raise ValueError("the graphs have other variables")
+        out = {}
+        if estimated.labels == true.labels:
+            out = {"shd": shd(estimated, true), "skeleton": skeleton_scores(estimated, true), "arrowheads": arrow_scores(estimated, true), "direction_accuracy": direction_accuracy(estimated, true)}
+        if true.kind in ("mag", "pag") or estimated.kind in ("mag", "pag"):
+            out["confounders"] = confounder_pair_scores(estimated, true)
+        if true.latent:
+            out["latent_cluster_ari"] = latent_cluster_ari(estimated, true)
+        return out
+    a, b = estimated.marks, true.marks
+    k = min(len(a), len(b))
+    lagged = _prf(*(int(x.sum()) for x in ((a[1:k] != 0) & (b[1:k] != 0), (a[1:k] != 0) & (b[1:k] == 0), (a[1:k] == 0) & (b[1:k] != 0))))
+    return {"shd": temporal_shd(a[:k], b[:k]), "lagged": lagged}

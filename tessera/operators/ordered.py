@@ -185,3 +185,9 @@ def with_lags(df: DataFrame, columns: list[str], order: str, lags: int, series:
             tail = table.slice(max(0, table.num_rows - need))
 
     return rows.select(names).mapInArrow(run, out)
+
+
+def row_pattern(df: DataFrame, columns: list[str], order: str, series: str | None = None) -> DataFrame:
+    """Whether each column rises (1), falls (-1) or stays (0) from the row before; the first row of a series has none."""
+    rows = with_lags(df, columns, order, 1, series)
+    return rows.select(*([series] if series else []), order, *(F.signum(F.col(c) - F.col(f"{c}__1")).cast("int").alias(c) for c in columns))

@@ -141,13 +141,42 @@ class Corrected(Test):
         return self.test.kind(Moments(m.names[:k], m.n, m.mean[:k], cov)).pvalue(0, 1, tuple(range(2, k)))
 
 
+class Permuted(Corrected):
+    """The same correction by virtual rows: the query's variables at W values drawn from rows that have W, each with its own residual.
+
+    A bounded number of complete rows is used, as they come to one place; the test of the virtual rows is by correlations.
+    """
+
+    def __init__(self, test, causes: dict[int, list[int]], df: DataFrame, columns: list[str], *, most: int = 20_000, seed: int = 0):
+        super().__init__(test, causes)
+        self.df, self.columns, self.most, self.seed = df, columns, most, seed
+
+    def pvalue(self, x, y, s=()) -> float:
+        from tessera.operators.ci import bounded_rows
+        from tessera.operators.moments import of_matrix
+
+        v = [*sorted((x, y)), *sorted(s)]
+        w = sorted({c for u in v for c in self.causes.get(u, [])} - set(v))
+        if not w:
+            return self.test.pvalue(x, y, s)
+        rows = bounded_rows(self.df, [self.columns[u] for u in [*v, *w]], self.most, self.seed)
+        every = bounded_rows(self.df, [self.columns[u] for u in w], self.most, self.seed + 1)
+        own, on = rows[:, : len(v)], np.column_stack([np.ones(len(rows)), rows[:, len(v) :]])
+        beta = np.linalg.lstsq(on, own, rcond=None)[0]
+        rng = np.random.default_rng([self.seed, *v])
+        drawn = every[rng.integers(0, len(every), len(rows))]
+        virtual = np.column_stack([np.ones(len(rows)), drawn]) @ beta + own - on @ beta
+        return self.test.kind(of_matrix(virtual)).pvalue(0, 1, tuple(range(2, len(v))))
+
+
 def _mvpc(df, alpha, columns, collider_rule, max_depth, knowledge) -> Graph:
     """PC by test-wise deletion, whose remaining edges are tested again with corrected tests."""
     from tessera.operators.ci import FisherZ, Testwise, missing_patterns
     from tessera.operators.profile import checked
 
     data = checked(df, columns, missing=True)
-    holes = [c for c in columns if data.where(F.col(c).isNull()).limit(1).count()]
+    empty = data.agg(*(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns)).head()
+    holes = [c for c in columns if empty[c]]
     with_marks = data.select(*columns, *(F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in holes))
     every = [*columns, *(f"{c}__missing" for c in holes)]
     wide = Testwise(missing_patterns(with_marks, every), every, FisherZ)
@@ -460,6 +489,22 @@ def invariance_pvalue(groups: list, target: int, predictors: tuple[int, ...], me
     return min(1.0, out)
 
 
+def indicator_pvalue(df: DataFrame, env: str, columns: list[str], target: int, predictors: tuple[int, ...], indep_test: str = "fisherz", **options) -> float:
+    """Whether the target is independent of each environment's 0/1 indicator given the predictors, by any registered test.
+
+    Each environment meets all others; the least p-value counts times their number (once for two).
+    """
+    labels = sorted(r[0] for r in df.select(env).distinct().collect())
+    if len(labels) < 2:
+        raise DataError("at least two environments are needed")
+    chosen, out = [columns[target], *(columns[v] for v in predictors)], 1.0
+    for label in labels[: 1 if len(labels) == 2 else None]:
+        marked = df.select(*chosen, F.when(F.col(env) == F.lit(label), 1.0).otherwise(0.0).alias("__in"))
+        test = make_test(marked, indep_test, [*chosen, "__in"], [], **options)
+        out = min(out, test.pvalue(0, len(chosen), tuple(range(1, len(chosen)))) * (1 if len(labels) == 2 else len(labels)))
+    return min(1.0, out)
+
+
 def icp(df: DataFrame, env: str, *, target: str, alpha=0.05, invariance_test="approximate", max_parents=None, columns=None) -> Graph:
     """The target's parents: what all accepted predictor sets share. meta: accepted sets and p-values."""
     columns = [c for c in (columns or df.columns) if c != env]
@@ -469,7 +514,11 @@ def icp(df: DataFrame, env: str, *, target: str, alpha=0.05, invariance_test="ap
     groups, t = list(by.values()), columns.index(target)
     others = [v for v in range(len(columns)) if v != t]
     most = len(others) if max_parents is None else max_parents
-    p = {s: invariance_pvalue(groups, t, s, invariance_test) for s in chain.from_iterable(combinations(others, k) for k in range(most + 1))}
+    sets = chain.from_iterable(combinations(others, k) for k in range(most + 1))
+    if invariance_test == "indicator":
+        p = {s: indicator_pvalue(df, env, columns, t, s) for s in sets}
+    else:
+        p = {s: invariance_pvalue(groups, t, s, invariance_test) for s in sets}
     accepted = [set(s) for s, v in p.items() if v > alpha]
     parents = set.intersection(*accepted) if accepted else set()
     m = np.zeros((len(columns),) * 2, np.int8)

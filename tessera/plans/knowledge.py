@@ -94,3 +94,55 @@ def none(d: int) -> Constraints:
 
 def resolved(knowledge, labels) -> Constraints:
     return knowledge.resolve(labels) if knowledge is not None else none(len(labels))
+
+
+@dataclass(frozen=True)
+class LaggedConstraints:
+    """required[k], forbidden[k]: of the arrows from a variable k steps back to another now."""
+
+    required: np.ndarray
+    forbidden: np.ndarray
+
+    def allows(self, cause: int, effect: int, lag: int) -> bool:
+        return not self.forbidden[lag, cause, effect]
+
+    def banned(self) -> frozenset:
+        """(cause, effect, lag) of the forbidden arrows."""
+        return frozenset((int(i), int(j), int(k)) for k, i, j in zip(*np.nonzero(self.forbidden), strict=True))
+
+
+def resolve_lagged(knowledge: Knowledge | None, labels, tau_max: int, *, contemporaneous: bool = True) -> LaggedConstraints:
+    """Knowledge over series: pairs (cause, effect) hold at every lag, triples (cause, effect, lag) at one.
+
+    Tiers bind at lag 0 only, as a later tier's past may cause an earlier tier's present.
+    """
+    labels, d = list(labels), len(labels)
+    required, forbidden = np.zeros((tau_max + 1, d, d), bool), np.zeros((tau_max + 1, d, d), bool)
+    if knowledge is None:
+        return LaggedConstraints(required, forbidden)
+    every = range(0 if contemporaneous else 1, tau_max + 1)
+
+    def cells(pairs):
+        for a, b, *lag in pairs:
+            if a not in labels or b not in labels:
+                raise ValueError(f"knowledge names {a if a not in labels else b}, which isn't a variable")
+            if lag and not 0 <= lag[0] <= tau_max:
+                raise ValueError(f"lag {lag[0]} isn't one from 0 to {tau_max}")
+            for k in lag or every:
+                yield k, labels.index(a), labels.index(b)
+
+    for at in cells(knowledge.forbidden):
+        forbidden[at] = True
+    for at in cells([p for p in knowledge.required if len(p) == 3]):
+        required[at] = True
+    if knowledge.allowed is not None:
+        ok = np.zeros_like(forbidden)
+        for at in cells(knowledge.allowed):
+            ok[at] = True
+        forbidden |= ~ok
+    now = Knowledge(tiers=knowledge.tiers, required=tuple(p for p in knowledge.required if len(p) == 2)).resolve(labels)
+    forbidden[0] |= now.forbidden
+    required[0] |= now.required
+    if (required & forbidden).any():
+        raise ValueError("an arrow is required and forbidden")
+    return LaggedConstraints(required, forbidden)

@@ -158,3 +158,100 @@ def undirect_conflicts(m: np.ndarray) -> np.ndarray:
 
 
 __all__ = ["apply_knowledge", "arrow", "colliders", "cpdag_of", "dag_to_cpdag", "directed", "extension", "lines", "meek", "order_of", "orient_out_of", "undirect_conflicts"]
+
+
+def meek_in_order(m: np.ndarray, *, rule4: bool = False, ambiguous=frozenset()) -> np.ndarray:
+    """The rules one line at a time, in the order of the columns, each seeing what came before it.
+
+    Where the rules conflict, the line of the earlier columns wins; `meek` leaves such lines undecided.
+    """
+    m = m.copy()
+    while True:
+        for a, b in sorted(_implied(m, rule4, ambiguous)):
+            if lines(m)[a, b] and a not in reach([b], directed(m)):
+                arrow(m, a, b)
+                break
+        else:
+            return m
+
+
+def admits(m: np.ndarray, constraints) -> bool:
+    """Whether a DAG of the class has all required edges and none of the forbidden ones."""
+    m = m.copy()
+    for i, j in zip(*np.nonzero(constraints.required), strict=True):
+        if not m[i, j] or directed(m)[j, i]:
+            return False
+        if lines(m)[i, j]:
+            arrow(m, int(i), int(j))
+    for i, j in zip(*np.nonzero(constraints.forbidden), strict=True):
+        if directed(m)[i, j]:
+            return False
+        if lines(m)[i, j]:
+            if constraints.forbidden[j, i]:
+                return False
+            arrow(m, int(j), int(i))
+    try:
+        found = extension(meek(m, rule4=True))
+    except ValueError:
+        return False
+    return not constraints.violated_by(found)
+
+
+def critical_set(m: np.ndarray, x: int, y: int) -> set[int]:
+    """Neighbours of x on a chordless path to y that no edge points back along: x is an ancestor of y in every DAG of the
+    class if and only if these are two that aren't adjacent, or one that x points to."""
+    adj, into = m != 0, directed(m)
+    found: set[int] = set()
+    todo = [(x, int(s), int(s)) for s in np.flatnonzero(adj[x]) if not into[s, x]]
+    seen = set()
+    while todo:
+        before, now, first = todo.pop()
+        if (before, now, first) in seen:
+            continue
+        seen.add((before, now, first))
+        if now == y:
+            found.add(first)
+            continue
+        for w in np.flatnonzero(adj[now]):
+            w = int(w)
+            # chordless: the next node isn't adjacent to the one before, nor to x
+            if w not in (before, x) and not into[w, now] and not adj[before, w] and not adj[x, w]:
+                todo.append((now, w, first))
+    return found
+
+
+def surely_ancestor(m: np.ndarray, x: int, y: int) -> bool:
+    """Whether x is an ancestor of y in every DAG of the class."""
+    c = critical_set(m, x, y)
+    to, adj = directed(m), m != 0
+    return any(to[x, v] for v in c) or any(not adj[a, b] for a, b in combinations(sorted(c), 2))
+
+
+def restricted_to_ancestors(m: np.ndarray, required: list[tuple[int, int]], forbidden: list[tuple[int, int]]) -> np.ndarray:
+    """The class with what ancestors' knowledge orients: a line is directed where the other way breaks a required or
+    makes a forbidden path in every member."""
+    m = meek(m, rule4=True)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(*np.nonzero(np.triu(lines(m))), strict=True):
+            for i, j in ((int(a), int(b)), (int(b), int(a))):
+                trial = m.copy()
+                arrow(trial, i, j)
+                trial = meek(trial, rule4=True)
+                to = directed(trial)
+                bad = has_cycle(to) or any(x in reach([y], to) for x, y in required) or any(surely_ancestor(trial, x, y) for x, y in forbidden)
+                bad = bad or any(not _possible(trial, x, y) for x, y in required)
+                if bad:
+                    arrow(m, j, i)
+                    m = meek(m, rule4=True)
+                    changed = True
+                    break
+            if changed:
+                break
+    return m
+
+
+def _possible(m: np.ndarray, x: int, y: int) -> bool:
+    """Whether a path from x to y has no edge that points back."""
+    return y in reach([x], (m != 0) & ~directed(m).T)

@@ -128,3 +128,125 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(g.marks, g.kind, g.labels, frozenset(x["latent"]), x["meta"])
 
 
+def load_config(path: str) -> dict:
+    """Options from a JSON file, or from lines `key: value` of plain YAML (values as JSON or text, # for comments)."""
+    with open(path) as f:
+        text = f.read()
+    try:
+        found = json.loads(text)
+    except ValueError:
+        found = {}
+        for line in text.splitlines():
+            line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+            if not line:
+                continue
+            if line[0] in " \t-" or ":" not in line:
+                raise DataError(f"not a line `key: value`: {line}") from None
+            key, _, value = line.partition(":")
+            value = value.strip()
+            try:
+                found[key.strip()] = json.loads(value)
+            except ValueError:
+                found[key.strip()] = value.strip("'\"") or None
+    if not isinstance(found, dict):
+        raise DataError("options must be keys and values")
+    return found
+
+
+def load_dataset(spark: SparkSession, name: str, data_home: str, *, n: int = 1000, seed: int = 0) -> tuple[DataFrame, Graph | None]:
+    """A data set by name from a folder: a table (name.parquet, .csv, .tsv), or rows drawn from a network (name.bif).
+
+    With it the true graph, if there is a network or a saved graph (name.graph).
+    """
+    def exists(path):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    base = f"{data_home.rstrip('/')}/{name}"
+    truth = load_graph(spark, f"{base}.graph") if exists(f"{base}.graph") else None
+    network = read_bif(spark, f"{base}.bif") if exists(f"{base}.bif") else None
+    for end in ("parquet", "csv", "tsv"):
+        if exists(f"{base}.{end}"):
+            return read_table(spark, f"{base}.{end}"), truth or (network.graph() if network else None)
+    if network is None:
+        raise DataError(f"no {name}.parquet, .csv, .tsv or .bif in {data_home}")
+    return spark.createDataFrame(network.sample(n, seed)), network.graph()
+
+
+def from_marks(marks, *, kind: str | None = None, labels=(), allow_self_loops: bool = False) -> Graph:
+    """A graph of a matrix of marks, checked; without a kind, the narrowest that has all the marks."""
+    m = np.asarray(marks)
+    if m.ndim != 2 or m.shape[0] != m.shape[1] or not np.isin(m, (0, 1, 2, 3)).all():
+        raise ValueError("marks are a square matrix of 0, 1, 2 and 3")
+    if m.diagonal().any() and not allow_self_loops:
+        raise ValueError("a variable has an edge to itself")
+    if ((m != 0) != (m.T != 0)).any():
+        raise ValueError("an edge has a mark at one end only")
+    kinds = [kind] if kind else ["dag", "undirected", "cpdag", "mag", "pag", "digraph"]
+    for k in kinds:
+        try:
+            return Graph(m, k, labels).validate()
+        except ValueError as e:
+            reason = e
+    raise ValueError(f"no kind of graph has these marks: {reason}")
+
+
+def to_coo(graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, causes, effects) of a graph's weights, or ones for its arrows without weights: a sparse matrix's triple."""
+    w = graph.meta.get("weights")
+    a = np.asarray(w).T if w is not None else graph.directed.astype(float)
+    i, j = np.nonzero(a)
+    return a[i, j], i, j
+
+
+def to_csr(graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, columns, row starts) of the same matrix."""
+    values, i, j = to_coo(graph)
+    return values, j, np.searchsorted(i, np.arange(graph.d + 1))
+
+
+def from_networkx(g, *, kind: str | None = None) -> Graph:
+    """A graph of any object with `nodes`, `edges` and `is_directed()`; marks may be edge attributes mark_u and mark_v."""
+    labels = [str(v) for v in g.nodes]
+    at = {v: k for k, v in enumerate(g.nodes)}
+    m = np.zeros((len(labels),) * 2, np.int8)
+    for u, v, *rest in g.edges(data=True):
+        data = rest[-1] if rest else {}
+        i, j = at[u], at[v]
+        a, b = data.get("mark_u", 1), data.get("mark_v", 2 if g.is_directed() else 1)
+        m[i, j], m[j, i] = (1, 1) if m[i, j] == 2 and "mark_u" not in data else (a, b)  # arrows both ways are a line
+    return from_marks(m, kind=kind, labels=labels)
+
+
+def to_networkx(graph: Graph):
+    """The graph as a NetworkX DiGraph with the marks as edge attributes; that library must be installed."""
+    import networkx
+
+    g = networkx.DiGraph()
+    g.add_nodes_from(graph.labels)
+    for i, j, a, b in graph.edges():
+        if (a, b) == (2, 1):
+            i, j, a, b = j, i, b, a
+        g.add_edge(graph.labels[i], graph.labels[j], mark_u=a, mark_v=b)
+    return g
+
+
+def save_npz(graph: Graph, path: str) -> None:
+    """Marks, kind, labels and weights in one compressed file."""
+    w = graph.meta.get("weights")
+    np.savez_compressed(path, marks=graph.marks, kind=graph.kind, labels=np.array(graph.labels), latent=np.array(sorted(graph.latent), int), weights=np.asarray(w if w is not None else []))
+
+
+def load_npz(path: str) -> Graph:
+    with np.load(path) as x:
+        meta = {"weights": x["weights"]} if x["weights"].size else {}
+        return Graph(x["marks"], str(x["kind"]), [str(v) for v in x["labels"]], frozenset(int(v) for v in x["latent"]), meta)
+
+
+def truncated(result: dict, limit: int = 1000) -> tuple[dict, bool]:
+    """A result's JSON with at most `limit` edges or links inline, and whether some were left out (their number is told)."""
+    out, cut = dict(result), False
+    for key in ("edges", "links"):
+        if len(out.get(key, ())) > limit:
+            out[f"n_{key}"], out[key], cut = len(out[key]), out[key][:limit], True
+    return out, cut
