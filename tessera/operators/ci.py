@@ -151,8 +151,15 @@ class ChiSquare(Test):
     def strength(self, x, y, s=()) -> float:
         return self.statistic(x, y, s)[0]
 
+    def many(self, queries) -> np.ndarray:
+        if isinstance(self.cells, cell_tables.TableCells):
+            self.cells.prefetch([[x, y, *s] for x, y, s in queries])
+        return super().many(queries)
+
     def pvalues_given(self, target: int, candidates: list[int], s=()) -> np.ndarray:
         """p-values of the target and each candidate given one set, whose strata are found once."""
+        if isinstance(self.cells, cell_tables.TableCells):
+            return self.many([(target, v, tuple(s)) for v in candidates])
         key, k = self.cells.keys(sorted(s))
         sizes, out = self.cells.sizes(), []
         for v in candidates:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 FAN_IN = 64
 
@@ -48,3 +50,41 @@ def row_sums(df: DataFrame, columns: list[str], f: Callable[[np.ndarray], np.nda
     for r in parts.collect():
         n, v = n + r["n"], v + np.frombuffer(r["v"])
     return n, np.asarray(v)
+
+
+def row_sums_by(df: DataFrame, columns: list[str], group: str, f: Callable[[object, np.ndarray], np.ndarray]) -> dict:
+    """{group: (n, sum over its rows of f(group, rows))}, all groups in one scan: tasks sum per group, then groups add up."""
+    data = [F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(columns)]
+    rows = df.select(F.col(group).alias("__g"), *data).dropna()
+    kind = rows.schema["__g"].dataType
+    schema = T.StructType([T.StructField("g", kind), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType())])
+
+    def emitted(found):
+        keys = list(found)
+        return pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(kind)), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1].tobytes() for k in keys], pa.binary())], names=["g", "n", "v"])
+
+    def partial(batches):
+        found: dict = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            at, labels = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            for k, label in enumerate(labels):
+                own = x[at == k]
+                v = np.asarray(f(label, own), float).ravel()
+                n, s = found.get(label, (0, 0.0))
+                found[label] = n + len(own), s + v
+        if found:
+            yield emitted(found)
+
+    def add(batches):
+        found: dict = {}
+        for batch in batches:
+            for g, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, s = found.get(g, (0, 0.0))
+                found[g] = n + k, s + np.frombuffer(v)
+        if found:
+            yield emitted(found)
+
+    parts = rows.mapInArrow(partial, schema).repartition("g").mapInArrow(add, schema)
+    return {r["g"]: (r["n"], np.frombuffer(r["v"])) for r in parts.collect()}

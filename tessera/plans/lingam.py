@@ -15,7 +15,7 @@ from tessera.functions import special
 from tessera.operators.ci import bounded_rows, hsic
 from tessera.operators.moments import Moments, moments
 from tessera.operators.profile import checked, numeric_columns
-from tessera.operators.rowwise import row_sums
+from tessera.operators.rowwise import row_sums, row_sums_by
 from tessera.plans.graph import CIRCLE, Graph, has_cycle
 from tessera.plans.knowledge import Constraints, resolved
 
@@ -42,42 +42,76 @@ def _pair_weights(cov: np.ndarray, w: np.ndarray, left: list[int]) -> tuple[list
     return pairs, np.array(rows)
 
 
-def _moments_of(df, columns, mean, weights) -> np.ndarray:
-    def f(x):
-        u = (x - mean) @ weights.T
-        a = np.abs(u)
-        return np.concatenate([(a + np.log1p(np.exp(-2 * a)) - math.log(2)).sum(axis=0), (u * np.exp(-(u**2) / 2)).sum(axis=0)])
+def score_plan(m: Moments, w: np.ndarray, left: list[int], measure: str) -> tuple:
+    """(f, finish): what a scan sums over the rows of the variables, and the exogeneity of each remaining one from that."""
+    if measure == "pwling":
+        pairs, weights = _pair_weights(m.cov, w, left)
 
-    n, s = row_sums(df, columns, f)
-    return entropy_of(*np.split(s / n, 2))
+        def f(x):
+            u = (x - m.mean) @ weights.T
+            a = np.abs(u)
+            return np.concatenate([(a + np.log1p(np.exp(-2 * a)) - math.log(2)).sum(axis=0), (u * np.exp(-(u**2) / 2)).sum(axis=0)])
 
+        def finish(n, s):
+            h = dict(zip(pairs, entropy_of(*np.split(s / n, 2)), strict=True))
+            diff = {(i, j): (h[j, None] + h[i, j]) - (h[i, None] + h[j, i]) for i in left for j in left if i != j}
+            return {i: -sum(min(0.0, diff[i, j]) ** 2 for j in left if j != i) for i in left}
 
-def scores(df: DataFrame, columns: list[str], m: Moments, w: np.ndarray, left: list[int], measure: str) -> dict[int, float]:
-    """Exogeneity of each remaining variable; higher is more exogenous."""
-    if measure == "pwling":
-        pairs, weights = _pair_weights(m.cov, w, left)
-        h = dict(zip(pairs, _moments_of(df, columns, m.mean, weights), strict=True))
-        diff = {(i, j): (h[j, None] + h[i, j]) - (h[i, None] + h[j, i]) for i in left for j in left if i != j}
-        return {i: -sum(min(0.0, diff[i, j]) ** 2 for j in left if j != i) for i in left}
+        return f, finish
     c = w @ m.cov @ w.T
     u = np.array([w[i] / math.sqrt(c[i, i]) for i in left])
-    rho = u @ m.cov @ u.T
+    rho, k = u @ m.cov @ u.T, len(left)
 
     def f(x):
         v = (x - m.mean) @ u.T
         g = np.tanh(v) if measure == "tanh" else v**2
-        extra = (v**3).sum(axis=0) if measure == "skew" else np.zeros(len(left))
+        extra = (v**3).sum(axis=0) if measure == "skew" else np.zeros(k)
         return np.concatenate([(v.T @ g).ravel(), extra])
 
-    n, s = row_sums(df, columns, f)
-    k = len(left)
-    e, third = s[: k * k].reshape(k, k) / n, s[k * k :] / n
-    if measure == "skew":
-        sign = np.sign(third)
-        r = rho * (e.T * sign[:, None] - e * sign[None, :])  # rho * (E x_i^2 x_j - E x_i x_j^2), signed
-    else:
-        r = rho * (e - e.T)
-    return {v: -float((np.minimum(0.0, r[a]) ** 2).sum()) for a, v in enumerate(left)}
+    def finish(n, s):
+        e, third = s[: k * k].reshape(k, k) / n, s[k * k :] / n
+        if measure == "skew":
+            sign = np.sign(third)
+            r = rho * (e.T * sign[:, None] - e * sign[None, :])  # rho * (E x_i^2 x_j - E x_i x_j^2), signed
+        else:
+            r = rho * (e - e.T)
+        return {v: -float((np.minimum(0.0, r[a]) ** 2).sum()) for a, v in enumerate(left)}
+
+    return f, finish
+
+
+def scores(df: DataFrame, columns: list[str], m: Moments, w: np.ndarray, left: list[int], measure: str) -> dict[int, float]:
+    """Exogeneity of each remaining variable; higher is more exogenous."""
+    f, finish = score_plan(m, w, left, measure)
+    return finish(*row_sums(df, columns, f))
+
+
+def _peel(w: np.ndarray, cov: np.ndarray, left: list[int], v: int) -> None:
+    """Take a variable's part out of the others: w holds each as a combination of the columns."""
+    c = w @ cov @ w.T
+    for i in left:
+        if i != v:
+            w[i] = w[i] - c[i, v] / c[v, v] * w[v]
+    left.remove(v)
+
+
+def causal_orders(df: DataFrame, columns: list[str], group: str, maps: dict, ms: dict, measure: str = "pwling") -> dict:
+    """A causal order for each group of rows, all in step: one scan for each variable, whatever the number of groups.
+
+    maps[g]: the group's variables as combinations (columns x variables) of the table's; ms[g]: their moments.
+    """
+    d = next(iter(maps.values())).shape[1] if maps else 0
+    state = {g: (np.eye(d), list(range(d)), []) for g in maps}
+    for _ in range(d - 1):
+        plans = {g: score_plan(ms[g], w, left, measure) for g, (w, left, _) in state.items()}
+        fs = {g: f for g, (f, _) in plans.items()}
+        found = row_sums_by(df, columns, group, lambda g, x, fs=fs: fs[g](x @ maps[g]))
+        for g, (w, left, order) in state.items():
+            s = plans[g][1](*found[g])
+            v = max(left, key=lambda i, s=s: (round(s[i], 9), -i))
+            _peel(w, ms[g].cov, left, v)
+            order.append(v)
+    return {g: order + left for g, (_, left, order) in state.items()}
 
 
 def causal_order(df: DataFrame, columns: list[str], measure: str = "pwling", c: Constraints | None = None) -> list[int]:
@@ -91,12 +125,8 @@ def causal_order(df: DataFrame, columns: list[str], measure: str = "pwling", c:
         free = [v for v in left if not any(before[u, v] for u in left)] or left
         s = scores(df, columns, m, w, left, measure) if len(left) > 1 else {left[0]: 0.0}
         v = max(free, key=lambda i: (round(s[i], 9), -i))
-        cov = w @ m.cov @ w.T
-        for i in left:
-            if i != v:
-                w[i] = w[i] - cov[i, v] / cov[v, v] * w[v]
+        _peel(w, m.cov, left, v)
         order.append(v)
-        left.remove(v)
     return order
 
 

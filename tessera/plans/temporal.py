@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import special
 from tessera.operators.ci import FisherZ, StudentT, Test
-from tessera.operators.moments import Moments, lagged, moments
+from tessera.operators.moments import Moments, lagged, moments, moments_by
 from tessera.operators.profile import numeric_columns
 from tessera.plans import orient
 from tessera.plans.continuous import acyclic_fit
 from tessera.plans.graph import ARROW, CIRCLE, TAIL, TemporalGraph
-from tessera.plans.lingam import causal_order, weights_for
+from tessera.plans.lingam import causal_order, causal_orders, weights_for
 
 Link = tuple[int, int]  # (variable, lag)
 
@@ -339,22 +339,26 @@ def varma_lingam(df: DataFrame, order: str, *, ar=1, ma=1, measure="pwling", col
 
 
 def longitudinal_lingam(df: DataFrame, unit: str, occasion: str, *, tau_max=1, measure="pwling", columns=None) -> dict:
-    """At each occasion: regression on the occasions before, then DirectLiNGAM of the residuals. Keyed by occasion."""
+    """At each occasion: regression on the occasions before, then DirectLiNGAM of the residuals. Keyed by occasion.
+
+    All occasions share their scans: one for the moments, then one for each variable.
+    """
     columns = columns or [c for c in numeric_columns(df) if c not in (unit, occasion)]
     table, names = design(df, columns, occasion, tau_max, unit)
-    d, out = len(columns), {}
-    for t in sorted(r[0] for r in table.select(occasion).distinct().collect()):
-        now = table.where(F.col(occasion) == t)
-        m = moments(now, names)
-        lag = list(range(d, len(names)))
-        b = np.linalg.solve(m.cov[np.ix_(lag, lag)], m.cov[np.ix_(lag, list(range(d)))])
-        residuals = now.select(*((F.col(c) - reduce(lambda x, y: x + y, (F.col(names[k]) * float(b[i, j]) for i, k in enumerate(lag)))).alias(c) for j, c in enumerate(columns)))
-        o = causal_order(residuals, columns, measure)
-        b0 = weights_for(moments(residuals, columns), o)
+    d, out, maps, ms, lagged_weights = len(columns), {}, {}, {}, {}
+    lag = list(range(d, len(names)))
+    by = {t: m for t, m in moments_by(table, names, occasion).items() if m.n > len(names)}
+    for t, m in by.items():
+        b = np.linalg.lstsq(m.cov[np.ix_(lag, lag)], m.cov[np.ix_(lag, list(range(d)))], rcond=None)[0]
+        maps[t], lagged_weights[t] = np.vstack([np.eye(d), -b]), b
+        ms[t] = Moments(tuple(columns), m.n, m.mean @ maps[t], maps[t].T @ m.cov @ maps[t])
+    known = table.where(F.col(occasion).isin(list(by))) if by else table
+    for t, o in causal_orders(known, names, occasion, maps, ms, measure).items():
+        b, b0 = lagged_weights[t], weights_for(ms[t], o)
         weights = np.stack([b0.T, *(((np.eye(d) - b0) @ b[k * d : (k + 1) * d].T).T for k in range(tau_max))])
         marks = np.zeros_like(weights, dtype=np.int8)
         marks[1:][weights[1:] != 0] = TAIL
         for i, j in zip(*np.nonzero(weights[0]), strict=True):
             orient.arrow(marks[0], i, j)
         out[t] = TemporalGraph(marks, tuple(columns), weights)
-    return out
+    return dict(sorted(out.items()))

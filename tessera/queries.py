@@ -551,7 +551,7 @@ def _register_searches() -> None:
         "pc_student_t": lambda df: constraint.pc(df, columns=PLANTED, indep_test="student_t"),
         "pc_normal_scores": lambda df: constraint.pc(df, columns=PLANTED, indep_test="normal_scores"),
         "pc_rcot": lambda df: constraint.pc(df, columns=["quantity", "cost", "tax"], indep_test="rcot"),
-        "pc_kci": lambda df: constraint.pc(df, columns=["quantity", "cost", "tax"], indep_test="kci", most=150),
+        "pc_kci": lambda df: constraint.pc(df, columns=["quantity", "cost", "tax"], indep_test="kci"),
         "pc_missing": lambda df: constraint.pc(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), columns=PLANTED, missing="mvpc"),
         "ages": lambda df: score_search.ages(df, columns=PLANTED),
         "gnies": lambda df: score_search.gnies(df, "l_returnflag", columns=PLANTED),
@@ -562,17 +562,17 @@ def _register_searches() -> None:
         "rsmax2": lambda df: score_search.rsmax2(df, restrict="iamb", maximize="tabu", columns=PLANTED).to_cpdag(),
         "structural_em": lambda df: score_search.structural_em(df.withColumn("tax", F.when(F.col("quantity") < 3, F.col("tax"))), score_search.ges, PLANTED, rounds=3),
         "ica_lingam": lambda df: lingam.ica_lingam(df, columns=PLANTED),
-        "rcd": lambda df: lingam.rcd(df, columns=PLANTED[:3], most_rows=300),
-        "bottom_up_parce_lingam": lambda df: lingam.bottom_up_parce_lingam(df, columns=PLANTED, most_rows=400),
-        "gin": lambda df: lingam.gin(df, columns=PLANTED, most_rows=200),
+        "rcd": lambda df: lingam.rcd(df, columns=PLANTED[:3]),
+        "bottom_up_parce_lingam": lambda df: lingam.bottom_up_parce_lingam(df, columns=PLANTED),
+        "gin": lambda df: lingam.gin(df, columns=PLANTED),
         "cam": lambda df: functional.cam(df, columns=PLANTED),
-        "resit": lambda df: functional.resit(df, columns=PLANTED[:3], most_rows=200),
-        "score_matching": lambda df: functional.by_score(df, columns=PLANTED, most_rows=200),
-        "nogam": lambda df: functional.by_score(df, "nogam", columns=PLANTED[:3], most_rows=150),
-        "camuv": lambda df: functional.camuv(df, columns=PLANTED[:3], most_rows=150),
-        "anm": lambda df: functional.pair_direction(df, "anm", columns=["quantity", "cost"], most_rows=200),
-        "pnl": lambda df: functional.pair_direction(df, "pnl", columns=["quantity", "cost"], most_rows=150),
-        "loci": lambda df: functional.pair_direction(df, "loci", columns=["quantity", "cost"], most_rows=300),
+        "resit": lambda df: functional.resit(df, columns=PLANTED[:3]),
+        "score_matching": lambda df: functional.by_score(df, columns=PLANTED),
+        "nogam": lambda df: functional.by_score(df, "nogam", columns=PLANTED[:3]),
+        "camuv": lambda df: functional.camuv(df, columns=PLANTED[:3]),
+        "anm": lambda df: functional.pair_direction(df, "anm", columns=["quantity", "cost"]),
+        "pnl": lambda df: functional.pair_direction(df, "pnl", columns=["quantity", "cost"]),
+        "loci": lambda df: functional.pair_direction(df, "loci", columns=["quantity", "cost"]),
     }.items():
         search(name, fit, OTHER_PLANTS.get(name))
 

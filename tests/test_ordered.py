@@ -137,3 +137,25 @@ def test_ancestors_of_a_long_chain(spark):
     assert ancestors(chain).count() == 5050
     ring = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)], "a long, b long")
     assert ancestors(ring).count() == 25 and ancestors(chain.where("a < 0")).count() == 0
+
+
+def test_cells_by_query_equal_joint_ones(spark, monkeypatch):
+    from tessera.operators import cells as module
+    from tessera.operators.ci import ChiSquare
+    from tessera.operators.scores import BDeu
+    from tessera.sources import generate
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, k, 800) for k in (2, 3, 2, 3, 2)])
+    df = generate.frame(spark, x).select(*(F.col(f"X{j}").cast("string").alias(f"X{j}") for j in range(5)))
+    whole = module.cells(df, df.columns)
+    monkeypatch.setattr(module, "MOST", 20)
+    part = module.cells(df, df.columns)
+    assert isinstance(part, module.TableCells) and part.n == whole.n == 800
+    queries = [(0, 1, ()), (1, 3, (0,)), (2, 4, (0,)), (3, 4, ())]
+    for g in (False, True):
+        assert np.allclose(ChiSquare(part, g).many(queries), ChiSquare(whole, g).many(queries))
+    assert np.allclose(ChiSquare(part).pvalues_given(0, [2, 4], (1,)), ChiSquare(whole).pvalues_given(0, [2, 4], (1,)))
+    assert np.isclose(BDeu(part).local(1, [0, 2]), BDeu(whole).local(1, [0, 2]))
+    with pytest.raises(profile.DataError, match="X0, X1, X2, X3"):
+        part.table(1, 3, [0, 2])
