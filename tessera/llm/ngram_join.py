@@ -42,6 +42,8 @@ from tessera.llm.shingles import Shingler, bitmap, folded, set_id, width_of
 PARTS = 64
 #: A shingle that occurs so often may have a group too large for one task; at most what a task counts exactly.
 BIG = 1 << 12
+#: Where in a shingle's hash its salt goes.
+SALT = 40
 #: A group of at least this part of all rows is salted in joins.
 LARGE = 1_000
 #: The bitmap of wanted ids has so many bits for each.
@@ -109,13 +111,17 @@ def _order(described: DataFrame, slots: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[int, int], big: int) -> DataFrame:
-    """(h, s, n, big): the prefix of each set, once for each task that has it; big: the shingle may occur `big` times."""
+    """(g, s, n): the prefix of each set, once for each task that has it; g: the shingle.
+
+    Where the shingle may occur `big` times, n is negative and g has a salt, which follows from s, in its upper bits.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
     order = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         shingler, seen, table = Shingler(k), set(), order.value
         for _, batch in texts(batches):
-            h, s, n, often = [], [], [], []
+            h, s, n = [], [], []
             for text in batch:
                 x = shingler(text)
                 if not len(x) or (one := set_id(x)) in seen:
@@ -124,16 +130,16 @@ def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[
                 p = len(x) - -(-(t[0] * len(x)) // t[1]) + 1
                 rank = table[(x & np.uint64(slots - 1)).astype(np.int64)]
                 first = np.lexsort((x, rank))[:p]
-                h.append(x[first])
-                often.append(rank[first] >= big)
+                often = rank[first] >= big
+                h.append(np.where(often, x[first] ^ np.uint64(one % parts << SALT), x[first]))
                 s.append(np.full(p, one, np.int64))
-                n.append(np.full(p, len(x), np.int32))
+                n.append(np.where(often, -len(x), len(x)).astype(np.int32))
             if len(seen) > 200_000:
                 seen.clear()
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n)), pa.array(np.concatenate(often))], names=["h", "s", "n", "big"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n))], names=["g", "s", "n"])
 
-    return rows.mapInArrow(run, "h long, s long, n int, big boolean")
+    return rows.mapInArrow(run, "g long, s long, n int")
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, size: str, key: str = "h", spread: str = "s") -> DataFrame:
@@ -348,12 +354,11 @@ def _grouped(rows: DataFrame, k: int, slots: int, t: tuple[int, int], big: int =
     sets = stage(documents.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("rep"), F.first("bm").alias("bm")), "distinct")
 
     # groups of sets that share a prefix shingle: whole in one partition, but for those that may be big
-    prefixes = _prefixes(rows, k, slots, _order(described, slots), t, big)
-    salt = F.when(F.col("big"), F.pmod(F.xxhash64("s"), F.lit(shuffle_partitions(rows.sparkSession)))).otherwise(0)
-    prefixes = prefixes.withColumn("salt", salt.cast("int")).repartition("h", "salt").groupBy("h", "salt", "s", "n", "big").agg(F.lit(1).alias("one"))
+    prefixes = _prefixes(rows, k, slots, _order(described, slots), t, big).repartition("g").groupBy("g", "s", "n").agg(F.lit(1).alias("one"))
     about = {"m": F.count("*"), "x": F.bit_xor("s"), "y": F.bit_xor(F.xxhash64("s"))}
-    whole = Window.partitionBy("h", "salt")
-    shared = stage(prefixes.withColumns({c: f.over(whole) for c, f in about.items()}).where("m > 1 or big").drop("salt", "one"), "shared")
+    whole, salt = Window.partitionBy("g"), F.shiftleft(F.pmod("s", F.lit(shuffle_partitions(rows.sparkSession))), SALT)
+    shared = prefixes.withColumns({c: f.over(whole) for c, f in about.items()}).where("m > 1 or n < 0")
+    shared = stage(shared.select(F.when(F.col("n") < 0, F.col("g").bitwiseXOR(salt)).otherwise(F.col("g")).alias("h"), "s", F.abs("n").alias("n"), (F.col("n") < 0).alias("big"), *about), "shared")
     large = shared.where("big").groupBy("h").agg(*(f.alias(c) for c, f in about.items())).where("m > 1")
 
     # of groups with the same members, the one of the least shingle
