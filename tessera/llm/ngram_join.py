@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, id_and_text, shuffle_partitions, sliced, stage, texts, unstage
+from tessera.llm.common import checkpoint, id_and_text, released, shuffle_partitions, sliced, stage, texts, unstage
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler, bitmap, folded, set_id, width_of
 
@@ -86,7 +86,7 @@ def _described(rows: DataFrame, k: int, slots: int):
             counts = np.minimum(table, (1 << 16) - 1).astype("<u2").reshape(PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array([-1] * PARTS, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id", "s", "n", "bm"])
 
-    return stage(rows.mapInArrow(run, "id long, s long, n int, bm binary"), "sets")
+    return stage(rows.mapInArrow(released(run), "id long, s long, n int, bm binary"), "sets")
 
 
 def _order(described: DataFrame, slots: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def _order(described: DataFrame, slots: int) -> np.ndarray:
         return "<u2" if len(image) == 2 * slots // PARTS else "<u8"
 
     kept = described.where("n = -1").select(F.col("s").alias("part"), F.col("bm").alias("counts"))
-    summed = kept.mapInArrow(add, "part long, counts binary").repartition(PARTS, "part").mapInArrow(add, "part long, counts binary")
+    summed = kept.mapInArrow(released(add), "part long, counts binary").repartition(PARTS, "part").mapInArrow(released(add), "part long, counts binary")
     out = np.zeros((PARTS, slots // PARTS), np.uint64)
     for part, counts in summed.collect():
         out[part] = np.frombuffer(counts, "<u8")
@@ -139,7 +139,7 @@ def _prefixes(rows: DataFrame, k: int, slots: int, counts: np.ndarray, t: tuple[
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(s)), pa.array(np.concatenate(n))], names=["g", "s", "n"])
 
-    return rows.mapInArrow(run, "g long, s long, n int")
+    return rows.mapInArrow(released(run), "g long, s long, n int")
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, size: str, key: str = "h", spread: str = "s") -> DataFrame:
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], at_
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = firsts.unionByName(seconds).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(released(run), "a long, b long")
 
 
 def _tiles(members: DataFrame, t: tuple[int, int], block: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _compared(tiles: DataFrame, t: tuple[int, int], nearest: bool) -> DataFrame:
 
     key = ["h", "ka", "kb", "ca", "cb"]
     tiles = tiles.select(*key, "k", "c", "s", "n", "component", "bm")
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -274,7 +274,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, most_bits: int) -> DataFrame:
@@ -325,8 +325,8 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, most_b
                 seen.clear()
             yield batch.take(pa.array(keep, pa.int64()))
 
-    some = rows.mapInArrow(sieve, "key long, known boolean, text string")
-    return stage(some.join(wanted, ["key", "known"]).select("s", "text").mapInArrow(matching, "s long, text string"), "texts")
+    some = rows.mapInArrow(released(sieve), "key long, known boolean, text string")
+    return stage(some.join(wanted, ["key", "known"]).select("s", "text").mapInArrow(released(matching), "s long, text string"), "texts")
 
 
 def _decided(pairs: DataFrame, rows: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], bits: int) -> DataFrame:

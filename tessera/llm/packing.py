@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Encoder
-from tessera.llm.common import id_and_text, stage, texts
+from tessera.llm.common import id_and_text, released, stage, texts
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
 ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("open", pa.bool_()), ("ids", pa.binary())])
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
         yield from _run(Packer(window, open_windows, min_cut, part << TASK), pieces(), False)
 
-    packed = stage(id_and_text(docs, id_col, text_col).mapInArrow(leaf, SCHEMA), "packed")
+    packed = stage(id_and_text(docs, id_col, text_col).mapInArrow(released(leaf), SCHEMA), "packed")
     done, level, behind = [packed.where(~F.col("open"))], 1, packed
     task = F.shiftrightunsigned("sequence_id", TASK).bitwiseAND(F.lit((1 << LEVEL - TASK) - 1))
     tasks = (behind.where("open").agg(F.max(task)).head()[0] or 0) + 1
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                 yield from _run(packer, iter(()), last)
 
         left = behind.where("open").withColumn("grp", F.floor(task / fan_in)).repartition(groups, "grp").sortWithinPartitions("grp", "sequence_id", "offset")
-        behind = stage(left.mapInArrow(merge, SCHEMA), f"packed{level}")
+        behind = stage(left.mapInArrow(released(merge), SCHEMA), f"packed{level}")
         done.append(behind.where(~F.col("open")))
         if last:
             break

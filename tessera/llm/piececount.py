@@ -17,7 +17,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import id_and_text, texts
+from tessera.llm.common import id_and_text, released, texts
 
 
 class Automaton:
@@ -113,4 +113,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 n_unknown.append(missing)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n_words, n_tokens, n_unknown)], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
 from itertools import chain
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import release, released
 from tessera.llm.toxicity import Machine, _sigmoid, fit, labelled_sample
 
 #: Upper bounds of the classes of a share: fixed values.
@@ -63,7 +64,7 @@ class _Words(dict):
     """A word's slot, and above it which of the shapes the word has, as bits."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         has = w.isupper() and len(w) > 1
         if not w.isalpha():  # letters alone are none of the other shapes
@@ -72,7 +73,6 @@ class _Words(dict):
         return found
 
 
-WORDS = _Words()
 #: Rows of slots: all slots, row after row, each row's ascending; and each row's number of them.
 Rows = tuple[np.ndarray, np.ndarray]
 VIEWS = T.StructType([T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("text", "meta")])
@@ -84,12 +84,13 @@ def _rows(slots: np.ndarray, row: np.ndarray, n: int, bits: int) -> Rows:
     return both & (1 << bits) - 1, np.bincount(both >> bits, minlength=n)
 
 
-def text_views(texts: list[str]) -> Rows:
-    """Slots of the content: distinct words, and the shares of words by shape."""
+def text_views(texts: list[str], known: _Words | None = None) -> Rows:
+    """Slots of the content: distinct words, and the shares of words by shape. known: what a task knows of words."""
+    known = _Words() if known is None else known
     found, counts, sizes, extra, of = [], [], [], [], []
     for text in texts:
         distinct = Counter(text.split())
-        found += map(WORDS.__getitem__, distinct)
+        found += map(known.__getitem__, distinct)
         counts += distinct.values()
         sizes.append(len(distinct))
     found, counts, sizes = np.array(found, np.int64), np.array(counts, np.int64), np.array(sizes, np.int64)
@@ -237,12 +238,16 @@ def _unpacked(lists: pa.Array) -> Rows:
 
 
 @F.arrow_udf(VIEWS)
-def _views(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
-    parts = []
-    for at in range(0, len(text), 256):
-        some = [c.slice(at, 256).to_pylist() for c in (text, lang, source)]
-        parts.append(pa.StructArray.from_arrays([_packed(text_views(some[0])), _packed(meta_views(*some))], names=["text", "meta"]))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))]))
+def _views(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    known = _Words()
+    for text, lang, source in batches:
+        parts = []
+        for at in range(0, len(text), 256):
+            some = [c.slice(at, 256).to_pylist() for c in (text, lang, source)]
+            parts.append(pa.StructArray.from_arrays([_packed(text_views(some[0], known)), _packed(meta_views(*some))], names=["text", "meta"]))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))]))
+    del known
+    release()
 
 
 def described(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -292,7 +297,7 @@ def _sure(pages: DataFrame, views: tuple[View, View], known: np.ndarray, sure: f
             n = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys)], names=["view", "y", "key"])
 
-    found = pages.select("key", "views.text", "views.meta").mapInArrow(run, "view int, y int, key long").distinct()
+    found = pages.select("key", "views.text", "views.meta").mapInArrow(released(run), "view int, y int, key long").distinct()
     place = F.row_number().over(Window.partitionBy("view", "y", F.pmod("key", F.lit(16))).orderBy("key"))
     found = found.withColumn("r", place).where(F.col("r") <= F.when(F.col("y") == 1, most[1]).otherwise(most[0])).drop("r")
     by: dict = {}

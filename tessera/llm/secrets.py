@@ -17,16 +17,16 @@ empty table; other columns are ignored (`redacted` keeps them).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, texts
+from tessera.llm.common import id_and_text, release, released, texts
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
             found = [[{"kind": KINDS[k], "start": a, "end": b, "value": v} for a, k, b, v in spans(t, rate)] for t in batch]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kinds)], names=["doc_id", "spans"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), f"doc_id long, spans {SPANS}")
 
 
 def joined(found) -> F.Column:
@@ -189,8 +189,11 @@ def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[REDACTED]
                 at = end
         return "".join(out) + text[at:]
 
-    @F.pandas_udf(T.StringType())
-    def masked(column: pd.Series) -> pd.Series:
-        return column.map(mask)
+    @F.arrow_udf(T.StringType())
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [pa.array([mask(t) for t in column.slice(at, 256).to_pylist()], pa.string()) for at in range(0, len(column), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        release()
 
     return docs.withColumn(text_col, masked(F.col(text_col)))

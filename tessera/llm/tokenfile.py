@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Encoder
-from tessera.llm.common import id_and_text, shared_dir, shuffle_partitions, texts
+from tessera.llm.common import id_and_text, released, shared_dir, shuffle_partitions, texts
 
 MAGIC = b"TSEF0002"
 HEAD = struct.Struct("<8sQQQqQI")  # magic, documents, ids, null document ids, least document id, bytes of the ids, bytes per id
@@ -179,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id",
 
     rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
-    rows.select("id", "text").mapInArrow(shards, TABLE).write.option("compression", "none").parquet(path)
+    rows.select("id", "text").mapInArrow(released(shards), TABLE).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +208,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         begin = end
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return placed.select(F.col("base") + F.col("before"), "image").mapInArrow(documents, "doc_id long, start long, ids binary")
+    return placed.select(F.col("base") + F.col("before"), "image").mapInArrow(released(documents), "doc_id long, start long, ids binary")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> list[str]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, sliced, texts
+from tessera.llm.common import id_and_text, released, sliced, texts
 
 TERM = re.compile(r"\w+")
 STEMS = 4, 5, 6, 7
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
             yield pa.RecordBatch.from_arrays([ids, y, pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "slots"])
 
     sample = labelled_sample(docs.select(F.col(id_col), F.col(text_col)), labels, label, rows, id_col)
-    table = sample.select(F.col(id_col).cast("long").alias("id"), "y", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, y int, slots array<int>").toArrow()
+    table = sample.select(F.col(id_col).cast("long").alias("id"), "y", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(released(run), "id long, y int, slots array<int>").toArrow()
     order = np.argsort(table["id"].to_numpy(), kind="stable")[: 2 * rows]
     y = table["y"].to_numpy()[order]
     lists = table["slots"].combine_chunks()
@@ -183,4 +183,4 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
                 out.append(m.logit(np.fromiter(sorted(at), np.int64, len(at))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_sigmoid(np.array(out)))], names=["doc_id", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, score double")

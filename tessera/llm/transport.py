@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, stage, texts
+from tessera.llm.common import id_and_text, released, stage, texts
 
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID = 188, 0x47, 0, 0x1000, 0x0100
 #: Private data stream; ticks of a unit at 25 units a second on the 90 kHz clock; bytes of a unit; tag of the length descriptor.
@@ -165,7 +165,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 media.append(encode(data + bytes(-len(data) % 64 or 64 * (not data)), len(data)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, media binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, media binary")
 
 
 def load(stored: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def load(stored: DataFrame) -> DataFrame:
                 columns += [pa.array([x[n] for x in found], pa.int64()) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "media", "n_bytes", "payload", "units", *names])
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary, n_bytes long, payload binary, units array<struct<ticks:long,position:long,random_access:boolean>>, packets long, sync_errors long, continuity_errors long, table_errors long")
+    return stored.select("doc_id", "media").mapInArrow(released(run), "doc_id long, media binary, n_bytes long, payload binary, units array<struct<ticks:long,position:long,random_access:boolean>>, packets long, sync_errors long, continuity_errors long, table_errors long")
 
 
 def features() -> F.Column:
