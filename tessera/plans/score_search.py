@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tessera.operators.ci import make_test
 from tessera.operators.moments import moments, moments_by, pooled
 from tessera.operators.profile import checked, numeric_columns
-from tessera.operators.scores import BIC, InterventionalBIC, Score, make_score
+from tessera.operators.scores import BIC, InterventionalBIC, Score, add_deltas, make_score, remove_deltas
 from tessera.plans import orient
 from tessera.plans.constraint import after_score, parents_children
 from tessera.plans.graph import Graph, has_cycle, order_of
@@ -38,6 +38,7 @@ class Equivalence:
     def __init__(self, score: Score, constraints: Constraints | None = None, max_parents=None, complete=None):
         self.score, self.c, self.most = score, constraints or none(score.d), max_parents
         self.complete = complete or orient.cpdag_of
+        self._known: dict = {}
 
     def _clique(self, adj, nodes) -> bool:
         return all(adj[a, b] for a, b in combinations(nodes, 2))
@@ -56,24 +57,42 @@ class Equivalence:
                     todo.append(w)
         return True
 
+    def _added(self, y: int, base: tuple) -> np.ndarray:
+        """Changes of y's score by each further parent, kept by base."""
+        if (y, base) not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[y, base] = add_deltas(self.score, y, base)
+        return self._known[y, base]
+
     def inserts(self, m):
+        """Insertions that lower the score and join cliques; `valid` tells whether no semi-directed path forbids one."""
         adj, to, line, d = m != 0, orient.directed(m), orient.lines(m), len(m)
         for y in range(d):
             pa = np.flatnonzero(to[:, y]).tolist()
+            near = np.flatnonzero(line[y]).tolist()
             for x in range(d):
                 if x == y or adj[x, y] or self.c.forbidden[x, y]:
                     continue
-                na = [v for v in np.flatnonzero(line[y]).tolist() if adj[v, x]]
-                t0 = [v for v in np.flatnonzero(line[y]).tolist() if not adj[v, x]]
+                na = [v for v in near if adj[v, x]]
+                t0 = [v for v in near if not adj[v, x]]
                 for t in subsets(t0):
                     s = [*na, *t]
-                    if not self._clique(adj, s):
+                    if len(s) > 1 and not self._clique(adj, s):
                         continue
-                    base = sorted({*s, *pa})
+                    base = tuple(sorted({*s, *pa}))
                     if self.most is not None and len(base) + 1 > self.most:
                         continue
-                    if self._blocked(m, y, x, set(s)):
-                        yield key(self.score.local(y, [*base, x]) - self.score.local(y, base), self.score.n, x, y, t), ("insert", x, y, t)
+                    change = self._added(y, base)[x]
+                    if change < 0:
+                        yield key(float(change), self.score.n, x, y, t), ("insert", x, y, t)
+
+    def valid(self, m, move) -> bool:
+        what, x, y, t = move
+        if what != "insert":
+            return True
+        near = {v for v in np.flatnonzero(orient.lines(m)[y]).tolist() if m[v, x]}
+        return self._blocked(m, y, x, near | set(t))
 
     def deletes(self, m):
         adj, to, line, d = m != 0, orient.directed(m), orient.lines(m), len(m)
@@ -126,6 +145,8 @@ class Equivalence:
             for k, move in sorted(moves(m), key=lambda z: z[0]):
                 if k[0] * self.score.n >= -IMPROVE:
                     return m
+                if not self.valid(m, move):
+                    continue
                 try:
                     m = self.applied(m, move)
                     break
@@ -176,8 +197,8 @@ def xges(df: DataFrame, *, score: Score | None = None, columns=None, categorical
         while m.tobytes() not in seen:
             seen.add(m.tobytes())
             for kind in (e.deletes, e.turns, e.inserts):
-                best = min(kind(m), key=lambda z: z[0], default=None)
-                if best and best[0][0] * score.n < -IMPROVE:
+                best = min((z for z in kind(m) if z[0][0] * score.n < -IMPROVE and e.valid(m, z[1])), key=lambda z: z[0], default=None)
+                if best:
                     try:
                         m = e.applied(m, best[1])
                     except ValueError:
@@ -326,19 +347,81 @@ def _applied(a, move):
     return b
 
 
+class DagMoves:
+    """All additions, removals and reversals of a DAG's arrows as matrices of score changes.
+
+    A move changes one node's parents (a reversal two), so only their columns are computed again, each from one base.
+    """
+
+    KINDS = ("add", "remove", "reverse")
+
+    def __init__(self, score: Score, c: Constraints, max_parents=None):
+        self.score, self.c, self.most = score, c, max_parents
+        self.known: dict = {}
+
+    def column(self, v: int, parents: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if (v, parents) not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[v, parents] = add_deltas(self.score, v, parents), remove_deltas(self.score, v, parents)
+        return self.known[v, parents]
+
+    def deltas(self, a: np.ndarray) -> np.ndarray:
+        """[kind, u, v]: change of the score by each move that knowledge and the bound allow; inf for others."""
+        d = len(a)
+        parents = [tuple(np.flatnonzero(a[:, v]).tolist()) for v in range(d)]
+        columns = [self.column(v, parents[v]) for v in range(d)]
+        add = np.nan_to_num(np.stack([x[0] for x in columns], axis=1), nan=np.inf, posinf=np.inf)
+        drop = np.nan_to_num(np.stack([x[1] for x in columns], axis=1), nan=np.inf, posinf=np.inf)
+        full = np.array([self.most is not None and len(p) >= self.most for p in parents])
+        room = ~self.c.forbidden & ~full[None, :]
+        out = np.full((3, d, d), np.inf)
+        free = ~a & ~a.T & room
+        out[0][free] = add[free]
+        gone = a & ~self.c.required
+        out[1][gone] = drop[gone]
+        turn = gone & room.T
+        out[2][turn] = (drop + add.T)[turn]
+        for u, v in zip(*np.nonzero(turn), strict=True):
+            if set(parents[v]) - {int(u)} == set(parents[u]):
+                out[2, u, v] = 0.0  # a covered edge: both graphs are equivalent
+        return out
+
+    def ranked(self, a: np.ndarray):
+        """(rounded change, kind, u, v), best first, ties by u, v and kind; only moves that keep the graph acyclic."""
+        out = np.round(self.deltas(a) / self.score.n, 9)
+        kind, u, v = np.nonzero(np.isfinite(out))
+        value = out[kind, u, v]
+        below = descendants_of(a)
+        for k in np.lexsort((kind, v, u, value)):
+            i, j, what = int(u[k]), int(v[k]), self.KINDS[kind[k]]
+            if what == "add" and below[j] >> i & 1:
+                continue
+            if what == "reverse" and any(below[w] >> j & 1 for w in np.flatnonzero(a[i]).tolist() if w != j):
+                continue
+            yield float(value[k]), (what, i, j)
+
+
+def descendants_of(a: np.ndarray) -> list[int]:
+    """Of each node of a DAG, what its arrows reach, itself included, as bits."""
+    out = [0] * len(a)
+    for v in reversed(order_of(a)):
+        bits = 1 << v
+        for w in np.flatnonzero(a[v]).tolist():
+            bits |= out[w]
+        out[v] = bits
+    return out
+
+
 def climb_dag(score: Score, c: Constraints | None = None, start=None, max_parents=None, max_iter=None) -> np.ndarray:
     c = c or none(score.d)
     a = c.required.copy() if start is None else start
+    moves = DagMoves(score, c, max_parents)
     for _ in range(max_iter or 10**6):
-        for k, move in sorted(_changes(a, score, c, max_parents), key=lambda z: z[0]):
-            if k[0] * score.n >= -IMPROVE:
-                return a
-            b = _applied(a, move)
-            if not has_cycle(b):
-                a = b
-                break
-        else:
+        best = next(moves.ranked(a), None)
+        if best is None or best[0] * score.n >= -IMPROVE:
             return a
+        a = _applied(a, best[1])
     return a
 
 
@@ -365,10 +448,11 @@ def tabu(df: DataFrame, *, score=None, score_func=None, columns=None, categorica
     c = candidates or resolved(knowledge, score.names)
     a = c.required.copy()
     best, value, worse, last = a, score.total(a), 0, [a.tobytes()]
+    moves = DagMoves(score, c, max_parents)
     while worse < (max_tabu or tabu_length):
-        for _, move in sorted(_changes(a, score, c, max_parents), key=lambda z: z[0]):
+        for _, move in moves.ranked(a):
             b = _applied(a, move)
-            if not has_cycle(b) and b.tobytes() not in last:
+            if b.tobytes() not in last:
                 break
         else:
             break
