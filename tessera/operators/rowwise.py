@@ -14,8 +14,31 @@ from pyspark.sql.pandas.types import to_arrow_type
 FAN_IN = 64
 
 
-def row_sums(df: DataFrame, columns: list[str], f: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
+#: Numbers of a table that are fetched once where a search would scan it again and again.
+FETCH = 5_000_000
+
+
+class Fetched:
+    """The complete rows of a small table, in this process; `row_sums` takes it in a table's place."""
+
+    def __init__(self, x: np.ndarray, columns: list[str]):
+        self.x, self.columns = x, list(columns)
+
+
+def fetched(df: DataFrame, columns: list[str], n: int) -> DataFrame | Fetched:
+    """The table, or its rows where n rows of the columns are at most FETCH numbers."""
+    if isinstance(df, Fetched) or n * len(columns) > FETCH:
+        return df
+    table = df.select([F.col(c).cast("double") for c in columns]).dropna().toArrow()
+    return Fetched(np.stack([table[k].to_numpy() for k in range(len(columns))], axis=1), columns)
+
+
+def row_sums(df: DataFrame | Fetched, columns: list[str], f: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
     """(n, sum over rows of f): f maps a batch (n, d) to a vector of sums, of the same length for every batch."""
+    if isinstance(df, Fetched):
+        x = df.x if df.columns == list(columns) else df.x[:, [df.columns.index(c) for c in columns]]
+        parts = [np.asarray(f(x[at : at + 10_000]), float).ravel() for at in range(0, len(x), 10_000)]
+        return len(x), np.sum(parts, axis=0) if parts else np.asarray(0.0)
     schema = "n long, v binary"
     out_schema = pa.schema([("n", pa.int64()), ("v", pa.binary())])
 

@@ -15,7 +15,7 @@ from tessera.functions import special
 from tessera.operators.ci import bounded_rows, hsic
 from tessera.operators.moments import Moments, moments
 from tessera.operators.profile import checked, numeric_columns
-from tessera.operators.rowwise import row_sums, row_sums_by
+from tessera.operators.rowwise import Fetched, fetched, row_sums, row_sums_by
 from tessera.plans.graph import CIRCLE, Graph, has_cycle
 from tessera.plans.knowledge import Constraints, resolved
 
@@ -114,8 +114,10 @@ def causal_orders(df: DataFrame, columns: list[str], group: str, maps: dict, ms:
     return {g: order + left for g, (_, left, order) in state.items()}
 
 
-def causal_order(df: DataFrame, columns: list[str], measure: str = "pwling", c: Constraints | None = None) -> list[int]:
-    m, d = moments(df, columns), len(columns)
+def causal_order(df: DataFrame, columns: list[str], measure: str = "pwling", c: Constraints | None = None, m: Moments | None = None) -> list[int]:
+    """Most exogenous first. Each step reads the rows once; a small table is fetched before the first."""
+    m, d = m or moments(df, columns), len(columns)
+    df = fetched(df, columns, m.n)
     w, left, order = np.eye(d), list(range(d)), []
     before = c.required.copy() if c is not None else np.zeros((d, d), bool)
     if c is not None:
@@ -130,30 +132,60 @@ def causal_order(df: DataFrame, columns: list[str], measure: str = "pwling", c:
     return order
 
 
+def lasso_path(g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Coefficients at the knots of the lasso's path, from none to least squares: least angle steps from products alone."""
+    d = len(b)
+    beta, active, path = np.zeros(d), [], [np.zeros(d)]
+    for _ in range(8 * d):
+        c = b - g @ beta
+        top = float(np.abs(c).max(initial=0.0))
+        if top <= 1e-12 * max(1.0, float(np.abs(b).max(initial=0.0))):
+            break
+        if not active:
+            active = [int(np.argmax(np.abs(c)))]
+        s = np.sign(c[active])
+        try:
+            w = np.linalg.solve(g[np.ix_(active, active)], s)
+        except np.linalg.LinAlgError:
+            break
+        rate = g[:, active] @ w
+        step, event = top, None  # to where all correlations vanish
+        for j in range(d):
+            if j not in active:
+                for x, y in ((top - c[j], 1 - rate[j]), (top + c[j], 1 + rate[j])):
+                    if y > 1e-14 and 1e-14 < x / y < step:
+                        step, event = float(x / y), ("in", j)
+        for k, j in enumerate(active):
+            if w[k] * beta[j] < 0 and 1e-14 < -beta[j] / w[k] < step:
+                step, event = float(-beta[j] / w[k]), ("out", j)
+        beta = beta.copy()
+        beta[active] += step * w
+        if event is None:
+            path.append(beta)
+            break
+        if event[0] == "in":
+            active.append(event[1])
+        else:
+            beta[event[1]] = 0.0
+            active.remove(event[1])
+        path.append(beta)
+    return path
+
+
 def adaptive_lasso(m: Moments, predictors: list[int], target: int) -> np.ndarray:
-    """OLS weights, then a lasso on columns scaled by them, the penalty chosen by BIC; from the Gram matrix alone."""
+    """OLS weights, then the lasso's path on columns scaled by them, its knot chosen by BIC; from the Gram matrix alone."""
     p = list(predictors)
     if not p:
         return np.zeros(0)
     g, b = m.cov[np.ix_(p, p)], m.cov[p, target]
     w = np.abs(np.linalg.solve(g, b))
     g, b, yy = g * np.outer(w, w), b * w, m.cov[target, target]
-    best, beta = None, np.zeros(len(p))
-    top = np.abs(b).max()
-    for lam in [*(top * np.geomspace(1, 1e-4, 60)), 0.0]:
-        for _ in range(500):
-            old = beta.copy()
-            for k in range(len(p)):
-                r = b[k] - g[k] @ beta + g[k, k] * beta[k]
-                beta[k] = np.sign(r) * max(abs(r) - lam, 0) / max(g[k, k], 1e-300)
-            if np.abs(beta - old).max() < 1e-10:
-                break
-        on = np.flatnonzero(beta)
+
+    def bic(beta):
         rss = max(yy - 2 * beta @ b + beta @ g @ beta, 1e-300)
-        bic = m.n * math.log(rss) + len(on) * math.log(m.n)
-        if best is None or bic < best[0]:
-            best = bic, beta.copy()
-    return best[1] * w
+        return m.n * math.log(rss) + np.count_nonzero(beta) * math.log(m.n)
+
+    return min(lasso_path(g, b), key=bic) * w
 
 
 def weights_for(m: Moments, order: list[int], c: Constraints | None = None) -> np.ndarray:
@@ -172,8 +204,9 @@ def _graph(b: np.ndarray, names, order, **meta) -> Graph:
 def direct_lingam(df: DataFrame, *, measure: str = "pwling", columns=None, knowledge=None) -> Graph:
     columns = columns or numeric_columns(df)
     data, c = checked(df, columns), resolved(knowledge, columns)
-    order = causal_order(data, columns, measure, c)
-    return _graph(weights_for(moments(data, columns), order, c), columns, order)
+    m = moments(data, columns)
+    order = causal_order(data, columns, measure, c, m)
+    return _graph(weights_for(m, order, c), columns, order)
 
 
 def multi_group_direct_lingam(frames: list[DataFrame], *, measure: str = "pwling", columns=None) -> list[Graph]:
@@ -226,9 +259,11 @@ def fast_ica_table(df: DataFrame, columns: list[str], seed: int = 0, max_iter: i
     They start from the solution of `start_rows` rows, so that a few steps reach the table's own.
     """
     m = moments(df, columns)
+    df = fetched(df, columns, m.n)
     vals, vecs = np.linalg.eigh(m.cov * (m.n - 1) / m.n)
     white = vecs / np.sqrt(vals) @ vecs.T
-    w = fast_ica(bounded_rows(df, columns, start_rows, seed), seed, max_iter) @ np.linalg.inv(white)
+    some = df.x[:start_rows] if isinstance(df, Fetched) else bounded_rows(df, columns, start_rows, seed)
+    w = fast_ica(some, seed, max_iter) @ np.linalg.inv(white)
     u, _, v = np.linalg.svd(w)
     w, d = u @ v, len(columns)
     for _ in range(max_iter):

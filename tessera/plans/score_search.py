@@ -503,25 +503,38 @@ class Orders:
     """The best parents of each variable among its predecessors, by growing and shrinking, cached."""
 
     def __init__(self, score: Score, c: Constraints | None = None, max_parents=None):
-        self.score, self.c, self.most, self.cache = score, c or none(score.d), max_parents, {}
+        self.score, self.c, self.most, self.cache, self.known = score, c or none(score.d), max_parents, {}, {}
+
+    def _deltas(self, v: int, own: tuple, grow: bool) -> np.ndarray:
+        if (v, own, grow) not in self.known:
+            self.known[v, own, grow] = (add_deltas if grow else remove_deltas)(self.score, v, own)
+        return self.known[v, own, grow]
 
     def parents(self, v: int, before: frozenset) -> tuple[float, frozenset]:
         if (v, before) not in self.cache:
             own = set(np.flatnonzero(self.c.required[:, v]).tolist()) & before
             value = self.score.local(v, own)
-            while self.most is None or len(own) < self.most:
-                top = min(((self.score.local(v, own | {u}), u) for u in sorted(before - own) if not self.c.forbidden[u, v]), default=None)
-                if top is None or top[0] >= value - IMPROVE:
-                    break
-                value, own = top[0], own | {top[1]}
-            while own:
-                top = min(((self.score.local(v, own - {u}), u) for u in sorted(own) if not self.c.required[u, v]), default=None)
-                if top is None or top[0] >= value - IMPROVE:
-                    break
-                value, own = top[0], own - {top[1]}
+            for grow in (True, False):
+                while own if not grow else self.most is None or len(own) < self.most:
+                    free = [u for u in sorted(before - own) if not self.c.forbidden[u, v]] if grow else [u for u in sorted(own) if not self.c.required[u, v]]
+                    if not free:
+                        break
+                    change = self._deltas(v, tuple(sorted(own)), grow)[free]
+                    k = int(np.argmin(change))
+                    if not change[k] < -IMPROVE:
+                        break
+                    value, own = value + float(change[k]), own ^ {free[k]}
             self.cache[v, before] = value, frozenset(own)
         return self.cache[v, before]
 
+    def places(self, rest: list[int], v: int) -> np.ndarray:
+        """The total of each order that has v at place k of the rest: what comes before v keeps its parents."""
+        d = len(rest)
+        without = [self.parents(u, frozenset(rest[:i]))[0] for i, u in enumerate(rest)]
+        behind = [self.parents(u, frozenset(rest[:i]) | {v})[0] for i, u in enumerate(rest)]
+        own = [self.parents(v, frozenset(rest[:k]))[0] for k in range(d + 1)]
+        return np.concatenate([[0], np.cumsum(without)]) + own + np.concatenate([np.cumsum(behind[::-1])[::-1], [0]])
+
     def total(self, order) -> float:
         return sum(self.parents(v, frozenset(order[:k]))[0] for k, v in enumerate(order))
 
@@ -551,9 +564,10 @@ def best_orders(score: Score, c: Constraints, n_starts: int, seed, max_parents=N
             changed = False
             for v in range(score.d):
                 rest = [u for u in order if u != v]
-                top = min(((round(o.total(t := [*rest[:k], v, *rest[k:]]) / score.n, 9), k, t) for k in range(score.d) if _legal([*rest[:k], v, *rest[k:]], c)), default=None)
-                if top and o.total(top[2]) < value - IMPROVE:
-                    order, value, changed = top[2], o.total(top[2]), True
+                totals = o.places(rest, v)
+                top = min(((round(float(totals[k]) / score.n, 9), k) for k in range(score.d) if _legal([*rest[:k], v, *rest[k:]], c)), default=None)
+                if top and totals[top[1]] < value - IMPROVE:
+                    order, value, changed = [*rest[: top[1]], v, *rest[top[1] :]], float(totals[top[1]]), True
         m = Equivalence(score, c, max_parents).climb(orient.dag_to_cpdag(o.dag(order)), Equivalence(score, c, max_parents).deletes)
         total = objective(score, m)
         if out is None or total < out[0] - IMPROVE:
