@@ -1,28 +1 @@
 """Tessera: causal structure learning and graph analytics on Spark DataFrames."""
-
-import contextlib
-import ctypes
-import os
-import sys
-
-
-def _one_thread() -> None:
-    """Linear algebra on one thread: Spark's tasks are the parallel part, and on busy cores its threads wait for one another.
-
-    The environment counts before NumPy is loaded; afterwards the loaded library is told, where it can be found.
-    """
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
-    if "numpy" not in sys.modules or not os.path.exists("/proc/self/maps"):
-        return
-    with open("/proc/self/maps") as f:
-        paths = {line.split()[-1] for line in f if "openblas" in line}
-    for path in paths:
-        with contextlib.suppress(OSError):
-            lib = ctypes.CDLL(path)
-            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-                if hasattr(lib, name):
-                    getattr(lib, name)(1)
-
-
-_one_thread()

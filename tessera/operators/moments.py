@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.blas import one_thread
 from tessera.operators.ordered import with_lags
 
 WIDE = 40
@@ -86,7 +87,8 @@ def moments(df: DataFrame, columns: list[str]) -> Moments:
         n, s, p = 0, np.zeros(d), np.zeros((d, d))
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - shift
-            n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
+            with one_thread():
+                n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary())], names=["n", "s", "p"])
 
     def add(key, batches):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.functions.blas import one_thread
+
 FAN_IN = 64
 
 
@@ -37,7 +39,8 @@ def row_sums(df: DataFrame | Fetched, columns: list[str], f: Callable[[np.ndarra
     """(n, sum over rows of f): f maps a batch (n, d) to a vector of sums, of the same length for every batch."""
     if isinstance(df, Fetched):
         x = df.x if df.columns == list(columns) else df.x[:, [df.columns.index(c) for c in columns]]
-        parts = [np.asarray(f(x[at : at + 10_000]), float).ravel() for at in range(0, len(x), 10_000)]
+        with one_thread():
+            parts = [np.asarray(f(x[at : at + 10_000]), float).ravel() for at in range(0, len(x), 10_000)]
         return len(x), np.sum(parts, axis=0) if parts else np.asarray(0.0)
     schema = "n long, v binary"
     out_schema = pa.schema([("n", pa.int64()), ("v", pa.binary())])
@@ -50,7 +53,8 @@ def row_sums(df: DataFrame | Fetched, columns: list[str], f: Callable[[np.ndarra
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-                s = np.asarray(f(x), float).ravel()
+                with one_thread():
+                    s = np.asarray(f(x), float).ravel()
                 n, v = n + len(x), s if v is None else v + s
         if v is not None:
             yield one(n, v)
@@ -94,7 +98,8 @@ def row_sums_by(df: DataFrame, columns: list[str], group: str, f: Callable[[obje
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
             for k, label in enumerate(labels):
                 own = x[at == k]
-                v = np.asarray(f(label, own), float).ravel()
+                with one_thread():
+                    v = np.asarray(f(label, own), float).ravel()
                 n, s = found.get(label, (0, 0.0))
                 found[label] = n + len(own), s + v
         if found:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as fx
+from tessera.functions.blas import one_thread
 from tessera.operators import cells as cell_tables
 from tessera.operators import graphs
 from tessera.operators import moments as mm
@@ -500,7 +501,8 @@ PLANT_CURVED = {"quantity": "l_quantity / 15", "cost": "2 * sin(l_quantity / 8)
 
 def search(name: str, fit, columns=None):
     def run(spark, sf_dir):
-        return graph_frame(spark, fit(_planted(spark, sf_dir, columns)))
+        with one_thread():  # a search's matrices are small
+            return graph_frame(spark, fit(_planted(spark, sf_dir, columns)))
 
     run.__name__, run.__doc__ = name, f"{name} over the planted table."
     QUERIES[name] = run

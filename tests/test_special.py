@@ -34,3 +34,21 @@ def test_f_of_one_numerator_degree_is_a_squared_t():
 def test_matrix_exponential():
     a = np.array([[0.0, 1.0], [-1.0, 0.0]])
     assert np.allclose(special.expm(math.pi / 2 * a), [[0, 1], [-1, 0]], atol=1e-12)
+
+
+def test_threads_of_linear_algebra_come_back():
+    from tessera.functions import blas
+
+    before = [get() for get, _ in blas._libraries()]
+    with blas.one_thread():
+        assert all(get() == 1 for get, _ in blas._libraries())
+    assert [get() for get, _ in blas._libraries()] == before
+
+
+def test_weighted_chi_squares_by_draws():
+    rng = np.random.default_rng(0)
+    for w in ([1.0], [2.0, 1.0], [3.0, 1.0, 0.5], [5, 4, 3, 2, 1, 0.5]):
+        z = (rng.standard_normal((200_000, len(w))) ** 2) @ np.array(w)
+        for q in (0.5, 0.9, 0.99):
+            assert abs(special.weighted_chi2_sf(np.quantile(z, q), w) - (1 - q)) < 4 * np.sqrt(q * (1 - q) / 200_000)
+    assert special.weighted_chi2_sf(-1, [1, 2]) == 1.0 and special.weighted_chi2_sf(1, []) == 0.0
