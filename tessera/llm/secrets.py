@@ -10,7 +10,7 @@ to the last that isn't a plain word) and through wrapped lines. It is measured i
 long string's letters compress by their frequencies alone; with one piece of at least `rate` bytes a character all of
 it is reported as kind `novel`, but for the parts that base spans have.
 
-Edge cases: null and empty texts have no spans; repeated rows are scanned each for itself; an empty table gives an
+Edge cases: a very long text is scanned whole, by one task; null and empty texts have no spans; repeated rows are scanned each for itself; an empty table gives an
 empty table; other columns are ignored (`redacted` keeps them).
 """
 

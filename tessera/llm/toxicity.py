@@ -8,8 +8,9 @@ gather no noise.
 
 Edge cases: null and empty texts have no terms and get the bias's score; unlabelled rows are scored like others;
 repeated labels of an id count once, as toxic if any is; without labels of both classes every score is the share of
-toxic labels (0 without any); an empty table gives an empty table; other columns are ignored. Only the text is an
-input of a score.
+toxic labels (0 without any); a very long text is one set of terms, which its task holds; equal texts have equal
+scores, so there are no ties to break; an empty table gives an empty table; other columns are ignored. Only the text is
+an input of a score.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, released, sliced, texts
+from tessera.llm.common import id_and_text, released, sliced, stage, texts
 
 TERM = re.compile(r"\w+")
 STEMS = 4, 5, 6, 7
+#: A slot is active from so many rows, and standard errors between its share of a class and the whole's.
+LEAST, Z = 5, 3.0
 
 
 def slots_of(word: str, slots: int) -> tuple[int, ...]:
@@ -68,7 +71,7 @@ def informative(rows: list[np.ndarray], y: np.ndarray, slots: int, least: int, z
     return np.flatnonzero((n >= least) & (np.abs(ones - n * p) > z * np.sqrt(np.maximum(n, 1) * p * (1 - p))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, slots: int, *, rank: int = 8, epochs: int = 20, linear_epochs: int = 10, drop: float = 0.7, rate: float = 0.1, decay: float = 1e-5, least: int = 5, z: float = 3.0, seed: int = 5, batch: int = 64) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, slots: int, *, rank: int = 8, epochs: int = 20, linear_epochs: int = 10, drop: float = 0.7, rate: float = 0.1, decay: float = 1e-5, least: int = LEAST, z: float = Z, seed: int = 5, batch: int = 64) -> Machine:
     """A machine for rows of distinct slots and their classes.
 
     The first `linear_epochs` fit the weights alone and drop each term with the odds `drop`, so that a term that
@@ -141,7 +144,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, slots: int = 1 << 18, **options) -> Machine:
-    """A machine from at most about `rows` labelled rows; their slots (no texts) come to the driver."""
+    """A machine from at most about `rows` labelled rows.
+
+    Their slots are counted by class where they are; only those that tell the classes apart (no texts) come to the driver.
+    """
 
     def run(batches):
         for batch in sliced(batches):
@@ -150,10 +156,30 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
             yield pa.RecordBatch.from_arrays([ids, y, pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "slots"])
 
     sample = labelled_sample(docs.select(F.col(id_col), F.col(text_col)), labels, label, rows, id_col)
-    table = sample.select(F.col(id_col).cast("long").alias("id"), "y", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(released(run), "id long, y int, slots array<int>").toArrow()
-    order = np.argsort(table["id"].to_numpy(), kind="stable")[: 2 * rows]
+    sample = sample.select(F.col(id_col).cast("long").alias("id"), "y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table = stage(sample.mapInArrow(released(run), "id long, y int, slots array<int>"), "terms")
+    n, p = table.agg(F.count("*"), F.avg("y")).head()
+    p = p or 0.0
+    counts = table.select("y", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+    apart = F.abs(F.col("ones") - F.col("n") * p) > options.get("z", Z) * F.sqrt(F.greatest(F.col("n"), F.lit(1)) * p * (1 - p))
+    telling = counts.where((F.col("n") >= options.get("least", LEAST)) & apart).select("slot").toArrow()["slot"].to_numpy() if n and 0 < p < 1 else np.zeros(0, np.int32)
+    known = np.zeros(slots, bool)
+    known[telling] = True
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def tell(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            keep = shared.value[flat]
+            total = np.concatenate([[0], np.cumsum(keep)])
+            mine = pa.ListArray.from_arrays(pa.array(total[ends] - total[ends[0]], pa.int32()), pa.array(flat[ends[0] : ends[-1]][keep[ends[0] : ends[-1]]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), mine], names=["id", "y", "slots"])
+
+    table = table.mapInArrow(released(tell), "id long, y int, slots array<int>").toArrow().combine_chunks()
+    order = np.argsort(table["id"].to_numpy(), kind="stable")
     y = table["y"].to_numpy()[order]
-    lists = table["slots"].combine_chunks()
+    lists = pa.concat_arrays(table["slots"].chunks) if len(order) else pa.array([], pa.list_(pa.int32()))
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     return fit([flat[ends[i] : ends[i + 1]] for i in order], y, slots, **options)
 

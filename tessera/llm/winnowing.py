@@ -6,7 +6,7 @@ equals what rolling gives. Of each window of w k-grams the least hash is chosen,
 number that holds the hash above the negated position. A run of k + w - 1 equal words in two texts so always gives
 a common fingerprint, and its position is kept.
 
-Edge cases: null text is empty and has no fingerprints; with fewer than k words, one hash of all; with fewer than w
+Edge cases: a very long text is one row of arrays, which its task holds; null text is empty and has no fingerprints; with fewer than k words, one hash of all; with fewer than w
 k-grams, their least; two empty fingerprints are alike (1.0), an empty and another aren't (0.0); equal texts have
 equal fingerprints; other columns are ignored.
 """

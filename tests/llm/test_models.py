@@ -134,6 +134,16 @@ def test_character_classes_are_those_of_the_patterns():
         assert quality.counted(text) == (sum(map(str.isupper, text)), len(re.findall(r"[^\w\s.,]", text)), len(re.findall(r"\d", text)))
 
 
+def test_a_machine_is_fitted_on_all_telling_slots(spark, corpus):
+    """What is fitted from slots counted in Spark is what all slots of the sample give."""
+    labels = spark.createDataFrame([(i, 0, int("token" in (t or "").split() or i % 3 == 0)) for i, t in ((r["doc_id"], r["text"]) for r in corpus.collect())], LABELS)
+    got = toxicity.train(corpus, labels, epochs=3, z=1.0)
+    sample = sorted(toxicity.labelled_sample(corpus.select("doc_id", "text"), labels, "toxic", 20_000).collect(), key=lambda r: r["doc_id"])
+    rows = [np.array(sorted({s for w in toxicity.words_of(r["text"] or "") for s in toxicity.slots_of(w, 1 << 18)}), int) for r in sample]
+    want = toxicity.fit(rows, np.array([r["y"] for r in sample]), 1 << 18, epochs=3, z=1.0)
+    assert len(want.slots) > 3 and got.slots.tolist() == want.slots.tolist() and np.allclose(got.weights, want.weights)
+
+
 def test_repeated_rows_of_a_labelled_id_count_once(spark):
     rows = [(3, "same text", "en", "a")] * 50 + [(3, "another text", "en", "a"), (4, "b", "en", "a")]
     labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (None, 1, 1)], LABELS)
