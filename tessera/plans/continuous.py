@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -44,9 +46,11 @@ def _proximal(w, smooth, lam, ok, steps, tol=1e-6):
     return w
 
 
-def acyclic_fit(cov: np.ndarray, d: int, lam: float, *, h_tol=1e-8, rho_max=1e16, max_iter=100, inner=400, allowed=None, penalty=None) -> np.ndarray:
+def acyclic_fit(cov: np.ndarray, d: int, lam: float, *, h_tol=1e-8, rho_max=1e16, max_iter=100, inner=400, allowed=None, penalty=None, loss: Callable | None = None) -> np.ndarray:
     """Weights [cause, effect] of the first d columns on all columns, with lasso and acyclicity of the first d rows.
 
+    loss: (value, gradient) of the weights instead of half the mean squared residuals, which follow from cov.
+
     Augmented Lagrangian on tr(exp(W * W)) - d.
     """
     k = len(cov)
@@ -59,9 +63,14 @@ def acyclic_fit(cov: np.ndarray, d: int, lam: float, *, h_tol=1e-8, rho_max=1e16
     def smooth(x):
         e = expm(np.minimum(x[:d] ** 2, 50))
         c = np.trace(e) - d
-        r = cov @ x
-        g = r - cov[:, :d]
-        f = 0.5 * (x * r).sum() - (x * cov[:, :d]).sum() + rho / 2 * c * c + a * c
+        if loss is None:
+            r = cov @ x
+            g = r - cov[:, :d]
+            f = 0.5 * (x * r).sum() - (x * cov[:, :d]).sum()
+        else:
+            f, g = loss(x)
+            g = np.array(g, float)
+        f += rho / 2 * c * c + a * c
         g[:d] += (rho * c + a) * e.T * 2 * x[:d]
         return f, g
 
@@ -97,15 +106,24 @@ def _graph(w, columns) -> Graph:
     return Graph(Graph.of_dag(w != 0).marks, "dag", columns, meta={"weights": w.T})
 
 
-def notears(df: DataFrame, *, lambda1=0.1, w_threshold=0.3, max_iter=100, h_tol=1e-8, rho_max=1e16, robust=False, mcp_lambda=0.4, standardize=False, columns=None, knowledge=None) -> Graph:
+def notears(df: DataFrame, *, lambda1=0.1, w_threshold=0.3, max_iter=100, h_tol=1e-8, rho_max=1e16, robust=False, mcp_lambda=0.4, standardize=False, columns=None, knowledge=None, loss: Callable | None = None, penalty: Callable | None = None) -> Graph:
+    """Least squares with a lasso under acyclicity.
+
+    loss(cov, w): another (value, gradient). penalty(w): factors of the lasso for a second fit, from the first's weights;
+    with `robust`, those of a concave penalty.
+    """
     columns = columns or numeric_columns(df)
     from tessera.plans.knowledge import resolved
 
     c = resolved(knowledge, columns)
     cov = _covariance(df, columns, standardize)
-    w = acyclic_fit(cov, len(columns), lambda1, h_tol=h_tol, rho_max=rho_max, max_iter=max_iter, allowed=~c.forbidden)
-    if robust:  # reweighted lasso: large weights lose their penalty, as under a concave one
-        w = acyclic_fit(cov, len(columns), lambda1, h_tol=h_tol, rho_max=rho_max, max_iter=max_iter, allowed=~c.forbidden, penalty=np.maximum(0, 1 - np.abs(w) / mcp_lambda))
+    own = None if loss is None else lambda w: loss(cov, w)
+    options = {"h_tol": h_tol, "rho_max": rho_max, "max_iter": max_iter, "allowed": ~c.forbidden, "loss": own}
+    w = acyclic_fit(cov, len(columns), lambda1, **options)
+    if robust and penalty is None:  # large weights lose their penalty
+        penalty = lambda w: np.maximum(0, 1 - np.abs(w) / mcp_lambda)
+    if penalty is not None:
+        w = acyclic_fit(cov, len(columns), lambda1, penalty=penalty(w), **options)
     return _graph(cut_cycles(w, w_threshold), columns)
 
 

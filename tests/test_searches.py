@@ -255,3 +255,18 @@ def test_post_nonlinear_pairs(spark, outer):
     assert g.oriented_edges() == [("X0", "X1", "directed")]
     e = functional.post_nonlinear_residual(x, y)
     assert abs(np.corrcoef(e, np.sin(1.5 * x) + 0.3 * x)[0, 1]) < 0.1
+
+
+def test_own_loss_and_penalty(spark):
+    df = generate.frame(spark, generate.linear(1.2 * W, 2000, seed=3))
+    seen = []
+
+    def loss(cov, w):
+        seen.append(1)
+        r = cov @ w
+        return 0.5 * (w * r).sum() - (w * cov).sum(), r - cov
+
+    plain = continuous.notears(df)
+    assert np.allclose(continuous.notears(df, loss=loss).meta["weights"], plain.meta["weights"], atol=1e-4) and seen
+    free = continuous.notears(df, penalty=lambda w: (np.abs(w) < 0.1).astype(float))
+    assert (free.directed == plain.directed).all() and np.abs(free.meta["weights"]).sum() > np.abs(plain.meta["weights"]).sum()
