@@ -53,6 +53,7 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    release()
     return out
 
 
@@ -102,7 +103,7 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
 
 
 def release() -> None:
-    """Give the memory that a task has freed back to the system: workers outlive tasks, and allocators keep what they had."""
+    """Give freed memory back to the system: workers outlive tasks, the driver its steps, and allocators keep what they had."""
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -270,7 +270,10 @@ def _collected(rows: DataFrame) -> tuple:
         flat, n = _unpacked(pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], pa.list_(pa.int32())))
         parts = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
         views.append([parts[i] for i in order])
-    return table["key"].to_numpy()[order], table["y"].to_numpy()[order], *views
+    keys, y = table["key"].to_numpy()[order], table["y"].to_numpy()[order]
+    del table
+    release()
+    return keys, y, *views
 
 
 def _sure(pages: DataFrame, views: tuple[View, View], known: np.ndarray, sure: float, most: tuple[int, int]) -> list[tuple[int, int, int]]:
