@@ -522,7 +522,7 @@ OTHER_PLANTS = dict.fromkeys(("cdnod", "icp", "fci_jci", "gies", "gnies", "igsp"
 def _register_searches() -> None:
     from tessera.plans import constraint, continuous, functional, lingam, resample, score_search
 
-    categories = lambda df: df.withColumn("kept", F.when(F.pmod(F.hash("quantity", "tax", "paid"), F.lit(10)) < 7, F.col("l_returnflag")).otherwise("X"))
+    categories = lambda df: df.withColumn("kept", F.when((F.col("cost") - F.col("quantity")) / 2 < 0.2, F.col("l_returnflag")).otherwise("X"))
     for name, fit in {
         "pc": lambda df: constraint.pc(df, columns=PLANTED),
         "pc_majority": lambda df: constraint.pc(df, columns=PLANTED, collider_rule="majority"),

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from tessera.queries import NUMBERS, PLANT, PLANTED, QUERIES, SERIES, SQL, Z05, plant_sql, sql6
+from tessera.queries import NUMBERS, PLANT, PLANT_EVEN, PLANTED, QUERIES, SERIES, SQL, Z05, plant_sql, sql6
+from tessera.queries_functions import chi2_tail
 
 
 def _r(a: str, b: str, given: tuple = ()) -> str:
@@ -101,11 +102,35 @@ z AS (SELECT *, min(p * 4 / r) OVER (ORDER BY r DESC) AS adjusted FROM (SELECT *
 SELECT cause, effect, 1 AS lag, {sql6("weight", "weight")} FROM z WHERE adjusted <= 0.05"""
 
 
+SQL["var_lingam"] = SQL["granger"].replace(" WHERE adjusted <= 0.05", "")
+SQL["pc_missing"] = SQL["structural_em"] = SQL["pc"]
+SQL["ica_lingam"] = SQL["bottom_up_parce_lingam"] = SQL["direct_lingam"]
+#: With noise of one variance in all variables, a cause varies less than its effect.
+EVEN = pattern_sql(PLANTED, plant_sql(PLANT_EVEN)) + f""", var AS ({' UNION ALL '.join(f'SELECT {k} AS i, var_samp({c}) AS v FROM {plant_sql(PLANT_EVEN)}' for k, c in enumerate(PLANTED))}),
+dag AS (SELECT a, b FROM to3 UNION SELECT l.a, l.b FROM (SELECT a, b FROM adj EXCEPT (SELECT a, b FROM to3 UNION SELECT b, a FROM to3)) l JOIN var x ON x.i = l.a JOIN var y ON y.i = l.b WHERE x.v < y.v)"""
+SQL["notears"] = SQL["dagma"] = EVEN + typed_sql("directed", "undirected", "dag")
+
+def _g2(x: str, y: str) -> str:
+    """SQL of the pair as an edge if the likelihood-ratio test rejects their independence."""
+    return f"""SELECT '{x}' AS source, '{y}' AS target, 'undirected' AS type FROM (SELECT sum(2 * o * ln(o * n / (CAST(rx AS DOUBLE) * cy))) AS g, CAST((count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS DOUBLE) AS dof
+FROM (SELECT *, sum(o) OVER (PARTITION BY x) AS rx, sum(o) OVER (PARTITION BY y) AS cy, sum(o) OVER () AS n FROM (SELECT {x} AS x, {y} AS y, count(*) AS o FROM {plant_sql({}, f"*, {KEPT_SQL} AS kept")} GROUP BY 1, 2))) q WHERE {chi2_tail('q.g', 'q.dof')} <= 0.05"""
+
+
+KEPT_SQL = "CASE WHEN e1 < 0.2 THEN l_returnflag ELSE 'X' END"
+SQL["pc_gsq"] = " UNION ALL ".join(_g2(x, y) for x, y in combinations(("l_returnflag", "l_linestatus", "kept"), 2))
+
+
 def _granger(spark, sf_dir):
     from pyspark.sql import functions as F
 
     return GRANGER(spark, sf_dir).withColumn("weight", F.round("weight", 6) + 0.0)
 
 
-GRANGER = QUERIES["granger"]
-QUERIES["granger"] = _granger
+def _var_lingam(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return VAR_LINGAM(spark, sf_dir).withColumn("weight", F.round("weight", 6) + 0.0)
+
+
+GRANGER, VAR_LINGAM = QUERIES["granger"], QUERIES["var_lingam"]
+QUERIES["granger"], QUERIES["var_lingam"] = _granger, _var_lingam
