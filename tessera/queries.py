@@ -166,7 +166,7 @@ def _bic_sql() -> str:
     rows = []
     for y, p in BIC_SETS:
         var = f"var_samp({y})" + (f" - covar_samp({y}, {p[0]}) * covar_samp({y}, {p[0]}) / var_samp({p[0]})" if p else "")
-        rows.append(f"SELECT '{y}' AS node, '{p[0] if p else ''}' AS parent, {sql6(f'count(*) * ln({var}) + {len(p)} * ln(count(*))', 'score')} FROM lineitem")
+        rows.append(f"SELECT '{y}' AS node, '{p[0] if p else ''}' AS parent, CAST(round(count(*) * ln({var}) + {len(p)} * ln(count(*)), 3) + 0.0 AS DOUBLE) AS score FROM lineitem")
     return union(rows)
 
 
@@ -177,7 +177,7 @@ def bic_local(spark, sf_dir):
 
     score = BIC(mm.moments(items(spark, sf_dir), NUMBERS))
     rows = [(y, p[0] if p else "", score.local(NUMBERS.index(y), [NUMBERS.index(q) for q in p])) for y, p in BIC_SETS]
-    return spark.createDataFrame(rows, "node string, parent string, score double").select("node", "parent", r6("score").alias("score"))
+    return spark.createDataFrame(rows, "node string, parent string, score double").select("node", "parent", (F.round("score", 3) + 0.0).alias("score"))
 
 
 @query("""WITH t AS (SELECT l_returnflag AS p, l_linestatus AS v, count(*) AS o FROM lineitem GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY p) AS np FROM t)

@@ -16,13 +16,13 @@ from tessera.queries import ITEMS, NUMBERS, PAIRS, PLANT, PLANTED, TRIPLES, _pla
 STEPS = 4_000
 
 
-def r3(c) -> F.Column:
-    """Scores are sums over rows: rounded to three places."""
-    return (F.round(c, 3) + F.lit(0.0)).cast("double")
+def two_places(c) -> F.Column:
+    """Scores are sums over rows: rounded to two places."""
+    return (F.round(c, 2) + F.lit(0.0)).cast("double")
 
 
-def sql3(x: str, name: str) -> str:
-    return f"CAST(round({x}, 3) + 0.0 AS DOUBLE) AS {name}"
+def sql_two(x: str, name: str) -> str:
+    return f"CAST(round({x}, 2) + 0.0 AS DOUBLE) AS {name}"
 
 
 
@@ -199,20 +199,20 @@ cat AS (SELECT sum(n * ln(n / CAST(total AS DOUBLE))) AS l, count(*) - 1 AS p FR
 con AS (SELECT -0.5 * total * (ln(2 * pi()) + 1) AS l, 2 AS p FROM w)"""
 
 
-@query(CG + f" SELECT {sql3('-2 * (j.l - c.l) + ln(total) * (j.p - c.p)', 'number_given_category')}, {sql3('-2 * (j.l - n.l) + ln(total) * (j.p - n.p)', 'category_given_number')}, {sql3('2 * (j.l - c.l - n.l)', 'ratio')}, {sql6(chi2_tail('2 * (j.l - c.l - n.l)', 'CAST(j.p - c.p - n.p AS DOUBLE)'), 'p')} FROM joint j, cat c, con n, w")
+@query(CG + f" SELECT {sql_two('-2 * (j.l - c.l) + ln(total) * (j.p - c.p)', 'number_given_category')}, {sql_two('-2 * (j.l - n.l) + ln(total) * (j.p - n.p)', 'category_given_number')}, {sql_two('2 * (j.l - c.l - n.l)', 'ratio')}, {sql6(chi2_tail('2 * (j.l - c.l - n.l)', 'CAST(j.p - c.p - n.p AS DOUBLE)'), 'p')} FROM joint j, cat c, con n, w")
 def conditional_gaussian(spark, sf_dir):
     """Scores of a category and a number given each other, and the likelihood-ratio test of the two."""
     c = cell_tables.cells(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_totalprice"])
     score, test = scores.CGScore(c), ci.CGTest(c)
     (joint, _), (cat, _), (con, _) = test.fit([0, 1]), test.fit([0]), test.fit([1])
     rows = [(score.local(1, [0]), score.local(0, [1]), 2 * (joint - cat - con), test.pvalue(0, 1))]
-    return _grid(spark, rows, "number_given_category double, category_given_number double, ratio double, p double").select(*(r3(c).alias(c) for c in ("number_given_category", "category_given_number", "ratio")), r6("p").alias("p"))
+    return _grid(spark, rows, "number_given_category double, category_given_number double, ratio double, p double").select(*(two_places(c).alias(c) for c in ("number_given_category", "category_given_number", "ratio")), r6("p").alias("p"))
 
 
 DG = "WITH g AS (SELECT o_orderstatus AS c, count(*) AS n, avg(o_totalprice / 1000) AS m, var_pop(o_totalprice / 1000) AS v FROM orders GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * v) AS within_ FROM g), w AS (SELECT count(*) AS k, var_samp(o_totalprice / 1000) AS v FROM orders)"
 
 
-@query(DG + f" SELECT {sql3('w.k * ln(within_ / (w.k - 1)) + ln(w.k) * 2', 'score')}, {sql3('-w.k * ln(1 - r2)', 'ratio')}, {sql6(chi2_tail('(-w.k * ln(1 - r2))', '2'), 'p')} FROM (SELECT within_, 1 - within_ / (w.v * (w.k - 1)) AS r2 FROM t, w) q, w")
+@query(DG + f" SELECT {sql_two('w.k * ln(within_ / (w.k - 1)) + ln(w.k) * 2', 'score')}, {sql_two('-w.k * ln(1 - r2)', 'ratio')}, {sql6(chi2_tail('(-w.k * ln(1 - r2))', '2'), 'p')} FROM (SELECT within_, 1 - within_ / (w.v * (w.k - 1)) AS r2 FROM t, w) q, w")
 def degenerate_gaussian(spark, sf_dir):
     """The score of a number given a category, and the test of the two, on indicators of the category."""
     c = cell_tables.cells(table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_totalprice") / 1000).alias("p")), ["o_orderstatus"], ["p"])
@@ -220,7 +220,7 @@ def degenerate_gaussian(spark, sf_dir):
     cov, n = test.m.cov, test.m.n
     r2 = float(cov[2, :2] @ np.linalg.solve(cov[:2, :2], cov[:2, 2]) / cov[2, 2])
     rows = [(scores.DGScore(c).local(1, [0]), float(-n * np.log1p(-r2)), test.pvalue(0, 1))]
-    return _grid(spark, rows, "score double, ratio double, p double").select(*(r3(c).alias(c) for c in ("score", "ratio")), r6("p").alias("p"))
+    return _grid(spark, rows, "score double, ratio double, p double").select(*(two_places(c).alias(c) for c in ("score", "ratio")), r6("p").alias("p"))
 
 
 # scores
@@ -240,15 +240,15 @@ def _residual(y: str, p: tuple) -> str:
 FAMILIES = [(y, p) for y in PLANTED for k in range(3) for p in combinations([q for q in PLANTED if q != y], k)]
 
 
-@query(" UNION ALL ".join(f"SELECT '{y}' AS node, '{','.join(p)}' AS parents, {sql3(f'count(*) * ln({_residual(y, p)}) + {len(p)} * ln(count(*)) + 2 * (lgamma(4) - lgamma({len(p) + 1}) - lgamma({4 - len(p)}))', 'score')} FROM {plant_sql(PLANT)}" for y, p in FAMILIES))
+@query(" UNION ALL ".join(f"SELECT '{y}' AS node, '{','.join(p)}' AS parents, {sql_two(f'count(*) * ln({_residual(y, p)}) + {len(p)} * ln(count(*)) + 2 * (lgamma(4) - lgamma({len(p) + 1}) - lgamma({4 - len(p)}))', 'score')} FROM {plant_sql(PLANT)}" for y, p in FAMILIES))
 def extended_bic(spark, sf_dir):
     """Extended BIC of each family of up to two parents."""
     s = scores.BIC(mm.moments(_planted(spark, sf_dir), PLANTED), ebic_gamma=1.0)
     rows = [(y, ",".join(p), s.local(PLANTED.index(y), [PLANTED.index(q) for q in p])) for y, p in FAMILIES]
-    return _grid(spark, rows, "node string, parents string, score double").withColumn("score", r3("score"))
+    return _grid(spark, rows, "node string, parents string, score double").withColumn("score", two_places("score"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{y}' AS node, '{','.join(p)}' AS base, '{u}' AS move, {sql3(f'a.s - b.s', 'delta')} FROM (SELECT count(*) * ln({_residual(y, tuple(sorted((*p, u), key=PLANTED.index)))}) + {len(p) + 1} * ln(count(*)) AS s FROM {plant_sql(PLANT)}) a, (SELECT count(*) * ln({_residual(y, p)}) + {len(p)} * ln(count(*)) AS s FROM {plant_sql(PLANT)}) b" for y, p in FAMILIES if len(p) < 2 for u in PLANTED if u != y and u not in p))
+@query(" UNION ALL ".join(f"SELECT '{y}' AS node, '{','.join(p)}' AS base, '{u}' AS move, {sql_two(f'a.s - b.s', 'delta')} FROM (SELECT count(*) * ln({_residual(y, tuple(sorted((*p, u), key=PLANTED.index)))}) + {len(p) + 1} * ln(count(*)) AS s FROM {plant_sql(PLANT)}) a, (SELECT count(*) * ln({_residual(y, p)}) + {len(p)} * ln(count(*)) AS s FROM {plant_sql(PLANT)}) b" for y, p in FAMILIES if len(p) < 2 for u in PLANTED if u != y and u not in p))
 def score_deltas(spark, sf_dir):
     """What each further parent adds to each family's score: all moves from one base at once."""
     s = scores.BIC(mm.moments(_planted(spark, sf_dir), PLANTED))
@@ -258,10 +258,10 @@ def score_deltas(spark, sf_dir):
             base = [PLANTED.index(q) for q in p]
             d = scores.add_deltas(s, PLANTED.index(y), base)
             rows += [(y, ",".join(p), u, float(d[k])) for k, u in enumerate(PLANTED) if u != y and u not in p]
-    return _grid(spark, rows, "node string, base string, move string, delta double").withColumn("delta", r3("delta"))
+    return _grid(spark, rows, "node string, base string, move string, delta double").withColumn("delta", two_places("delta"))
 
 
-@query(f"SELECT 'quantity' AS node, {sql3('(SELECT count(*) * ln(var_samp(quantity)) FROM d)', 'alone')} UNION ALL SELECT 'tax', {sql3('(SELECT count(*) * ln(var_samp(tax)) FROM d WHERE l_returnflag <> ' + chr(39) + 'R' + chr(39) + ')', 'alone')} UNION ALL SELECT 'cost', {sql3('(SELECT count(*) * ln(' + _residual('cost', ('quantity',)) + ') + (SELECT ln(count(*)) FROM d) FROM d)', 'alone')}".replace("SELECT 'quantity'", f"WITH d AS {plant_sql(PLANT, ', l_returnflag')} SELECT 'quantity'", 1))
+@query(f"SELECT 'quantity' AS node, {sql_two('(SELECT count(*) * ln(var_samp(quantity)) FROM d)', 'alone')} UNION ALL SELECT 'tax', {sql_two('(SELECT count(*) * ln(var_samp(tax)) FROM d WHERE l_returnflag <> ' + chr(39) + 'R' + chr(39) + ')', 'alone')} UNION ALL SELECT 'cost', {sql_two('(SELECT count(*) * ln(' + _residual('cost', ('quantity',)) + ') + (SELECT ln(count(*)) FROM d) FROM d)', 'alone')}".replace("SELECT 'quantity'", f"WITH d AS {plant_sql(PLANT, ', l_returnflag')} SELECT 'quantity'", 1))
 def interventional_bic(spark, sf_dir):
     """Scores of variables where an environment intervenes on one of them: its rows don't count for that one."""
     df = _planted(spark, sf_dir)
@@ -269,7 +269,7 @@ def interventional_bic(spark, sf_dir):
     whole, rest = mm.pooled(list(by.values())), mm.pooled([m for e, m in by.items() if e != "R"])
     s = scores.InterventionalBIC([rest if v == "tax" else whole for v in PLANTED], whole.n)
     rows = [("quantity", s.local(0, [])), ("tax", s.local(1, [])), ("cost", s.local(2, [0]))]
-    return _grid(spark, rows, "node string, alone double").withColumn("alone", r3("alone"))
+    return _grid(spark, rows, "node string, alone double").withColumn("alone", two_places("alone"))
 
 
 @query(f"WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS u FROM {ITEMS}) SELECT {sql6('avg(ln(cosh(u)))', 'log_cosh')}, {sql6('avg(u * exp(-u * u / 2))', 'gauss')}, {sql6('(1 + ln(2 * pi())) / 2 - 79.047 * pow(avg(ln(cosh(u))) - 0.37457, 2) - 7.4129 * pow(avg(u * exp(-u * u / 2)), 2)', 'entropy')} FROM z")
